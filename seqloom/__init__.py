@@ -1 +1,8 @@
 """Spark operators that shape text into training blocks and analyse keyed, ordered vectors."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
