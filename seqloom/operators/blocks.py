@@ -121,7 +121,7 @@ def pack_global(
     _check(seq_len)
     ids = F.col(ids) if isinstance(ids, str) else ids
     docs = _documents(df, ids, length)
-    offsets = running_total(docs, order, {"_end": F.col("_n")}, rows_per_bucket)
+    offsets = running_total(docs, order, {"_end": F.col("_n")}, rows_per_bucket, profile=df)
     return _cut(offsets, [], ids, seq_len, pad)
 
 

@@ -37,7 +37,12 @@ def cross_entropy(df: DataFrame, by: Sequence[str], logits: str, label: str) ->
 
 
 def recall_prompts(
-    df: DataFrame, key: str, pairs: int = 16, distractors: int = 64, seed: int = 42
+    df: DataFrame,
+    key: str,
+    pairs: int = 16,
+    distractors: int = 64,
+    seed: int = 42,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """A key-value recall prompt and its answer for every row, drawn from the row's key."""
     if pairs < 1:
@@ -50,6 +55,7 @@ def recall_prompts(
 
     drawn = df.select(
         key,
+        *keep,
         F.transform(places, lambda j: number("K", j)).alias("_k"),
         F.transform(places, lambda j: number("V", j)).alias("_v"),
         draw_int(digest(seed, F.col(key), "target"), pairs).cast("int").alias("_t"),
@@ -58,6 +64,7 @@ def recall_prompts(
     query = F.concat(F.lit(" Query: "), F.get("_k", F.col("_t")), F.lit("="))
     return drawn.select(
         key,
+        *keep,
         F.concat(body, F.repeat(F.lit(FILLER), distractors), query).alias("prompt"),
         F.get("_v", F.col("_t")).alias("answer"),
     )

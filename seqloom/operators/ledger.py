@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.functions.text import IGNORE
-from seqloom.operators.numbering import CHUNK, running_in_buckets, with_buckets
+from seqloom.operators.numbering import CHUNK, MAX_BUCKETS, running_in_buckets
+
+STEPS_PER_BUCKET = 65_536
 
 
 @dataclass(frozen=True)
@@ -44,12 +46,38 @@ def token_counts(blocks: DataFrame, by: list[str], labels: str = "labels") -> Da
     )
 
 
-def step_ledger(counts: DataFrame, step: str = "step") -> DataFrame:
-    """Counts of all ranks summed per step, with running totals over the steps."""
+def packed_counts(df: DataFrame, by: list[str], length: Column, seq_len: int) -> DataFrame:
+    """What ``token_counts`` gives for the packed groups, from document lengths alone.
+
+    A stream of ``n`` tokens holds ``n div T`` full blocks and a rest that is a block of its own
+    from two tokens on; a block of ``m`` tokens has ``m - 1`` targets. No text is moved.
+    """
+    size = seq_len + 1
+    total = (
+        df.select(*by, length.cast("long").alias("_n"))
+        .where(F.col("_n") > 0)
+        .groupBy(*by)
+        .agg(F.sum(F.col("_n") + 1).alias("_total"))
+    )
+    full, rest = F.expr(f"_total div {size}"), F.col("_total") % size
+    tail = (rest >= 2).cast("long")
+    return total.select(
+        *by,
+        (full * seq_len + tail * (rest - 1)).alias("supervised_tokens"),
+        (full + tail).alias("examples"),
+    )
+
+
+def step_ledger(counts: DataFrame, steps: int, step: str = "step") -> DataFrame:
+    """Counts of all ranks summed per step, with running totals over the steps.
+
+    ``steps`` is an upper bound of their number; it sets how many go into one bucket.
+    """
+    width = max(STEPS_PER_BUCKET, math.ceil(steps / MAX_BUCKETS))
     per_step = counts.groupBy(step).agg(
         F.sum("supervised_tokens").alias("tokens"), F.sum("examples").alias("examples")
     )
-    bucketed = with_buckets(per_step, step)
+    bucketed = per_step.withColumn(CHUNK, F.expr(f"`{step}` div {width}"))
     totals = {"cum_tokens": F.col("tokens"), "cum_examples": F.col("examples")}
     return running_in_buckets(bucketed, CHUNK, step, totals).drop(CHUNK)
 

@@ -139,15 +139,19 @@ def cut_points(df: DataFrame, order: str, buckets: int) -> list[float]:
 
 
 def with_buckets(
-    df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_CHUNK, count: int | None = None
+    df: DataFrame,
+    order: str,
+    rows_per_bucket: int = ROWS_PER_CHUNK,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``_chunk``, an ordered bucket of the numeric ``order`` column; at most MAX_BUCKETS.
 
     The cut points are plain numbers in the plan, so a task that is run again, or a second
-    branch of the same plan, puts every row in the same bucket.
+    branch of the same plan, puts every row in the same bucket. They come from ``profile``, a
+    table with the same order column that is cheaper to read when ``df`` is computed.
     """
-    n = df.count() if count is None else count
-    cuts = cut_points(df, order, min(MAX_BUCKETS, math.ceil(n / rows_per_bucket)))
+    source = df if profile is None else profile
+    cuts = cut_points(source, order, min(MAX_BUCKETS, math.ceil(source.count() / rows_per_bucket)))
     if not cuts:
         return df.withColumn(CHUNK, F.lit(0).cast("long"))
     splits = [-math.inf, *cuts, math.inf]
@@ -196,10 +200,10 @@ def dense_index(
     order: str,
     name: str = "idx",
     rows_per_bucket: int = ROWS_PER_CHUNK,
-    count: int | None = None,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Number all rows 0, 1, 2, … by a unique numeric column."""
-    bucketed = with_buckets(df, order, rows_per_bucket, count)
+    bucketed = with_buckets(df, order, rows_per_bucket, profile)
     numbered = running_in_buckets(bucketed, CHUNK, order, {name: F.lit(1)})
     return numbered.withColumn(name, F.col(name) - 1).drop(CHUNK)
 
@@ -209,8 +213,8 @@ def running_total(
     order: str,
     sums: Mapping[str, Column],
     rows_per_bucket: int = ROWS_PER_CHUNK,
-    count: int | None = None,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Running sums over the whole table by a unique numeric column."""
-    bucketed = with_buckets(df, order, rows_per_bucket, count)
+    bucketed = with_buckets(df, order, rows_per_bucket, profile)
     return running_in_buckets(bucketed, CHUNK, order, sums).drop(CHUNK)

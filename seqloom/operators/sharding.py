@@ -10,9 +10,7 @@ from seqloom.functions.seeded import digest, prefix_bucket
 from seqloom.operators.numbering import ROWS_PER_CHUNK, dense_index, running_in_buckets
 
 
-def shard(
-    df: DataFrame, order: str, world: int, rank: int | None = None, count: int | None = None
-) -> DataFrame:
+def shard(df: DataFrame, order: str, world: int, rank: int | None = None) -> DataFrame:
     """Rows dealt out in turn: row ``i`` of the order goes to rank ``i % world``.
 
     With one rank the table passes through unnumbered. ``rank`` keeps only that share.
@@ -20,7 +18,7 @@ def shard(
     _positive(world=world)
     if world == 1:
         return df.withColumn("rank", F.lit(0))
-    dealt = dense_index(df, order, "idx", count=count)
+    dealt = dense_index(df, order, "idx")
     dealt = dealt.withColumn("rank", (F.col("idx") % world).cast("int")).drop("idx")
     return dealt if rank is None else dealt.where(F.col("rank") == rank)
 
@@ -67,25 +65,23 @@ def assign_batches(
     df: DataFrame,
     order: str,
     micro: int,
-    count: int | None = None,
     rows_per_bucket: int = ROWS_PER_CHUNK,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Consecutive rows form micro-batches; the last may be short (``idx, batch_id`` are added)."""
     _positive(micro=micro)
-    numbered = dense_index(df, order, "idx", count=count, rows_per_bucket=rows_per_bucket)
+    numbered = dense_index(df, order, "idx", rows_per_bucket, profile)
     return numbered.withColumn("batch_id", F.expr(f"idx div {micro}"))
 
 
-def assign_steps(
-    df: DataFrame, order: str, micro: int, accum: int, world: int = 1, count: int | None = None
-) -> DataFrame:
+def assign_steps(df: DataFrame, order: str, micro: int, accum: int, world: int = 1) -> DataFrame:
     """Rank, per-rank micro-batch and optimisation step of every row.
 
     Rows are dealt to the ranks in turn; each rank batches its own share, and step ``s`` covers
     the ``accum`` batches of that step on every rank. Steps count from 1.
     """
     _positive(micro=micro, accum=accum, world=world)
-    numbered = dense_index(df, order, "idx", count=count)
+    numbered = dense_index(df, order, "idx")
     return (
         numbered.withColumn("rank", (F.col("idx") % world).cast("int"))
         .withColumn("batch_id", F.expr(f"(idx div {world}) div {micro}"))

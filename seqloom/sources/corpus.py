@@ -90,16 +90,20 @@ def fill_turn_defaults(turns: DataFrame) -> DataFrame:
 
 def stream_files(
     spark: SparkSession,
-    directory: str,
+    path: str,
     schema: T.StructType,
     name_glob: str = "*.parquet",
     files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """New parquet files of a folder as an unbounded table; the schema must be given."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name_glob)
+    """The parquet files below a path, and those still to come, as an unbounded table.
+
+    A stream cannot infer its schema, so it must be given.
+    """
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    reader = reader.option("pathGlobFilter", name_glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(directory)
+    return reader.parquet(path)
 
 
 def write_blocks(blocks: DataFrame, path: str, by: tuple[str, ...] = (), mode: str = "error") -> None:

@@ -6,7 +6,7 @@ result does not depend on how often it ran.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from seqloom.operators.blocks import pack_global
@@ -27,12 +27,19 @@ def stream_to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def stream_pack(
-    documents: DataFrame, order: str, ids, seq_len: int, pad: int, path: str, checkpoint: str
+    documents: DataFrame,
+    order: str,
+    ids: Column | str,
+    seq_len: int,
+    pad: int,
+    path: str,
+    checkpoint: str,
+    length: Column | None = None,
 ) -> StreamingQuery:
     """Pack every micro-batch as one stream of its own, as a loader packs the batch it was given."""
 
     def pack(batch: DataFrame, number: int) -> None:
-        blocks = pack_global(batch, order, seq_len, pad, ids=ids)
+        blocks = pack_global(batch, order, seq_len, pad, ids=ids, length=length)
         blocks.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 
     return (
