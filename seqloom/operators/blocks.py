@@ -7,9 +7,9 @@ they touch), so the shuffle moves about one row per document and block, never on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.functions.text import IGNORE
 from seqloom.functions.vectors import let
@@ -75,6 +75,43 @@ def _documents(df: DataFrame, ids: Column, length: Column | None) -> DataFrame:
     return df.withColumn("_n", n.cast("long") + 1).where(F.col("_n") > 1)
 
 
+def pack_batches(
+    df: DataFrame,
+    batch: Sequence[str],
+    order: str,
+    seq_len: int,
+    pad: int,
+    payload: str = "input_ids",
+    tokens: Callable[[Column], Column] = lambda ids: ids,
+) -> DataFrame:
+    """Blocks of each micro-batch's stream: its documents in order, ``pad`` after each of them.
+
+    For groups of a fixed number of rows only. Such a batch fits one row, so a single shuffle of
+    ``payload`` brings it together and it is cut into blocks in place. ``tokens`` turns the
+    payload (say, text) into ids after that shuffle.
+    """
+    _check(seq_len)
+    size = seq_len + 1
+    rows = df.select(*batch, F.struct(order, payload).alias("_row"))
+    gathered = rows.groupBy(*batch).agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    ids = F.transform("_rows", lambda r: tokens(r[payload]))
+    filled = F.filter(ids, lambda i: F.size(i) > 0)
+    stream = F.flatten(F.transform(filled, lambda i: F.concat(i, F.array(F.lit(pad)))))
+
+    def cut(s: Column) -> Column:
+        # Two tokens at least: a rest of one has no target and makes no block.
+        starts = F.sequence(F.lit(1), F.size(s) - 1, F.lit(size))
+        blocks = F.transform(starts, lambda at: F.slice(s, at, size))
+        return F.when(F.size(s) >= 2, blocks).otherwise(F.array().cast("array<array<int>>"))
+
+    blocks = gathered.select(*batch, F.posexplode(let(stream, cut)).alias("block", "_full"))
+    return blocks.select(
+        *batch,
+        F.col("block").cast("long").alias("block"),
+        *_labelled(F.col("_full"), F.size("_full"), seq_len, pad),
+    )
+
+
 def pack_blocks(
     df: DataFrame,
     group: Sequence[str],
@@ -83,28 +120,18 @@ def pack_blocks(
     pad: int,
     ids: Column | str = "input_ids",
     length: Column | None = None,
-    small_groups: bool = False,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Blocks of each group's stream: its documents in order, ``pad`` after every one of them.
+    """Blocks of each group's stream, for groups of any size.
 
-    ``small_groups`` says that a group has a fixed size (a micro-batch), so one window each is
-    enough; any other grouping is checked for heavy groups, which are summed in chunks.
-    ``ids`` is evaluated after the offsets are known, so ``ids=tokenizer.ids(text)`` sorts and
-    shuffles the text rather than its tokens. ``length`` may give the number of tokens by a
-    cheaper expression than building them.
+    Heavy groups are summed in chunks; no group is gathered. ``ids`` is evaluated after the
+    offsets are known, so ``ids=tokenizer.ids(text)`` sorts and shuffles the text rather than its
+    tokens. ``length`` may give the number of tokens by a cheaper expression than building them.
     """
     _check(seq_len)
     ids = F.col(ids) if isinstance(ids, str) else ids
     docs = _documents(df, ids, length)
-    if small_groups:
-        w = Window.partitionBy(*group).orderBy(order)
-        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        offsets = docs.withColumn("_end", F.sum("_n").over(w))
-    else:
-        offsets = running(
-            docs, group, order, sums={"_end": F.col("_n")}, rows_per_chunk=rows_per_chunk
-        )
+    offsets = running(docs, group, order, sums={"_end": F.col("_n")}, rows_per_chunk=rows_per_chunk)
     return _cut(offsets, group, ids, seq_len, pad)
 
 

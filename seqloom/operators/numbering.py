@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Rows one task should sort for one key or bucket.
 ROWS_PER_CHUNK = 1_000_000
@@ -29,13 +29,14 @@ CARRIED = "_carried"
 
 
 @dataclass(frozen=True)
-class HeavyKey:
-    """A key (as a hash of its columns) with more rows than one chunk should hold."""
+class Heavy:
+    """Keys (as hashes of their columns) to be cut into chunks, and where their order is cut."""
 
-    hashed: int
-    rows: int
-    low: float
-    high: float
+    hashes: list[int]
+    cuts: list[float]
+
+    def __bool__(self) -> bool:
+        return bool(self.hashes)
 
 
 def key_hash(keys: Sequence[str]) -> Column:
@@ -44,50 +45,45 @@ def key_hash(keys: Sequence[str]) -> Column:
 
 def heavy_keys(
     df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK
-) -> list[HeavyKey]:
+) -> Heavy:
     """The keys worth splitting, at most ``MAX_HEAVY_KEYS`` of them.
 
-    A frequent-items sketch is merged over the tasks (no shuffle of keys); only when it names
-    candidates does a second pass take their exact count and order range. Two keys with the same
-    hash are split alike, which is harmless.
+    A frequent-items sketch is merged over the tasks, so no key is shuffled. Only when it names
+    keys of more than ``rows_per_chunk`` rows does a second pass take the quantiles of the order
+    column over those keys' rows. The cut points are common to all heavy keys: a chunk of any one
+    key is part of a slice of equal size, however its own rows are spread. Keys that share a hash
+    with a heavy one are cut as well, which is harmless.
     """
     sketch = F.call_function(
         "approx_top_k", key_hash(keys), F.lit(MAX_HEAVY_KEYS), F.lit(TRACKED_KEYS)
     )
     top = df.agg(sketch.alias("top")).first()["top"]
-    suspects = [r["item"] for r in top or [] if r["count"] > rows_per_chunk]
-    if not suspects:
-        return []
-    exact = (
-        df.select(key_hash(keys).alias("h"), F.col(order).cast("double").alias("o"))
-        .where(F.col("h").isin(suspects))
-        .groupBy("h")
-        .agg(F.count("*").alias("n"), F.min("o").alias("lo"), F.max("o").alias("hi"))
-        .where(F.col("n") > rows_per_chunk)
-        .collect()
-    )
-    return [HeavyKey(r["h"], r["n"], r["lo"], r["hi"]) for r in exact]
+    found = [r for r in top or [] if r["count"] > rows_per_chunk]
+    if not found:
+        return Heavy([], [])
+    hashes = [r["item"] for r in found]
+    rows = df.select(order, key_hash(keys).alias("_h")).where(F.col("_h").isin(hashes))
+    slices = math.ceil(sum(r["count"] for r in found) / rows_per_chunk)
+    return Heavy(hashes, cut_points(rows, order, min(MAX_BUCKETS, slices)))
 
 
-def with_chunks(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    heavy: Sequence[HeavyKey],
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-) -> DataFrame:
-    """Add ``_chunk``: null for ordinary keys, the ordered slice of a heavy key's range otherwise."""
+def with_chunks(df: DataFrame, keys: Sequence[str], order: str, heavy: Heavy) -> DataFrame:
+    """Add ``_chunk``: null for ordinary keys, the ordered slice of the row for heavy ones."""
     if not heavy:
         return df.withColumn(CHUNK, F.lit(None).cast("long"))
-    rows = []
-    for k in heavy:
-        slices = math.ceil(k.rows / rows_per_chunk)
-        rows.append((k.hashed, k.low, max((k.high - k.low) / slices, 1e-300)))
-    lookup = df.sparkSession.createDataFrame(rows, "_h long, _low double, _width double")
-    # At most MAX_HEAVY_KEYS rows by construction.
-    hashed = df.withColumn("_h", key_hash(keys)).join(F.broadcast(lookup), "_h", "left")
-    slot = F.floor((F.col(order).cast("double") - F.col("_low")) / F.col("_width"))
-    return hashed.withColumn(CHUNK, slot.cast("long")).drop("_h", "_low", "_width")
+    sliced = _bucketed(df, order, heavy.cuts)
+    is_heavy = key_hash(keys).isin(heavy.hashes)
+    return sliced.withColumn(CHUNK, F.when(is_heavy, F.col(CHUNK)))
+
+
+def _bucketed(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
+    """Add ``_chunk``, the number of cut points at or below the order value, by binary search."""
+    if not cuts:
+        return df.withColumn(CHUNK, F.lit(0).cast("long"))
+    splits = [-math.inf, *cuts, math.inf]
+    keyed = df.withColumn("_order", F.col(order).cast("double"))
+    bucketed = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(keyed)
+    return bucketed.withColumn(CHUNK, F.col("_bucket").cast("long")).drop("_order", "_bucket")
 
 
 def running(
@@ -109,7 +105,7 @@ def running(
         out = values.select("*", *[combine[n](f"_in_{n}").over(within).alias(n) for n in exprs])
         return out.drop(*[f"_in_{n}" for n in exprs])
 
-    rows = with_chunks(values, keys, order, heavy, rows_per_chunk)
+    rows = with_chunks(values, keys, order, heavy)
     totals = (
         rows.where(F.col(CHUNK).isNotNull())
         .groupBy(*keys, CHUNK)
@@ -152,12 +148,7 @@ def with_buckets(
     """
     source = df if profile is None else profile
     cuts = cut_points(source, order, min(MAX_BUCKETS, math.ceil(source.count() / rows_per_bucket)))
-    if not cuts:
-        return df.withColumn(CHUNK, F.lit(0).cast("long"))
-    splits = [-math.inf, *cuts, math.inf]
-    keyed = df.withColumn("_order", F.col(order).cast("double"))
-    bucketed = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(keyed)
-    return bucketed.withColumn(CHUNK, F.col("_bucket").cast("long")).drop("_order", "_bucket")
+    return _bucketed(df, order, cuts)
 
 
 def running_in_buckets(

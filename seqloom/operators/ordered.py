@@ -63,7 +63,7 @@ def causal_fir(
     heavy = heavy_keys(df, keys, order, rows_per_chunk) if kernel > 1 else []
     part = list(keys)
     if heavy:
-        rows = with_chunks(rows, keys, order, heavy, rows_per_chunk).withColumn(CARRIED, F.lit(False))
+        rows = with_chunks(rows, keys, order, heavy).withColumn(CARRIED, F.lit(False))
         halo = _halo(rows.where(F.col(CHUNK).isNotNull()), keys, order, kernel - 1)
         rows = rows.unionByName(halo, allowMissingColumns=True)
         part.append(CHUNK)
@@ -142,7 +142,7 @@ def scan(
         T.StructField(CHUNK, T.LongType()),
         T.StructField(STATE, T.ArrayType(T.DoubleType())),
     ]
-    chunked = with_chunks(df, keys, order, heavy, rows_per_chunk)
+    chunked = with_chunks(df, keys, order, heavy)
     pieces = chunked.where(F.col(CHUNK).isNotNull()).repartition(*part)
     summaries = pieces.sortWithinPartitions(*part, order).mapInArrow(
         _summarise(kernel, part, columns, widths), T.StructType(key_fields)

@@ -67,19 +67,22 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_batches(docs, "doc_id", MICRO)
 
 
-def batch_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.pack_blocks(
-        batches(spark, sf_dir),
+def pack(docs: DataFrame) -> DataFrame:
+    return blocks.pack_batches(
+        docs,
         ["batch_id"],
         "doc_id",
         SEQ_LEN,
         PAD,
-        ids=CODEPOINTS.ids(F.col("text"), MAX_TOKENS),
-        length=CODEPOINTS.count(F.col("text"), MAX_TOKENS),
-        small_groups=True,
+        payload="text",
+        tokens=lambda text: CODEPOINTS.ids(text, MAX_TOKENS),
     )
 
 
+def batch_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(batches(spark, sf_dir))
+
+
 @query(
     "scan_documents",
     "SELECT doc_id, lang, source, n_chars, CAST(length(text) AS INTEGER) AS text_length "
@@ -230,16 +233,7 @@ def pack_with_empty_batches(spark, sf_dir):
     docs = batches(spark, sf_dir).withColumn(
         "text", F.when(F.col("lang") == "fr", F.col("text")).otherwise("")
     )
-    packed = blocks.pack_blocks(
-        docs,
-        ["batch_id"],
-        "doc_id",
-        SEQ_LEN,
-        PAD,
-        ids=CODEPOINTS.ids(F.col("text"), MAX_TOKENS),
-        length=CODEPOINTS.count(F.col("text"), MAX_TOKENS),
-        small_groups=True,
-    )
+    packed = pack(docs)
     return show(blocks.with_empty_groups(packed, docs, ["batch_id"], SEQ_LEN, PAD), "batch_id")
 
 

@@ -44,27 +44,43 @@ def slow_memory_events(spark, sf_dir):
     return memory_of(events(spark, sf_dir)).select("user_id", "event_id", r6(F.col("memory")).alias("memory"))
 
 
+def chunk_rows(rows) -> int:
+    """Small enough that the five event types are cut into chunks on any table."""
+    return max(1, min(ordered.ROWS_PER_CHUNK, rows.count() // 50))
+
+
 @query(
     "slow_memory_by_type",
     f"SELECT event_type, event_id, {sql_r6(memory_sql(key='event_type'))} AS memory FROM events",
 )
 def slow_memory_by_type(spark, sf_dir):
-    """Five keys share all rows: each is cut into ordered chunks once it outgrows one task."""
-    found = memory_of(events(spark, sf_dir), ["event_type"])
+    """Five keys share all rows: each is summed in ordered chunks."""
+    rows = events(spark, sf_dir)
+    found = memory_of(rows, ["event_type"], rows_per_chunk=chunk_rows(rows))
     return found.select("event_type", "event_id", r6(F.col("memory")).alias("memory"))
 
 
-@query(
-    "causal_fir",
-    f"""SELECT user_id, event_id, {sql_r6(f"{FIR_BIAS}::DOUBLE + " + " + ".join(
-        f"{w}::DOUBLE * coalesce(lag(value, {len(FIR) - 1 - j}) OVER w, 0)" for j, w in enumerate(FIR)))} AS fir
-    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
-)
+def fir_sql(key: str) -> str:
+    terms = [f"{w}::DOUBLE * coalesce(lag(value, {len(FIR) - 1 - j}) OVER w, 0)" for j, w in enumerate(FIR)]
+    return f"""SELECT {key}, event_id, {sql_r6(f"{FIR_BIAS}::DOUBLE + " + " + ".join(terms))} AS fir
+    FROM events WINDOW w AS (PARTITION BY {key} ORDER BY event_id)"""
+
+
+@query("causal_fir", fir_sql("user_id"))
 def causal_fir(spark, sf_dir):
     out = ordered.causal_fir(events(spark, sf_dir), ["user_id"], "event_id", F.col("value"), FIR, FIR_BIAS)
     return out.select("user_id", "event_id", r6(F.col("fir")).alias("fir"))
 
 
+@query("causal_fir_by_type", fir_sql("event_type"))
+def causal_fir_by_type(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    out = ordered.causal_fir(
+        rows, ["event_type"], "event_id", F.col("value"), FIR, FIR_BIAS, rows_per_chunk=chunk_rows(rows)
+    )
+    return out.select("event_type", "event_id", r6(F.col("fir")).alias("fir"))
+
+
 @query(
     "eos_fill",
     """SELECT user_id, event_id, CASE WHEN coalesce(max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
@@ -127,15 +143,17 @@ def causal_fir_embeddings(spark, sf_dir):
 
 
 # Rank one: the key is the sign of the centred value, so the state is one number per user.
-FAST_EVENTS_SQL = """WITH RECURSIVE base AS (
-        SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+def fast_events_sql(key: str) -> str:
+    return f"""WITH RECURSIVE base AS (
+        SELECT {key}, event_id, row_number() OVER (PARTITION BY {key} ORDER BY event_id) AS n,
             value / 100 AS v, (CASE WHEN value >= 100 THEN 1 ELSE -1 END)::DOUBLE AS k,
             0.9 + 0.0999 / (1 + exp(-(value / 100 - 1))) AS g, 1 / (1 + exp(-value / 200)) AS e,
             1 / (1 + exp(value / 300)) AS w FROM events),
     steps AS (
-        SELECT user_id, event_id, n, w * k * v AS s FROM base WHERE n = 1 UNION ALL
-        SELECT b.user_id, b.event_id, b.n, (b.g - b.e) * p.s + b.w * b.k * b.v
-        FROM steps p JOIN base b ON b.user_id = p.user_id AND b.n = p.n + 1)"""
+        SELECT {key}, event_id, n, w * k * v AS s FROM base WHERE n = 1 UNION ALL
+        SELECT b.{key}, b.event_id, b.n, (b.g - b.e) * p.s + b.w * b.k * b.v
+        FROM steps p JOIN base b ON b.{key} = p.{key} AND b.n = p.n + 1)
+    SELECT {key}, event_id, {sql_r6('s')} AS memory FROM steps"""
 
 
 def gated_events(spark, sf_dir):
@@ -155,16 +173,23 @@ def gated_events(spark, sf_dir):
 
 
 FAST_R1_INPUTS = {"k": "k", "q": "one", "v": "v", "decay": "decay", "erase": "erase", "write": "write"}
-FAST_R1_SQL = f"{FAST_EVENTS_SQL} SELECT user_id, event_id, {sql_r6('s')} AS memory FROM steps"
-
-
-@query("fast_memory_r1", FAST_R1_SQL)
+@query("fast_memory_r1", fast_events_sql("user_id"))
 def fast_memory_r1(spark, sf_dir):
     rows = gated_events(spark, sf_dir)
     out = ordered.scan(rows, ["user_id"], "event_id", FastMemory(1, 1), FAST_R1_INPUTS)
     return out.select("user_id", "event_id", r6(F.col("out")[0]).alias("memory"))
 
 
+@query("fast_memory_by_type", fast_events_sql("event_type"))
+def fast_memory_by_type(spark, sf_dir):
+    """Long keys: each chunk becomes one affine map, the maps are composed, the chunks replayed."""
+    rows = gated_events(spark, sf_dir)
+    out = ordered.scan(
+        rows, ["event_type"], "event_id", FastMemory(1, 1), FAST_R1_INPUTS, rows_per_chunk=chunk_rows(rows)
+    )
+    return out.select("event_type", "event_id", r6(F.col("out")[0]).alias("memory"))
+
+
 # Rank two on vectors; the oracle follows every channel by itself.
 FAST_SQL = f"""WITH RECURSIVE {SEQ_SQL},
     units AS (
@@ -273,20 +298,18 @@ def leakage_check(spark, sf_dir):
 
 @query(
     "chunk_parity",
-    """SELECT count(*) AS matched, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right,
-        true AS same FROM events""",
+    f"""WITH a AS (SELECT event_id, {memory_sql(key='event_type')} AS m FROM events),
+    b AS (SELECT event_id, sum(({PHI_SQL}) * value) OVER w / greatest(sum({PHI_SQL}) OVER w, {EPS}) AS m
+        FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+    SELECT count(*) AS matched, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right,
+        max(abs(a.m - b.m)) < 1e-9 AS same FROM a JOIN b USING (event_id)""",
 )
 def chunk_parity(spark, sf_dir):
-    """Whole keys against keys cut into chunks with carried state, for the associative memory."""
-    rows = gated_events(spark, sf_dir)
-    rows_per_chunk = max(rows.count() // 50, 1)
-
-    def memory(limit):
-        kernel = FastMemory(1, 1)
-        out = ordered.scan(rows, ["event_type"], "event_id", kernel, FAST_R1_INPUTS, rows_per_chunk=limit)
-        return out.select("event_id", F.col("out")[0].alias("m"))
-
-    report = evaluation.parity(memory(ordered.ROWS_PER_CHUNK), memory(rows_per_chunk), ["event_id"], "m")
+    """Whole keys against keys cut into chunks with carried sums."""
+    rows = events(spark, sf_dir)
+    whole = memory_of(rows, ["event_type"])
+    cut = memory_of(rows, ["event_type"], rows_per_chunk=chunk_rows(rows))
+    report = evaluation.parity(whole, cut, ["event_id"], "memory")
     return report.select("matched", "only_left", "only_right", (F.col("max_abs_diff") < 1e-9).alias("same"))
 
 

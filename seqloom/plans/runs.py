@@ -35,9 +35,15 @@ def shard_mod(spark, sf_dir):
 
 @query(
     "shard_invariants",
-    """SELECT CAST(count(*) AS BIGINT) AS source_rows, CAST(count(*) AS BIGINT) AS dealt_rows,
-        CAST(count(*) - count(DISTINCT doc_id) AS BIGINT) AS keys_in_several_shards,
-        CAST(0 AS BIGINT) AS keys_lost, CAST(0 AS BIGINT) AS keys_invented FROM documents""",
+    """WITH dealt AS (
+        SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 4 AS rank FROM documents),
+    per_key AS (
+        SELECT d.doc_id, s.doc_id IS NULL AS invented, count(DISTINCT d.rank) AS ranks
+        FROM dealt d LEFT JOIN documents s USING (doc_id) GROUP BY d.doc_id, s.doc_id)
+    SELECT (SELECT count(*) FROM documents) AS source_rows, (SELECT count(*) FROM dealt) AS dealt_rows,
+        CAST(count(*) FILTER (ranks > 1) AS BIGINT) AS keys_in_several_shards,
+        (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dealt)) AS keys_lost,
+        CAST(count(*) FILTER (invented) AS BIGINT) AS keys_invented FROM per_key""",
 )
 def shard_invariants(spark, sf_dir):
     docs = documents(spark, sf_dir)

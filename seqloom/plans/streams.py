@@ -9,7 +9,7 @@ from seqloom.functions.text import CODEPOINTS
 from seqloom.functions import vectors as vx
 from seqloom.operators.ledger import token_counts
 from seqloom.plans import corpus, ordered
-from seqloom.plans.registry import ORACLES, query, r6, sql_r6, table
+from seqloom.plans.registry import ORACLES, query, r6, table
 from seqloom.session import scratch_path
 from seqloom.sources.corpus import stream_files, write_blocks
 from seqloom.streaming import sinks

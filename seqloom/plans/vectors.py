@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import vectors as vx
 from seqloom.operators import layers
 from seqloom.operators.decoding import every_channel
+from seqloom.operators.lookup import lookup
 from seqloom.operators.sharding import every_n
 from seqloom.plans.registry import query, r6, sql_list, sql_r6, table, weight_grid
 
@@ -217,9 +218,8 @@ def importance_mean(spark, sf_dir):
     FROM events JOIN embeddings ON user_id = vec_id""",
 )
 def embedding_lookup(spark, sf_dir):
-    """Ids to vectors by an equi-join; Spark broadcasts the vectors only if they are small."""
     ids = table(spark, sf_dir, "events").select("event_id", "user_id")
-    found = ids.join(vectors(spark, sf_dir), F.col("user_id") == F.col("vec_id"))
+    found = lookup(ids, "user_id", vectors(spark, sf_dir), "vec_id")
     return found.select(
         "event_id",
         "user_id",
