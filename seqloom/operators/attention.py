@@ -41,9 +41,9 @@ def causal_attention(
     rows = df.select(
         *keys,
         F.col(pos).cast("long").alias("_pos"),
-        q.cast("array<double>").alias("q"),
-        k.cast("array<double>").alias("k"),
-        v.cast("array<double>").alias("v"),
+        q.alias("q"),
+        k.alias("k"),
+        v.alias("v"),
         importance.alias("rho"),
     ).withColumn("_tile", F.expr(f"_pos div {int(tile_rows)}"))
     last = F.max("_pos")
@@ -73,14 +73,13 @@ def causal_attention(
     # its group: it brings the queries and is the only one that needs the causal mask.
     sent = packed.withColumn("_to", F.explode(F.sequence("_tile", "_final")))
     own = F.col("_to") == F.col("_tile")
-    nothing = F.lit(None).cast("array<double>")
     sent = sent.select(
         *keys,
         "_to",
         own.alias("_own"),
         "_tile",
         F.when(own, F.col("pos")).alias("pos"),
-        F.when(own, F.col("q")).otherwise(nothing).alias("q"),
+        F.when(own, F.col("q")).alias("q"),
         "k",
         "v",
         "rho",
@@ -118,7 +117,9 @@ def _attend(keys, part, pos, name, beta):
 
 
 def _values(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
-    return batch.column(column)[row].values.to_numpy(zero_copy_only=False)
+    # Vectors travel at their own width; all arithmetic is in doubles.
+    found = batch.column(column)[row].values.to_numpy(zero_copy_only=False)
+    return found if column == "pos" else found.astype(np.float64, copy=False)
 
 
 class _QueryTile:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.functions.text import IGNORE
 from seqloom.functions.vectors import let
-from seqloom.operators.numbering import ROWS_PER_CHUNK, running, running_total
+from seqloom.operators.numbering import TEXTS_PER_CHUNK, running, running_total
 
 
 def _labelled(full: Column, valid: Column, seq_len: int, pad: int) -> list[Column]:
@@ -120,7 +120,7 @@ def pack_blocks(
     pad: int,
     ids: Column | str = "input_ids",
     length: Column | None = None,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int = TEXTS_PER_CHUNK,
 ) -> DataFrame:
     """Blocks of each group's stream, for groups of any size.
 
@@ -142,7 +142,7 @@ def pack_global(
     pad: int,
     ids: Column | str = "input_ids",
     length: Column | None = None,
-    rows_per_bucket: int = ROWS_PER_CHUNK,
+    rows_per_bucket: int = TEXTS_PER_CHUNK,
 ) -> DataFrame:
     """Blocks of the whole table as one stream, by a two-level prefix sum."""
     _check(seq_len)

@@ -15,10 +15,13 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Rows one task should sort for one key or bucket.
+# Rows one task should sort for one key or bucket; documents are larger than other rows.
 ROWS_PER_CHUNK = 1_000_000
+TEXTS_PER_CHUNK = 50_000
 # Global orders are cut into at most this many buckets, so their totals always fit a broadcast.
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 8192
+# A table too short for several buckets is still cut for all cores, down to this many rows each.
+MIN_ROWS_PER_BUCKET = 200
 # At most this many keys are treated as heavy; any other key holds less than 1/500 of the rows.
 MAX_HEAVY_KEYS = 500
 # Counters the heavy-key sketch tracks; keys above 1/3000 of the rows are certain to be seen.
@@ -147,7 +150,10 @@ def with_buckets(
     table with the same order column that is cheaper to read when ``df`` is computed.
     """
     source = df if profile is None else profile
-    cuts = cut_points(source, order, min(MAX_BUCKETS, math.ceil(source.count() / rows_per_bucket)))
+    rows = source.count()
+    for_cores = min(4 * df.sparkSession.sparkContext.defaultParallelism, rows // MIN_ROWS_PER_BUCKET)
+    buckets = min(MAX_BUCKETS, max(math.ceil(rows / rows_per_bucket), for_cores))
+    cuts = cut_points(source, order, buckets)
     return _bucketed(df, order, cuts)
 
 
@@ -164,7 +170,11 @@ def running_in_buckets(
     are broadcast. Each bucket is sorted by one task.
     """
     order = [order] if isinstance(order, str) else list(order)
-    values = df.select("*", *[e.alias(f"_in_{n}") for n, e in sums.items()])
+    # The join below would add a null test on a nullable bucket to one of its two branches. Pushed
+    # down, the test computes the bucket for every input row and makes the branches differ, so
+    # that Spark could no longer run their common part once.
+    solid = df.withColumn(bucket, F.coalesce(F.col(bucket), F.lit(-1)))
+    values = solid.select("*", *[e.alias(f"_in_{n}") for n, e in sums.items()])
     totals = values.groupBy(*keys, bucket).agg(*[F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(

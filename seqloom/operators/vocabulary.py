@@ -1,9 +1,12 @@
-"""A vocabulary as a table, and text to ids and back by joining with it."""
+"""A vocabulary as a table, and text to ids and back through it."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from seqloom.functions.seeded import digest, prefix_bucket
@@ -11,6 +14,10 @@ from seqloom.functions.text import words
 from seqloom.operators.numbering import running_in_buckets
 
 
+# Entries of a vocabulary that may be sent to every task.
+SMALL_VOCAB = 1_000_000
+
+
 def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
     """Every distinct word with a dense id: ``(token, id, is_special)``.
 
@@ -54,29 +61,75 @@ def encode(
     key: str,
     text: str = "text",
     unknown: int | None = None,
+    small_vocab: int = SMALL_VOCAB,
 ) -> DataFrame:
-    """``(key, input_ids)`` by an equi-join of the words with the vocabulary.
+    """``(key, input_ids)``; a word missing from the vocabulary becomes ``unknown`` (or null).
 
-    Spark broadcasts the vocabulary when its measured size allows and otherwise shuffles on the
-    word, where AQE splits the partitions of very frequent words. Rows without words drop out.
-    A word that is missing from the vocabulary becomes ``unknown`` (null when not given).
+    A vocabulary of at most ``small_vocab`` entries, which any tokenizer's is, goes to every task
+    and the words are looked up inside their row. A larger one is joined: Spark shuffles on the
+    word, with AQE splitting the partitions of very frequent words. Rows without words drop out.
+    ``vocab`` is read more than once, so it should be a stored table.
     """
-    at = df.select(key, F.posexplode(words(F.col(text))).alias("pos", "token"))
-    joined = at.join(vocab.select("token", "id"), "token", "left")
-    ids = F.col("id") if unknown is None else F.coalesce("id", F.lit(unknown))
-    return _in_order(joined.select(key, "pos", ids.alias("value")), key, "input_ids")
+    entries = vocab.select("token", "id")
+    tokens = words(F.col(text))
+    if entries.count() <= small_vocab:
+        ids = _translation(entries, "token", "id", "array<int>", unknown)
+        rows = df.select(key, ids(tokens).alias("input_ids"))
+        return rows.where(F.size("input_ids") > 0)
+    at = df.select(key, F.posexplode(tokens).alias("pos", "token"))
+    found = F.col("id") if unknown is None else F.coalesce("id", F.lit(unknown))
+    joined = at.join(entries, "token", "left").select(key, "pos", found.alias("value"))
+    return _in_order(joined, key, "input_ids")
 
 
 def decode(
-    df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids", skip_special: bool = True
+    df: DataFrame,
+    vocab: DataFrame,
+    key: str,
+    ids: str = "input_ids",
+    skip_special: bool = True,
+    small_vocab: int = SMALL_VOCAB,
 ) -> DataFrame:
-    """``(key, text)``: the tokens of each row joined by spaces, control tokens left out if asked."""
-    at = df.select(key, F.posexplode(ids).alias("pos", "id"))
-    joined = at.join(vocab, "id")
-    if skip_special:
-        joined = joined.where(~F.col("is_special"))
-    tokens = _in_order(joined.select(key, "pos", F.col("token").alias("value")), key, "tokens")
-    return tokens.select(key, F.array_join("tokens", " ").alias("text"))
+    """``(key, text)``: the tokens of each row joined by spaces, control tokens left out if asked.
+
+    Ids outside the vocabulary have no text. The two ways are those of ``encode``.
+    """
+    entries = vocab.where(~F.col("is_special")) if skip_special else vocab
+    entries = entries.select("id", "token")
+    if entries.count() <= small_vocab:
+        tokens = _translation(entries, "id", "token", "array<string>")
+        rows = df.select(key, F.array_compact(tokens(F.col(ids))).alias("tokens"))
+        rows = rows.where(F.size("tokens") > 0)
+    else:
+        at = df.select(key, F.posexplode(ids).alias("pos", "id"))
+        joined = at.join(entries, "id").select(key, "pos", F.col("token").alias("value"))
+        rows = _in_order(joined, key, "tokens")
+    return rows.select(key, F.array_join("tokens", " ").alias("text"))
+
+
+def _translation(entries: DataFrame, source: str, target: str, to: str, missing=None):
+    """A function over array columns that replaces every element by its entry, or ``missing``.
+
+    The entries were counted, so they may pass through the driver. Each Arrow batch is one hash
+    lookup of all its elements.
+    """
+    table = entries.toArrow()
+    spark = entries.sparkSession
+    pair = spark.sparkContext.broadcast(
+        tuple(table.column(c).combine_chunks() for c in (source, target))
+    )
+
+    def translate(rows: pa.Array) -> pa.Array:
+        keys, values = pair.value
+        at = pc.index_in(rows.flatten().cast(keys.type), value_set=keys)
+        found = values.take(at)
+        if missing is not None:
+            found = pc.fill_null(found, missing)
+        lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, found)
+
+    return F.arrow_udf(translate, to)
 
 
 def _in_order(pieces: DataFrame, key: str, name: str) -> DataFrame:

@@ -8,6 +8,8 @@ from seqloom.functions.text import CODEPOINTS, CONTROL_TOKENS, word_count
 from seqloom.operators import blocks, decoding, sharding, vocabulary
 from seqloom.operators.ledger import token_counts
 from seqloom.plans.registry import joined, query, table
+from seqloom.session import stored
+from seqloom.sources.corpus import spread
 
 SEQ_LEN = 512
 MAX_TOKENS = 4 * SEQ_LEN  # the truncation rule: four blocks' worth of one document
@@ -59,6 +61,10 @@ def show(packed: DataFrame, *group: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in micro-batches, with only the text that truncation can keep."""
     docs = table(spark, sf_dir, "documents").select(
@@ -100,7 +106,7 @@ def scan_documents(spark, sf_dir):
     "FROM documents",
 )
 def tokenize_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id",
         word_count(F.col("text")).alias("n_words"),
         CODEPOINTS.count(F.col("text"), None).alias("n_tokens"),
@@ -119,7 +125,8 @@ VOCAB_SQL = f"""words AS (SELECT DISTINCT unnest({WORDS_SQL}) AS token FROM docu
 
 
 def vocab_of(spark, sf_dir):
-    base = vocabulary.build_vocab(table(spark, sf_dir, "documents"))
+    """The base vocabulary is stored: its highest id and its size are then a look at the files."""
+    base = stored(vocabulary.build_vocab(texts(spark, sf_dir)), "vocab")
     return vocabulary.extend_vocab(base, CONTROL_TOKENS)
 
 
@@ -137,7 +144,7 @@ def vocab_with_specials(spark, sf_dir):
     FROM tokens JOIN vocab USING (token) GROUP BY doc_id""",
 )
 def encode_vocab_join(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     ids = vocabulary.encode(docs, vocab_of(spark, sf_dir), "doc_id")
     return ids.select("doc_id", F.size("input_ids").alias("n"), joined("input_ids").alias("input_ids"))
 
@@ -149,7 +156,7 @@ def encode_vocab_join(spark, sf_dir):
 )
 def decode_roundtrip(spark, sf_dir):
     """Words to ids with the role and end tokens around them, and back without those."""
-    docs, vocab = table(spark, sf_dir, "documents"), vocab_of(spark, sf_dir)
+    docs, vocab = texts(spark, sf_dir), vocab_of(spark, sf_dir)
     framed = docs.select(
         "doc_id", F.concat_ws(" ", F.lit(CONTROL_TOKENS[0]), "text", F.lit(CONTROL_TOKENS[2])).alias("text")
     )
@@ -162,7 +169,7 @@ def decode_roundtrip(spark, sf_dir):
     "FROM documents",
 )
 def compact_by_mask(spark, sf_dir):
-    ids = table(spark, sf_dir, "documents").select("doc_id", CODEPOINTS.ids(F.col("text"), None).alias("ids"))
+    ids = texts(spark, sf_dir).select("doc_id", CODEPOINTS.ids(F.col("text"), None).alias("ids"))
     masked = ids.select("doc_id", "ids", F.transform("ids", lambda i: (i != 32).cast("int")).alias("mask"))
     return masked.select(
         "doc_id", joined(decoding.compact(F.col("ids"), F.col("mask"))).alias("input_ids")
@@ -248,7 +255,7 @@ def pack_with_empty_batches(spark, sf_dir):
     FROM docs WHERE len(f) >= 2""",
 )
 def unpacked_blocks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir).select(
         "doc_id", CODEPOINTS.ids(F.col("text"), SEQ_LEN + 1).alias("input_ids")
     )
     return show(blocks.unpacked_blocks(docs, ["doc_id"], SEQ_LEN, PAD), "doc_id")

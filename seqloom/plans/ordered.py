@@ -104,7 +104,7 @@ def sequences(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(
         F.expr(f"vec_id div {SEQ}").alias("seq_id"),
         (F.col("vec_id") % SEQ).alias("pos"),
-        vx.doubles(F.col("embedding")).alias("x"),
+        F.col("embedding").alias("x"),
     )
 
 

@@ -38,6 +38,15 @@ def scan_files(
     return reader.parquet(*([files] if isinstance(files, str) else files))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows to all cores if the files give less tasks than that, else leave them alone.
+
+    For work that stays inside the rows of a few small files; a large table never qualifies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Catalog:
     """Datasets by registered name: ``(name, config) -> {split: paths}``."""
 

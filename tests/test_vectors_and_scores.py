@@ -181,12 +181,16 @@ def test_vocabulary_round_trip(spark):
     entries = {r["token"]: (r["id"], r["is_special"]) for r in vocab.collect()}
     assert sorted(i for i, _ in entries.values()) == [0, 1, 2, 3, 4]
     assert entries["<x>"] == (3, True) and entries["<y>"] == (4, True)
-    ids = vocabulary.encode(docs, vocab, "d")
-    back = {r["d"]: r["text"] for r in vocabulary.decode(ids, vocab, "d").collect()}
-    assert back == {1: "b a b", 2: "c a"}
     other = spark.createDataFrame([(1, "b new <x>")], "d int, text string")
-    known = vocabulary.encode(other, vocab, "d", unknown=99)
-    assert known.first()["input_ids"] == [entries["b"][0], 99, 3]
-    assert vocabulary.decode(known, vocab, "d").first()["text"] == "b"
-    assert vocabulary.decode(known, vocab, "d", skip_special=False).first()["text"] == "b <x>"
+    # Looked up inside the rows, then by joins.
+    for small in (100, 0):
+        ids = vocabulary.encode(docs, vocab, "d", small_vocab=small)
+        back = {r["d"]: r["text"] for r in vocabulary.decode(ids, vocab, "d", small_vocab=small).collect()}
+        assert back == {1: "b a b", 2: "c a"}
+        known = vocabulary.encode(other, vocab, "d", unknown=99, small_vocab=small)
+        assert known.first()["input_ids"] == [entries["b"][0], 99, 3]
+        assert vocabulary.encode(other, vocab, "d", small_vocab=small).first()["input_ids"] == [entries["b"][0], None, 3]
+        assert vocabulary.decode(known, vocab, "d", small_vocab=small).first()["text"] == "b"
+        whole = vocabulary.decode(known, vocab, "d", skip_special=False, small_vocab=small)
+        assert whole.first()["text"] == "b <x>"
     assert [vocabulary.pad_id(*a) for a in ((5, 6), (None, 6), (None, None))] == [5, 6, 0]
