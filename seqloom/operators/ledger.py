@@ -46,26 +46,34 @@ def token_counts(blocks: DataFrame, by: list[str], labels: str = "labels") -> Da
     )
 
 
-def packed_counts(df: DataFrame, by: list[str], length: Column, seq_len: int) -> DataFrame:
-    """What ``token_counts`` gives for the packed groups, from document lengths alone.
+def packed_counts(
+    df: DataFrame, by: list[str], length: Column, seq_len: int, pack: bool = True, keep_empty: bool = False
+) -> DataFrame:
+    """What ``token_counts`` gives for the blocks of each group, from document lengths alone.
 
-    A stream of ``n`` tokens holds ``n div T`` full blocks and a rest that is a block of its own
-    from two tokens on; a block of ``m`` tokens has ``m - 1`` targets. No text is moved.
+    Packed, a stream of ``n`` tokens holds ``n div T`` full blocks and a rest that is a block of
+    its own from two tokens on; unpacked, a document of two or more tokens is one block. A block
+    of ``m`` tokens has ``m - 1`` targets. No text is moved. With ``keep_empty`` a group without
+    blocks counts as one example, the block of padding it is given.
     """
     size = seq_len + 1
-    total = (
-        df.select(*by, length.cast("long").alias("_n"))
-        .where(F.col("_n") > 0)
-        .groupBy(*by)
-        .agg(F.sum(F.col("_n") + 1).alias("_total"))
-    )
-    full, rest = F.expr(f"_total div {size}"), F.col("_total") % size
-    tail = (rest >= 2).cast("long")
-    return total.select(
-        *by,
-        (full * seq_len + tail * (rest - 1)).alias("supervised_tokens"),
-        (full + tail).alias("examples"),
+    sized = df.select(*by, length.cast("long").alias("_n"))
+    cut = F.least(F.col("_n"), F.lit(size).cast("long"))
+    sums = sized.groupBy(*by).agg(
+        F.sum(F.when(F.col("_n") > 0, F.col("_n") + 1).otherwise(0)).alias("_total"),
+        F.sum(F.when(cut >= 2, cut - 1).otherwise(0)).alias("_targets"),
+        F.count_if(cut >= 2).alias("_blocks"),
     )
+    if pack:
+        full, rest = F.expr(f"_total div {size}"), F.col("_total") % size
+        tail = (rest >= 2).cast("long")
+        targets, blocks = full * seq_len + tail * (rest - 1), full + tail
+    else:
+        targets, blocks = F.col("_targets"), F.col("_blocks")
+    counts = sums.select(*by, targets.alias("supervised_tokens"), blocks.alias("examples"))
+    if keep_empty:
+        return counts.withColumn("examples", F.greatest("examples", F.lit(1).cast("long")))
+    return counts.where(F.col("examples") > 0)
 
 
 def step_ledger(counts: DataFrame, steps: int, step: str = "step") -> DataFrame:

@@ -14,8 +14,8 @@ from seqloom.functions.text import words
 from seqloom.operators.numbering import running_in_buckets
 
 
-# Entries of a vocabulary that may be sent to every task.
-SMALL_VOCAB = 1_000_000
+# Entries of a vocabulary that may be sent to every task: the size of the usual tokenizers.
+SMALL_VOCAB = 262_144
 
 
 def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
