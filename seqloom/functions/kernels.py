@@ -13,6 +13,13 @@ from collections.abc import Sequence
 import numpy as np
 
 
+def advance_segments(kernel, states, bounds, inputs, out) -> None:
+    """Advance one state per segment ``[low, high)`` of the rows, in place."""
+    for i, (low, high) in enumerate(bounds):
+        if low < high:
+            states[i], out[low:high] = kernel.advance(states[i], *[x[low:high] for x in inputs])
+
+
 class SlowMemory:
     """Normalised cumulative memory: ``sum(phi*v) / max(sum(phi), eps)`` with ``phi = elu(q)+1``."""
 
@@ -96,6 +103,27 @@ class FastMemory:
             out[t] = q[t] @ memory
         return memory.ravel(), out
 
+    def advance_segments(self, states, bounds, inputs, out) -> None:
+        """Short segments in step: row ``t`` of all of them at once, the longest ones first."""
+        low, high = np.array(bounds).T
+        order = np.argsort(low - high, kind="stable")
+        length = (high - low)[order]
+        if length[0] * 4 > length.sum():
+            advance_segments(self, states, bounds, inputs, out)
+            return
+        k, q, v, decay, erase, write = inputs
+        k, q = self._unit(k), self._unit(q)
+        memory = states[order].reshape(len(order), self.rank, self.dim)
+        for t in range(length[0]):
+            n = np.searchsorted(-length, -t, side="left")
+            at = low[order[:n]] + t
+            read = np.einsum("nr,nrd->nd", k[at], memory[:n])
+            change = write[at, None] * v[at] - erase[at, None] * read
+            memory[:n] *= decay[at, None, None]
+            memory[:n] += k[at][:, :, None] * change[:, None, :]
+            out[at] = np.einsum("nr,nrd->nd", q[at], memory[:n])
+        states[order] = memory.reshape(len(order), -1)
+
     def summarise(self, summary, k, q, v, decay, erase, write):
         r = self.rank
         both = np.hstack([np.eye(r), np.zeros((r, self.dim))])

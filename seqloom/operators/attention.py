@@ -73,19 +73,22 @@ def causal_attention(
     # its group: it brings the queries and is the only one that needs the causal mask.
     sent = packed.withColumn("_to", F.explode(F.sequence("_tile", "_final")))
     own = F.col("_to") == F.col("_tile")
+    queries = F.when(own, F.size("pos")).otherwise(0)
     sent = sent.select(
         *keys,
         "_to",
         own.alias("_own"),
         "_tile",
-        F.when(own, F.col("pos")).alias("pos"),
-        F.when(own, F.col("q")).alias("q"),
+        F.slice("pos", 1, queries).alias("pos"),
+        F.slice("q", 1, F.when(own, F.size("q")).otherwise(0)).alias("q"),
         "k",
         "v",
         "rho",
     )
     part = [*keys, "_to"]
-    ordered = sent.repartition(*part).sortWithinPartitions(*part, F.col("_own").desc(), "_tile")
+    # Work per row outweighs its bytes: AQE should not merge these partitions by size.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = sent.repartition(tasks, *part).sortWithinPartitions(*part, F.col("_own").desc(), "_tile")
     schema = T.StructType(
         [df.schema[c] for c in keys]
         + [T.StructField(pos, T.LongType()), T.StructField(name, T.ArrayType(T.DoubleType()))]

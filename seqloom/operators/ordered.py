@@ -8,12 +8,14 @@ Keys that are too heavy for one task are cut into ordered chunks (see ``numberin
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from seqloom.functions.kernels import advance_segments
 from seqloom.functions.vectors import elu1
 from seqloom.operators.numbering import (
     CARRIED,
@@ -132,9 +134,11 @@ def scan(
     columns = [inputs[n] for n in kernel.widths]
     widths = list(kernel.widths.values())
     heavy = heavy_keys(df, keys, order, rows_per_chunk)
+    # The work per row outweighs its bytes, so AQE should not merge these partitions by size.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     result = T.StructType(df.schema.fields + [T.StructField(name, T.ArrayType(T.DoubleType()))])
     if not heavy:
-        rows = df.repartition(*keys).sortWithinPartitions(*keys, order)
+        rows = df.repartition(tasks, *keys).sortWithinPartitions(*keys, order)
         return rows.mapInArrow(_walk(kernel, keys, columns, widths, name, df.columns), result)
 
     part = [*keys, CHUNK]
@@ -143,7 +147,7 @@ def scan(
         T.StructField(STATE, T.ArrayType(T.DoubleType())),
     ]
     chunked = with_chunks(df, keys, order, heavy)
-    pieces = chunked.where(F.col(CHUNK).isNotNull()).repartition(*part)
+    pieces = chunked.where(F.col(CHUNK).isNotNull()).repartition(tasks, *part)
     summaries = pieces.sortWithinPartitions(*part, order).mapInArrow(
         _summarise(kernel, part, columns, widths), T.StructType(key_fields)
     )
@@ -151,12 +155,11 @@ def scan(
     carried = summaries.repartition(*keys).sortWithinPartitions(*part).mapInArrow(
         _carry(kernel, keys, part), T.StructType(key_fields)
     )
-    stacked = chunked.withColumn(STATE, F.lit(None).cast("array<double>")).unionByName(
-        carried, allowMissingColumns=True
-    )
-    rows = stacked.repartition(*part).sortWithinPartitions(
-        *part, F.col(STATE).isNotNull().desc(), F.col(order)
-    )
+    # Rows without a state hold an empty array: long runs of null arrays make the conversion to
+    # Arrow quadratic in the batch.
+    plain = chunked.withColumns({CARRIED: F.lit(False), STATE: F.array().cast("array<double>")})
+    stacked = plain.unionByName(carried.withColumn(CARRIED, F.lit(True)), allowMissingColumns=True)
+    rows = stacked.repartition(tasks, *part).sortWithinPartitions(*part, F.col(CARRIED).desc(), F.col(order))
     return rows.mapInArrow(_walk(kernel, part, columns, widths, name, df.columns), result)
 
 
@@ -197,6 +200,9 @@ def _array(rows: np.ndarray) -> pa.Array:
 
 
 def _walk(kernel, part, columns, widths, name, keep):
+    own = getattr(kernel, "advance_segments", None)
+    advance = own or partial(advance_segments, kernel)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         previous, state = None, None
         for batch in batches:
@@ -206,21 +212,20 @@ def _walk(kernel, part, columns, widths, name, keep):
             previous = _last_key(batch, part)
             start_rows = np.zeros(batch.num_rows, dtype=bool)
             states = None
-            if STATE in batch.schema.names:
+            if CARRIED in batch.schema.names:
                 states = batch.column(STATE)
-                start_rows = states.is_valid().to_numpy(zero_copy_only=False)
+                start_rows = batch.column(CARRIED).to_numpy(zero_copy_only=False)
             data = batch.filter(pa.array(~start_rows)) if start_rows.any() else batch
             at = np.concatenate([[0], np.cumsum(~start_rows)])
             inputs = [_matrix(data.column(c), w) for c, w in zip(columns, widths)]
             out = np.empty((data.num_rows, kernel.out_size))
-            for i, (s, e) in enumerate(segments):
-                if start_rows[s]:
-                    state = np.asarray(states[s].as_py(), dtype=np.float64)
-                elif i or not goes_on:
-                    state = np.zeros(kernel.state_size)
-                lo, hi = at[s], at[e]
-                if lo < hi:
-                    state, out[lo:hi] = kernel.advance(state, *[x[lo:hi] for x in inputs])
+            held = np.zeros((len(segments), kernel.state_size))
+            if goes_on:
+                held[0] = state
+            for i in np.flatnonzero(start_rows[[s for s, _ in segments]]):
+                held[i] = states[segments[i][0]].as_py()
+            advance(held, [(at[s], at[e]) for s, e in segments], inputs, out)
+            state = held[-1]
             if data.num_rows:
                 fields = [data.column(c) for c in keep] + [_array(out)]
                 yield pa.RecordBatch.from_arrays(fields, names=[*keep, name])

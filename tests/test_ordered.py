@@ -150,3 +150,21 @@ def test_option_checks():
         kernels.CausalFir([], [])
     with pytest.raises(ValueError):
         kernels.FastMemory(0, 4)
+
+
+def test_fast_memory_in_step_equals_one_by_one():
+    rng = np.random.default_rng(8)
+    kernel = kernels.FastMemory(3, 4)
+    lengths = [0, 5, 1, 7, 7, 2, 0, 6, 4, 3]
+    n = sum(lengths)
+    inputs = [rng.normal(size=(n, w)) for w in (3, 3, 4)] + [rng.uniform(size=n) for _ in range(3)]
+    ends = np.cumsum(lengths)
+    bounds = list(zip(ends - lengths, ends))
+    start = rng.normal(size=(len(lengths), kernel.state_size))
+    found = []
+    for way in (kernel.advance_segments, lambda *a: kernels.advance_segments(kernel, *a)):
+        states, out = start.copy(), np.empty((n, 4))
+        way(states, bounds, inputs, out)
+        found.append((states, out))
+    assert np.allclose(found[0][0], found[1][0], atol=1e-12)
+    assert np.allclose(found[0][1], found[1][1], atol=1e-12)
