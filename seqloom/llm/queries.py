@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import mixing, sharding, url_filter
+from seqloom.llm import mixing, near_duplicates, sharding, url_filter
 from seqloom.llm.registry import query
 from seqloom.llm.text import word_count
 from seqloom.plans.registry import table
@@ -62,6 +62,44 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, "url", HOST_RULES, PATTERN_RULES).drop("url")
 
 
+# ---------------------------------------------------------------------------------------------- op2
+
+# Shingles that two documents share are joined, counted per pair, and linked pairs closed transitively.
+_NEAR_SQL = rf"""
+WITH RECURSIVE
+w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+classes AS (
+  SELECT n.doc_id, min(n.doc_id) OVER (PARTITION BY k) AS class
+  FROM n JOIN (SELECT doc_id, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS k FROM s GROUP BY doc_id) USING (doc_id)),
+reps AS MATERIALIZED (SELECT s.* FROM s JOIN classes USING (doc_id) WHERE doc_id = class),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM reps a JOIN reps b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 75 * ((SELECT n FROM n WHERE n.doc_id = a.doc_id) + (SELECT n FROM n WHERE n.doc_id = b.doc_id) - count(*))),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM classes WHERE doc_id = class
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least.component_id, d.doc_id) AS component_id,
+  coalesce(least.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN classes USING (doc_id) LEFT JOIN least ON least.a = classes.class
+"""
+
+
+@query("op2_near_duplicates", _NEAR_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return near_duplicates.near_duplicates(docs, "doc_id", "text").drop("text_a", "text_b")
+
+
 # ---------------------------------------------------------------------------------------------- op9
 
 SHARDS = 16
