@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import mixing, near_duplicates, sharding, url_filter
+from seqloom.llm import mixing, near_duplicates, sharding, token_store, url_filter
 from seqloom.llm.registry import query
 from seqloom.llm.text import word_count
 from seqloom.plans.registry import table
@@ -69,7 +69,8 @@ _NEAR_SQL = rf"""
 WITH RECURSIVE
 w AS (
   SELECT doc_id, regexp_extract_all(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS words
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS shingle
@@ -100,6 +101,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(docs, "doc_id", "text").drop("text_a", "text_b")
 
 
+# ---------------------------------------------------------------------------------------------- op4
+
+
+@query("op4_token_store")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_store.write_tokens(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_tokens(manifest)
+
+
 # ---------------------------------------------------------------------------------------------- op9
 
 SHARDS = 16
