@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import mixing, near_duplicates, sharding, token_store, url_filter
+from seqloom.llm import mixing, near_duplicates, quality, sharding, token_store, url_filter
 from seqloom.llm.registry import query
 from seqloom.llm.text import word_count
 from seqloom.plans.registry import table
@@ -113,6 +113,65 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(manifest)
 
 
+# ---------------------------------------------------------------------------------------------- op5
+
+
+def _quality_sql() -> str:
+    rules, alpha = len(quality.RULES), quality.ALPHA / len(quality.RULES)
+    share = {r: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END" for r, (a, b) in quality.RULES.items()}
+    shares = " UNION ALL ".join(f"SELECT stratum, good, '{r}' AS rule, {x} AS share FROM held" for r, x in share.items())
+    # The most lenient of equally good cutoffs is the largest.
+    cut = ", ".join(f"max(cutoff) FILTER (rule = '{r}') AS {r}_cut" for r in share)
+    broken = ", ".join(f"CASE WHEN {x} > {r}_cut THEN '{r}' END" for r, x in share.items())
+    gone = "length({0}) - length(translate({0}, '{1}', ''))".format
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""
+    WITH t AS (
+      SELECT doc_id, lang AS stratum, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(translate(x, {spaces}, '')) > 0) AS l
+      FROM documents),
+    windows AS (
+      SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) > 2)),
+    again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS p FROM again) GROUP BY doc_id),
+    f AS (
+      SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(translate(t, {spaces}, ''))::BIGINT AS word_chars,
+        ({gone("t", quality.SYMBOLS)})::BIGINT AS n_symbols, ({gone("t", quality.CAPITALS)})::BIGINT AS n_capitals,
+        len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+        coalesce(n, 0)::BIGINT AS n_repeat_words
+      FROM t LEFT JOIN covered USING (doc_id)),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+    held AS (SELECT b.*, quality AS good FROM b JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1)),
+    shares AS ({shares}),
+    counts AS (
+      SELECT stratum, rule, cutoff, sum(good)::BIGINT AS n,
+        coalesce(sum(good) FILTER (share > cutoff), 0)::BIGINT AS k, count(*) FILTER (share > cutoff AND good = 0) AS bad
+      FROM shares, (SELECT unnest({list(quality.CUTOFFS)!r})::DOUBLE AS cutoff) GROUP BY ALL),
+    tested AS (
+      SELECT *, CASE WHEN k >= n * {alpha!r} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(
+        lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1)
+        + i * ln({alpha!r}::DOUBLE) + (n - i) * ln({1 - alpha!r}::DOUBLE)))) END AS p
+      FROM counts),
+    chosen AS (
+      SELECT stratum, rule, cutoff FROM tested
+      WHERE bad > 0 AND p <= {quality.DELTA / rules!r}::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT stratum FROM held))
+      QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad DESC, k, cutoff DESC) = 1),
+    cuts AS (SELECT stratum, {cut} FROM chosen GROUP BY stratum),
+    judged AS (
+      SELECT b.*, CASE WHEN base_failed THEN 'base' ELSE array_to_string(list_filter([{broken}], lambda x: x IS NOT NULL), ',') END AS rejected_by
+      FROM b LEFT JOIN cuts ON b.stratum IS NOT DISTINCT FROM cuts.stratum)
+    SELECT *, rejected_by = '' AS kept FROM judged
+    """
+
+
+@query("op5_quality_rules", _quality_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.judge(docs, "doc_id", "text", "lang", labels, "quality")
+
+
 # ---------------------------------------------------------------------------------------------- op9
 
 SHARDS = 16
