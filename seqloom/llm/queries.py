@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import mixing, near_duplicates, quality, sharding, token_store, url_filter
+from seqloom.llm import mixing, near_duplicates, pii, quality, sharding, token_store, url_filter
 from seqloom.llm.registry import query
 from seqloom.llm.text import word_count
 from seqloom.plans.registry import table
@@ -172,6 +172,56 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, "doc_id", "text", "lang", labels, "quality")
 
 
+# ---------------------------------------------------------------------------------------------- op8
+
+
+def _base_sql() -> str:
+    pattern = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    double = f"list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN i % 2 = 0 THEN [0,2,4,6,8,1,3,5,7,9][substr({digits}, -i, 1)::INT + 1] ELSE substr({digits}, -i, 1)::INT END)"
+    valid = {
+        "email": "true",
+        "ip": "list_max(list_transform(string_split(m, '.'), lambda p: p::HUGEINT)) <= 255",
+        "card": f"len({digits}) BETWEEN 14 AND 19 AND list_sum({double}) % 10 = 0",
+        "phone": f"len({digits}) BETWEEN 10 AND 15",
+    }
+    each = " UNION ALL ".join(
+        f"""SELECT doc_id, {n} AS n, '{k}' AS kind, p AS parts, i, p[i] AS m FROM (
+          SELECT doc_id, p, unnest(range(2, len(p) + 1, 2)) AS i FROM (
+            SELECT doc_id, string_split(regexp_replace(t, '{pattern[k]}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM t))"""
+        for n, k in enumerate(pii.KINDS)
+    )
+    check = " ".join(f"WHEN '{k}' THEN {valid[k]}" for k in pii.KINDS)
+    return f"""
+    WITH t AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+    found AS ({each}),
+    placed AS (
+      SELECT doc_id, n, kind, length(array_to_string(parts[1:i-1], '')) AS a, length(m) AS len FROM found WHERE CASE kind {check} END),
+    listed AS (
+      SELECT doc_id, string_agg(kind || ':' || a || ':' || (a + len), ',' ORDER BY a, n) AS spans,
+        {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.KINDS)}
+      FROM placed GROUP BY doc_id)
+    SELECT documents.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(spans, '')) AS base_sha256
+    FROM documents LEFT JOIN listed USING (doc_id)
+    """
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("personal_data_base", _base_sql())
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fixed patterns of op8 find; the bootstrapped spans are tested against a loop."""
+    return op8(spark, sf_dir).drop("spans")
+
+
 # ---------------------------------------------------------------------------------------------- op9
 
 SHARDS = 16
