@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import mixing, near_duplicates, pii, quality, sharding, token_store, url_filter
+from seqloom.llm import mixing, near_duplicates, pii, quality, sharding, token_store, toxicity, url_filter
 from seqloom.llm.registry import query
 from seqloom.llm.text import word_count
 from seqloom.plans.registry import table
@@ -101,6 +101,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(docs, "doc_id", "text").drop("text_a", "text_b")
 
 
+# ---------------------------------------------------------------------------------------------- op3
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs = docs.select("doc_id", "text", "lang")
+    return toxicity.score(docs, labels, "doc_id", "text", "lang", "toxic").drop("text")
+
+
 # ---------------------------------------------------------------------------------------------- op4
 
 

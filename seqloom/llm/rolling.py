@@ -59,21 +59,33 @@ def texts_as_bytes(texts) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def word_hashes(data: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and where each text's words begin (one more at the end).
+#: Anything of ASCII but letters and digits.
+IS_PUNCTUATION = np.array([not chr(i).isalnum() and i < 128 for i in range(256)])
 
-    ``fold`` lower-cases A-Z.
-    """
+
+def word_spans(
+    data: list[bytes], fold: bool = True, separators: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Running sums over all texts, starts and ends of the words, and where each text's words begin (one more at the end)."""
     joined = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
-    space = IS_SPACE[joined]
-    change = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
+    between = separators[joined]
+    change = np.flatnonzero(between[1:] != between[:-1]) + 1
+    if not between[0]:
         change = np.concatenate(([0], change))
     starts, ends = change[0::2], change[1::2]
-    hashes = mix(stretch(running((FOLDED_VALUES if fold else BYTE_VALUES)[joined]), starts, ends))
+    sums = running((FOLDED_VALUES if fold else BYTE_VALUES)[joined])
     lengths = np.array([len(d) + 1 for d in data], np.int64)
     first = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
-    return hashes, first
+    return sums, starts, ends, first
+
+
+def word_hashes(data: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts in order, and where each text's words begin.
+
+    ``fold`` lower-cases A-Z.
+    """
+    sums, starts, ends, first = word_spans(data, fold)
+    return mix(stretch(sums, starts, ends)), first
 
 
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
