@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import mixing, near_duplicates, pii, quality, sharding, token_store, toxicity, url_filter
+from seqloom.llm import decontamination, mixing, near_duplicates, pii, quality, sharding, token_store, toxicity, url_filter
 from seqloom.llm.registry import query
 from seqloom.llm.text import word_count
 from seqloom.plans.registry import table
@@ -182,6 +182,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, "doc_id", "text", "lang", labels, "quality")
 
 
+# ---------------------------------------------------------------------------------------------- op6
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.contaminated(docs.select("doc_id", "text"), "text", items, "item_id", "text").drop("text")
+
+
 # ---------------------------------------------------------------------------------------------- op8
 
 
