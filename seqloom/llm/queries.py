@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import decontamination, mixing, near_duplicates, pii, quality, sharding, token_store, toxicity, url_filter
+from seqloom.llm import decontamination, mixing, near_duplicates, pii, quality, repeats, sharding, token_store, toxicity, url_filter
 from seqloom.llm.registry import query
 from seqloom.llm.text import word_count
 from seqloom.plans.registry import table
@@ -191,6 +191,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(docs.select("doc_id", "text"), "text", items, "item_id", "text").drop("text")
 
 
+# ---------------------------------------------------------------------------------------------- op7
+
+
+@query("op7_repeats")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs, "text")
+
+
 # ---------------------------------------------------------------------------------------------- op8
 
 
