@@ -14,6 +14,7 @@ that runs again leaves an unnamed file behind and nothing else. Files are writte
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -31,7 +32,7 @@ from seqloom.session import scratch_path, stored
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 64
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 400_000
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST_SCHEMA = "part int, folder string, name string, n_docs long, n_tokens long"
 
@@ -39,38 +40,65 @@ MANIFEST_SCHEMA = "part int, folder string, name string, n_docs long, n_tokens l
 class Encoder:
     """Ids of whole texts. A text is encoded in pieces that its tokenizer would never join.
 
-    The byte-level pre-tokenizer starts a new token at a space unless white space stands on both sides
-    of it; texts with such a space, or with the text of an added token, are encoded whole. All other
-    pieces recur, so each worker process keeps the ids of those it has met.
+    A byte-level pre-tokenizer starts a new token at a space unless white space stands on both sides of
+    it; texts with such a space, or with the text of an added token, are encoded whole, and so is
+    every text if the tokenizer is of another kind. All other pieces recur, so each worker process keeps
+    the ids of those it has met; new ones are encoded as one string and told apart by their bytes.
     """
 
     JOINED = re.compile(r"\s (?:\s|\Z)")
+    SPACE = re.compile(r"\s")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        before = json.loads(self.tokenizer.to_str())
+        split = before["pre_tokenizer"] or {}
+        self.in_pieces = (
+            split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and not before["normalizer"]
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2") if max(vocabulary.values(), default=0) < 1 << 16 else np.dtype("<u4")
+        # In a byte-level vocabulary each character is one byte.
+        self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         # Code that travels by value has no module to keep this in between tasks.
         kept = sys.modules.setdefault("seqloom_piece_ids", types.ModuleType("seqloom_piece_ids"))
         self.pieces: dict[str, bytes] = kept.__dict__.setdefault(f"ids of {path}", {})
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _learn(self, new: list[str]) -> None:
+        """Add the ids of pieces, each with the space before it."""
+        odd = [p for p in new if not p or self.SPACE.search(p)]
+        self.pieces.update(zip(odd, self._whole([" " + p for p in odd]), strict=True))
+        plain = [p for p in new if p and not self.SPACE.search(p)] if odd else new
+        if plain:
+            (found,) = self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)
+            ids = np.array(found.ids, self.dtype)
+            ends = np.cumsum([len(p.encode("utf-8")) + 1 for p in plain])
+            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends, side="right").tolist()
+            data, size, at = ids.tobytes(), self.dtype.itemsize, 0
+            for p, cut in zip(plain, cuts, strict=True):
+                self.pieces[p] = data[at * size : cut * size]
+                at = cut
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.in_pieces:
+            return self._whole(texts)
         whole = [self.JOINED.search(t) is not None or (self.added and self.added.search(t) is not None) for t in texts]
         cut = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        first = self._whole([t if w else c.pop(0) for t, w, c in zip(texts, whole, cut, strict=True)])
         if len(self.pieces) > CACHED_PIECES:
             self.pieces.clear()
-        known = self.pieces
-        new = [p for p in set().union(*(c[1:] for c in cut)) if p not in known]
-        known.update(zip(new, self._bytes([" " + p for p in new]), strict=True))
-        first = self._bytes([t if w else c[0] for t, w, c in zip(texts, whole, cut, strict=True)])
-        return [f + b"".join([known[p] for p in c[1:]]) for f, c in zip(first, cut, strict=True)]
+        self._learn([p for p in set().union(*cut) if p not in self.pieces])
+        ids = self.pieces.__getitem__
+        return [f + b"".join(map(ids, c)) for f, c in zip(first, cut, strict=True)]
 
 
 class _Part:
@@ -156,8 +184,8 @@ def write_tokens(
                 part = _Part(folder, seq_len, encoder.dtype, end_id)
             texts = batch["text"].tolist()
             keys = [None if pd.isna(k) else int(k) for k in batch["doc_id"]]
-            for low in range(0, len(texts), 500):
-                part.add(keys[low : low + 500], encoder.encode(texts[low : low + 500]))
+            for low in range(0, len(texts), 250):
+                part.add(keys[low : low + 250], encoder.encode(texts[low : low + 250]))
         if part is not None:
             row = (TaskContext.get().partitionId(), *part.close())
             yield pd.DataFrame([row], columns=["part", "folder", "name", "n_docs", "n_tokens"])
