@@ -30,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.llm.components import components
 from seqloom.llm.rolling import mix, pieces, shingles, texts_as_bytes, word_hashes
-from seqloom.llm.text import with_row
+from seqloom.llm.text import SPACES, with_row
 from seqloom.session import stored
 
 WORDS = 5
@@ -182,7 +182,7 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         yield pd.concat(held, ignore_index=True)
 
 
-def _link_frames(edges: list[tuple[int, int]], size: int = 10_000) -> pd.DataFrame:
+def _link_frames(edges: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
@@ -227,7 +227,9 @@ def text_key(text: Column) -> list[Column]:
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, text_a, text_b``, one row per row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, group, text_a, text_b``, one row per row of ``docs``.
+
+    ``group`` numbers the components, ``text_a, text_b`` are the hash of the text.
 
     ``component_id`` is the smallest key reachable by links, ``kept`` says that it is the row's own.
     A text without words (null, empty, blank) has no shingles and is linked with nothing: its
@@ -235,7 +237,6 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     ``component_id`` is null and ``kept`` false. Repeated rows are equal texts: one component. An
     empty table gives an empty result. Other columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = source.select("doc_id", *text_key(F.col("text")), "text").mapInPandas(_sketches, SKETCH_SCHEMA)
     sketched = stored(with_row(sketched, "row"), "sketches")
@@ -272,11 +273,35 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     labelled = classes.join(groups, "row", "left").withColumn("component", F.coalesce("component", "row"))
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labelled = labelled.join(least, "component").select("set_a", "set_b", "component_id")
+    labelled = labelled.join(least, "component").select("set_a", "set_b", "component_id", F.col("component").alias("group"))
     return (
         sketched.drop("bands", "signature")
         .join(labelled, ["set_a", "set_b"], "left")
         .withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-        .select("doc_id", "n_shingles", "component_id", "kept", "text_a", "text_b")
+        .withColumn("group", F.coalesce("group", "row"))
+        .select("doc_id", "n_shingles", "component_id", "kept", "group", "text_a", "text_b")
+    )
+
+
+def keep_one(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the one with the smallest key (null keys last).
+
+    Of rows equal in key and text one stays. Texts without words are duplicates of nothing and all stay.
+    """
+    labelled = near_duplicates(docs, key, text).where("n_shingles > 0")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b")
+    chosen = labelled.groupBy("group").agg(F.min(rank).alias("k")).select("k.*")
+    chosen = chosen.select("none", F.coalesce("doc_id", F.lit(0)).alias("id"), "text_a", "text_b")
+
+    blank = F.length(F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, "")) == 0
+    keyed = docs.where(~blank).select(
+        F.struct(*docs.columns).alias("doc"),
+        F.col(key).isNull().alias("none"),
+        F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"),
+        *text_key(F.col(text)),
     )
+    keys = ["none", "id", "text_a", "text_b"]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("none"))
+    keyed = keyed.withColumn("place", first).where("place = 1").drop("place")
+    return keyed.join(chosen, keys, "left_semi").select("doc.*").union(docs.where(blank))

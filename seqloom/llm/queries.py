@@ -98,7 +98,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN classes USING (doc_id) LEF
 @query("op2_near_duplicates", _NEAR_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return near_duplicates.near_duplicates(docs, "doc_id", "text").drop("text_a", "text_b")
+    return near_duplicates.near_duplicates(docs, "doc_id", "text").drop("group", "text_a", "text_b")
 
 
 # ---------------------------------------------------------------------------------------------- op3

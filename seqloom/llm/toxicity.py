@@ -164,12 +164,12 @@ def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, language:
     return marked.where(~held_out(F.col("doc_id"))).join(rows.where(F.octet_length("text") <= FIT_BYTES), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, language: str, label: str) -> tuple[Model, dict]:
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, language: str, label: str) -> tuple[Model | None, dict]:
     """The model and the thresholds, from at most ``FIT_ROWS`` and ``CALIBRATION_ROWS`` rows of each class.
 
     Rows are taken in the order of a hash of their key; those with an even hash fit, the others calibrate.
     A language's threshold is the lowest that rejects no more than ``FALSE_REJECTIONS`` of its clean rows,
-    kept between 0.3 and 0.9; languages with fewer than ``LEAST_ROWS`` such rows have ``THRESHOLD``.
+    kept between 0.5 and 0.9; languages with fewer than ``LEAST_ROWS`` such rows have ``THRESHOLD``.
     Without labels of both classes the model stays untrained and every score is 0.
     """
     rows = _labelled(docs, labels, key, text, language, label).withColumn("hash", F.xxhash64(F.lit("fit"), "doc_id"))
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, language: str,
     for lang, group in clean.groupby("lang"):
         if len(group) >= LEAST_ROWS:
             high = np.sort(group["score"].to_numpy())[::-1]
-            thresholds[lang] = float(np.clip(high[int(FALSE_REJECTIONS * len(high))] + 1e-3, 0.3, 0.9))
+            thresholds[lang] = float(np.clip(high[int(FALSE_REJECTIONS * len(high))] + 1e-3, 0.5, 0.9))
     return model, thresholds
 
 
