@@ -21,7 +21,7 @@ from seqloom.llm.rolling import IS_PUNCTUATION, mix, pieces, stretch, texts_as_b
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5)
 #: Labelled rows of each class to fit on, and to calibrate on; longer texts are not fitted on.
-FIT_ROWS, CALIBRATION_ROWS, FIT_BYTES = 2000, 2000, 200_000
+FIT_ROWS, CALIBRATION_ROWS, FIT_BYTES = 2000, 2000, 20_000
 EPOCHS, BATCH, RATE = 6, 16, 0.1
 THRESHOLD = 0.7
 #: Share of clean calibration rows of a language that its threshold may reject, and the rows it needs.
@@ -158,35 +158,48 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, language: str, label: str) -> DataFrame:
-    marked = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1)")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(language).alias("lang"), F.col(text).alias("text"))
-    return marked.where(~held_out(F.col("doc_id"))).join(rows.where(F.octet_length("text") <= FIT_BYTES), "doc_id")
+def _chosen(labels: DataFrame, key: str, label: str) -> pd.DataFrame:
+    """Keys, labels and halves of the sample: narrow rows only, a bounded number of each kind."""
+    marked = (
+        labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label"))
+        .where("label IN (0, 1) AND doc_id IS NOT NULL")
+        .where(~held_out(F.col("doc_id")))
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
+        .withColumn("hash", F.xxhash64(F.lit("fit"), "doc_id"))
+        .withColumn("half", F.pmod("hash", F.lit(2)).cast("int"))
+    )
+    kinds = [(0, 1, FIT_ROWS), (0, 0, FIT_ROWS), (1, 0, CALIBRATION_ROWS)]
+    frames = [
+        marked.where((F.col("half") == half) & (F.col("label") == value)).orderBy("hash", "doc_id").limit(n).toPandas()
+        for half, value, n in kinds
+    ]
+    return pd.concat(frames, ignore_index=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, language: str, label: str) -> tuple[Model | None, dict]:
     """The model and the thresholds, from at most ``FIT_ROWS`` and ``CALIBRATION_ROWS`` rows of each class.
 
     Rows are taken in the order of a hash of their key; those with an even hash fit, the others calibrate.
+    The chosen keys, bounded in number, go to the documents, and only their texts come back.
     A language's threshold is the lowest that rejects no more than ``FALSE_REJECTIONS`` of its clean rows,
     kept between 0.5 and 0.9; languages with fewer than ``LEAST_ROWS`` such rows have ``THRESHOLD``.
     Without labels of both classes the model stays untrained and every score is 0.
     """
-    rows = _labelled(docs, labels, key, text, language, label).withColumn("hash", F.xxhash64(F.lit("fit"), "doc_id"))
-
-    def taken(half: int, value: int, n: int) -> DataFrame:
-        # The keys are chosen first; only the chosen texts are fetched.
-        chosen = rows.where((F.pmod("hash", F.lit(2)) == half) & (F.col("label") == value))
-        return chosen.select("doc_id", "hash", "label", "lang", "text").orderBy("hash", "doc_id").limit(n)
-
-    sample = taken(0, 1, FIT_ROWS).union(taken(0, 0, FIT_ROWS)).toPandas()
-    if sample["label"].nunique() < 2:
+    chosen = _chosen(labels, key, label)
+    if chosen.loc[chosen["half"] == 0, "label"].nunique() < 2:
         return None, {}
+    keys = docs.sparkSession.createDataFrame([(k,) for k in chosen["doc_id"].tolist()], docs.select(F.col(key).alias("k")).schema)
+    rows = docs.where(F.octet_length(text) <= FIT_BYTES).join(F.broadcast(keys), F.col(key) == F.col("k"))
+    texts = rows.groupBy("k").agg(F.max(F.struct(F.col(text).alias("text"), F.col(language).alias("lang"))).alias("row"))
+    sample = texts.select(F.col("k").alias("doc_id"), "row.*").toPandas().merge(chosen, on="doc_id")
     sample = sample.sort_values(["hash", "doc_id"], kind="stable")
-    model = train(texts_as_bytes(sample["text"]), sample["label"].tolist())
+    fitted, clean = sample[sample["half"] == 0], sample[sample["half"] == 1]
+    if fitted["label"].nunique() < 2:
+        return None, {}
+    model = train(texts_as_bytes(fitted["text"]), fitted["label"].tolist())
     model.squares = {}
-    clean = taken(1, 0, CALIBRATION_ROWS).toPandas()
-    clean["score"] = model.scores(texts_as_bytes(clean["text"]))
+    clean = clean.assign(score=model.scores(texts_as_bytes(clean["text"])))
     thresholds = {}
     for lang, group in clean.groupby("lang"):
         if len(group) >= LEAST_ROWS:
