@@ -5,7 +5,7 @@ placed in code points. The regular expressions are written so that a long run of
 is read once: possessive quantifiers, and a start only where a run starts or a match has just ended.
 
 **Bootstrapping.** The two words before a seed are a pattern of its kind. Identifier-like strings (with a
-digit or ``@``) that no base pattern touches are candidates; a candidate after the same two words is an
+digit or ``@``) that no base pattern claims are candidates; a candidate after the same two words is an
 instance of the pattern. Scores pass over the graph of patterns and instances a fixed number of rounds:
 a pattern's confidence is the mean score of its instances, an unseen instance's score is the noisy-or
 of its patterns' confidences. Patterns need ``SUPPORT`` distinct seeds; instances of patterns that
@@ -94,14 +94,19 @@ def _valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+def _claimed(kind: str, text: Column) -> Column:
+    """Matches that candidates may not touch: valid ones and those of the kind's shape that failed its check."""
+    return F.length(F.translate(text, " -", "")).between(14, 19) if kind == "card" else F.lit(True)
+
+
 def _needed(kind: str, text: Column) -> Column:
     return F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else F.col("digits")
 
 
 def _context(left: Column) -> Column:
     """The two words before a place, lower-cased; null unless both are letters only."""
-    found = F.regexp_extract(left, r"(\p{L}++\s++\p{L}++)[\s:=\"'(]*+$", 1)
-    return F.when(found != "", F.lower(F.regexp_replace(found, r"\s+", " ")))
+    found = F.regexp_extract(left, r"(?U)(\p{L}++\s++\p{L}++)[\s:=\"'(]*+$", 1)
+    return F.when(found != "", F.lower(F.regexp_replace(found, r"(?U)\s+", " ")))
 
 
 def _seeds(kind: str) -> Column:
@@ -117,6 +122,13 @@ def _seeds(kind: str) -> Column:
     return F.transform(F.filter(matches, lambda s: _valid(kind, s["text"])), span)
 
 
+def _blanked(kind: str) -> Column:
+    def blank(x: Column, i: Column) -> Column:
+        return F.when((i % 2 == 1) & _claimed(kind, x), F.repeat(F.lit(_BLANK), F.length(x))).otherwise(x)
+
+    return F.array_join(F.transform(_parts(F.col("t"), PATTERNS[kind]), blank), "")
+
+
 def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``row, doc_id, base, candidates`` of every document, as a table.
 
@@ -128,12 +140,9 @@ def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,text:string,context:string>>")
     for kind in KINDS:
         df = df.withColumn(kind, F.when(_needed(kind, F.col("t")), _seeds(kind)).otherwise(none))
-    # Whatever a base pattern touches, valid or not, is blanked before candidates are looked for.
+    # What a base pattern claims is blanked before candidates are looked for.
     for kind in KINDS:
-        blank = F.transform(
-            _parts(F.col("t"), PATTERNS[kind]), lambda x, i: F.when(i % 2 == 1, F.repeat(F.lit(_BLANK), F.length(x))).otherwise(x)
-        )
-        df = df.withColumn("t", F.when(_needed(kind, F.col("t")), F.array_join(blank, "")).otherwise(F.col("t")))
+        df = df.withColumn("t", F.when(_needed(kind, F.col("t")), _blanked(kind)).otherwise(F.col("t")))
     candidates = F.filter(
         F.transform(
             _placed(_parts(F.col("t"), CANDIDATE)),
