@@ -10,12 +10,15 @@ exactly the repeated strings. Two things keep it near the size of the input inst
 * **Second digit.** The run's whole stretch of bytes. Runs with equal stretches are one class, and a class of
   several runs is repeated throughout; nothing in it need be ordered further. That also folds copies of
   any number into one row.
-* **Last digit.** Only where an anchor's string has several classes (the edges of repeated passages) each
-  window of a class is a row, and windows in two classes are repeated.
+* **Third digit.** Only where an anchor's string has several classes (the edges of repeated passages) runs are
+  cut into groups of ``STEP`` neighbouring places. The bytes common to all windows of a group are its core, those
+  of all together its stretch. A group whose core no other class has holds nothing repeated, one whose
+  stretch another class has is repeated throughout.
+* **Last digit.** Where the stretches of a core differ, each window is a row, and windows in two classes are repeated.
 
 Digits travel as 64-bit hashes. Which strings still have several members is told to the next reading of
 the texts by a bitmap of fixed size (``BITS``): bits set by chance cost rows, never results. Texts are named by a
-128-bit hash, so copies are one text, and are read four times and shuffled once.
+128-bit hash, so copies are one text, and are read five times and shuffled once.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from seqloom.session import stored
 
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM + 1
+STEP = 12
 #: Bits of a bitmap (16 MB), whatever the size of the input.
 BITS = 1 << 27
 #: Bytes handled at a time; longer texts go in overlapping segments of so many window starts.
@@ -95,6 +99,31 @@ def runs(piece: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, dict[str, np
     }
 
 
+def _groups(sums: np.ndarray, r: dict[str, np.ndarray], use: np.ndarray) -> dict[str, np.ndarray]:
+    """The chosen runs cut by how far their windows lie before the anchor: ``STEP`` distances a group."""
+    q = (r["anchor"] - r["low"] + r["piece_low"])[use]
+    near, far = q - r["piece_high"][use], q - r["piece_low"][use]
+    first = near // STEP
+    n = far // STEP - first + 1
+    run = np.repeat(np.arange(len(q)), n)
+    group = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    low, high = np.maximum(group * STEP, near[run]), np.minimum(group * STEP + STEP - 1, far[run])
+    gram = r["gram"][use][run].view(np.uint64)
+    q = q[run]
+    # The core lies in every window of the group, also in those of a run that has only some of them.
+    core = stretch(sums, q - group * STEP, q - group * STEP - STEP + 1 + LENGTH)
+    whole = stretch(sums, q - high, q - low + LENGTH)
+    place = ((low.astype(np.uint64) << np.uint64(32)) | high.astype(np.uint64)) + np.uint64(1)
+    return {
+        "core": mix(mix(core ^ gram) + group.astype(np.uint64)).view(np.int64),
+        "stretch": mix(mix(whole ^ gram) + mix(place)).view(np.int64),
+        "class": r["class"][use][run],
+        "back_low": low.astype(np.int16),
+        "back_high": high.astype(np.int16),
+        "piece_anchor": q,
+    }
+
+
 def _bitmap(values: DataFrame) -> np.ndarray:
     """The bits of the ``gram`` values; the driver gets ``BITS`` bits at most."""
     place = F.col("gram").bitwiseAND(F.lit(BITS - 1)) + 1  # these functions count from 1
@@ -146,26 +175,44 @@ def repeated_spans(docs: DataFrame, text: str) -> DataFrame:
     mixed_grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("gram")
     mixed = context.broadcast(_bitmap(mixed_grams))
 
+    def groups(sums, r, batch):
+        g = _groups(sums, r, _in(mixed.value, r["gram"]))
+        return pd.DataFrame({k: g[k] for k in ("core", "stretch", "class", "back_low", "back_high")})
+
+    third = stored(
+        _mapped(texts.select("text"), "core long, stretch long, class long, back_low short, back_high short", groups), "groups"
+    )
+    several_stretches = third.groupBy("core").agg(F.min("stretch").alias("a"), F.max("stretch").alias("b")).where("a <> b")
+    open_cores = context.broadcast(_bitmap(several_stretches.select(F.col("core").alias("gram"))))
+
     def windows(sums, r, batch):
-        use = _in(mixed.value, r["gram"])
-        low, high = r["piece_low"][use], r["piece_high"][use]
+        g = _groups(sums, r, _in(mixed.value, r["gram"]))
+        use = _in(open_cores.value, g["core"])
+        anchor, low, high = g["piece_anchor"][use], g["back_low"][use], g["back_high"][use]
         n = high - low + 1
-        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        back = np.repeat((r["anchor"] - r["low"])[use], n) - (at - np.repeat(low, n))
+        back = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at = np.repeat(anchor, n) - back
         return pd.DataFrame(
             {
                 "window": mix(stretch(sums, at, at + LENGTH)).view(np.int64),
-                "class": np.repeat(r["class"][use], n),
+                "class": np.repeat(g["class"][use], n),
                 "back": back.astype(np.int16),
             }
         )
 
-    last = _mapped(texts.select("text"), "window long, class long, back short", windows).distinct()
-    last = stored(last, "windows")
-    shared = last.groupBy("window").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("window")
+    last = stored(_mapped(texts.select("text"), "window long, class long, back short", windows), "windows")
+
+    def in_two_classes(rows: DataFrame, digit: str) -> DataFrame:
+        several = rows.groupBy(digit).agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
+        return rows.join(several.select(digit), digit)
+
     # Between the outermost repeated windows of a run every byte is covered: they are nearer than LENGTH.
     edges = (
-        last.join(shared, "window").groupBy("class").agg(F.max("back").alias("first"), F.min("back").alias("final"))
+        in_two_classes(third, "stretch")
+        .select("class", "back_low", "back_high")
+        .union(in_two_classes(last, "window").select("class", "back", "back"))
+        .groupBy("class")
+        .agg(F.max("back_high").alias("first"), F.min("back_low").alias("final"))
     )
     whole = members.join(classes.where("n > 1").select("gram", "class"), ["gram", "class"])
     parts = members.join(classes.where("n = 1").select("gram", "class"), ["gram", "class"]).join(edges, "class")
