@@ -32,7 +32,7 @@ from seqloom.session import scratch_path, stored
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 64
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST_SCHEMA = "part int, folder string, name string, n_docs long, n_tokens long"
 
@@ -43,11 +43,11 @@ class Encoder:
     A byte-level pre-tokenizer starts a new token at a space unless white space stands on both sides of
     it; texts with such a space, or with the text of an added token, are encoded whole, and so is
     every text if the tokenizer is of another kind. All other pieces recur, so each worker process keeps
-    the ids of those it has met; new ones are encoded as one string and told apart by their bytes.
+    the ids of those it has met; new ones are encoded as one string
+    and told apart by their bytes.
     """
 
     JOINED = re.compile(r"\s (?:\s|\Z)")
-    SPACE = re.compile(r"\s")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,9 +65,15 @@ class Encoder:
         self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        # Code that travels by value has no module to keep this in between tasks.
-        kept = sys.modules.setdefault("seqloom_piece_ids", types.ModuleType("seqloom_piece_ids"))
-        self.pieces: dict[str, bytes] = kept.__dict__.setdefault(f"ids of {path}", {})
+        self.pieces: dict[str, bytes] = {}
+
+    @classmethod
+    def of_process(cls, path: str) -> Encoder:
+        """One encoder per worker process. Code that travels by value has no module to keep it in between tasks."""
+        kept = sys.modules.setdefault("seqloom_encoders", types.ModuleType("seqloom_encoders")).__dict__
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -75,9 +81,9 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Add the ids of pieces, each with the space before it."""
-        odd = [p for p in new if not p or self.SPACE.search(p)]
+        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
         self.pieces.update(zip(odd, self._whole([" " + p for p in odd]), strict=True))
-        plain = [p for p in new if p and not self.SPACE.search(p)] if odd else new
+        plain = [p for p in new if p not in self.pieces] if odd else new
         if plain:
             (found,) = self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)
             ids = np.array(found.ids, self.dtype)
@@ -180,7 +186,7 @@ def write_tokens(
             if batch.empty:
                 continue
             if part is None:
-                encoder = Encoder(tokenizer)
+                encoder = Encoder.of_process(tokenizer)
                 part = _Part(folder, seq_len, encoder.dtype, end_id)
             texts = batch["text"].tolist()
             keys = [None if pd.isna(k) else int(k) for k in batch["doc_id"]]
