@@ -18,8 +18,12 @@ QUERY_PATTERN = r"Query: (K\d+)="
 
 
 def token_nll(logits: Column, label: Column) -> Column:
-    """``logsumexp(logits) - logits[label]``; null where the label is not a target."""
-    return F.when(label != IGNORE, logsumexp(logits) - F.get(logits, label))
+    """``logsumexp(logits) - logits[label]``; null where the label is not a target.
+
+    A label without a logit is an error: left out of the mean it would pass unseen.
+    """
+    outside = F.raise_error(F.concat(F.lit("no logit for label "), label.cast("string"))).cast("double")
+    return F.when(label != IGNORE, logsumexp(logits) - F.coalesce(F.get(logits, label), outside))
 
 
 def cross_entropy(df: DataFrame, by: Sequence[str], logits: str, label: str) -> DataFrame:

@@ -22,13 +22,10 @@ TEXTS_PER_CHUNK = 50_000
 MAX_BUCKETS = 8192
 # A table too short for several buckets is still cut for all cores, down to this many rows each.
 MIN_ROWS_PER_BUCKET = 200
-# At most this many keys are treated as heavy; any other key holds less than 1/500 of the rows.
-MAX_HEAVY_KEYS = 500
-# Counters the heavy-key sketch tracks; keys above 1/3000 of the rows are certain to be seen.
-TRACKED_KEYS = 4096
 
 CHUNK = "_chunk"
 CARRIED = "_carried"
+MARK = "_heavy"
 
 
 @dataclass(frozen=True)
@@ -49,44 +46,50 @@ def key_hash(keys: Sequence[str]) -> Column:
 def heavy_keys(
     df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> Heavy:
-    """The keys worth splitting, at most ``MAX_HEAVY_KEYS`` of them.
+    """All keys of more than ``rows_per_chunk`` rows.
 
-    A frequent-items sketch is merged over the tasks, so no key is shuffled. Only when it names
-    keys of more than ``rows_per_chunk`` rows does a second pass take the quantiles of the order
-    column over those keys' rows. The cut points are common to all heavy keys: a chunk of any one
+    Rows are counted per key, in each task before the counts are shuffled, and only the heavy keys'
+    hashes come to the driver: at most one per ``rows_per_chunk`` rows of the table. Only when there
+    are any does a second pass take the quantiles of the order column over those keys' rows. The cut points are common to all heavy keys: a chunk of any one
     key is part of a slice of equal size, however its own rows are spread. Keys that share a hash
     with a heavy one are cut as well, which is harmless.
     """
-    sketch = F.call_function(
-        "approx_top_k", key_hash(keys), F.lit(MAX_HEAVY_KEYS), F.lit(TRACKED_KEYS)
-    )
-    top = df.agg(sketch.alias("top")).first()["top"]
-    found = [r for r in top or [] if r["count"] > rows_per_chunk]
+    counts = df.groupBy(key_hash(keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    found = counts.where(F.col("_n") > rows_per_chunk).collect()
     if not found:
         return Heavy([], [])
-    hashes = [r["item"] for r in found]
-    rows = df.select(order, key_hash(keys).alias("_h")).where(F.col("_h").isin(hashes))
-    slices = math.ceil(sum(r["count"] for r in found) / rows_per_chunk)
+    hashes = [r["_h"] for r in found]
+    rows = _marked(df.select(order, *keys), keys, hashes).where(F.col(MARK))
+    slices = math.ceil(sum(r["_n"] for r in found) / rows_per_chunk)
     return Heavy(hashes, cut_points(rows, order, min(MAX_BUCKETS, slices)))
 
 
+def _marked(df: DataFrame, keys: Sequence[str], hashes: Sequence[int]) -> DataFrame:
+    """Add ``_heavy``: is the row's key one of these? A join, so the list may be long."""
+    listed = df.sparkSession.createDataFrame([(h,) for h in hashes], "_h long").withColumn(MARK, F.lit(True))
+    marked = df.withColumn("_h", key_hash(keys)).join(listed, "_h", "left").drop("_h")
+    return marked.withColumn(MARK, F.coalesce(MARK, F.lit(False)))
+
+
 def with_chunks(df: DataFrame, keys: Sequence[str], order: str, heavy: Heavy) -> DataFrame:
     """Add ``_chunk``: null for ordinary keys, the ordered slice of the row for heavy ones."""
     if not heavy:
         return df.withColumn(CHUNK, F.lit(None).cast("long"))
-    sliced = _bucketed(df, order, heavy.cuts)
-    is_heavy = key_hash(keys).isin(heavy.hashes)
-    return sliced.withColumn(CHUNK, F.when(is_heavy, F.col(CHUNK)))
+    sliced = _marked(_bucketed(df, order, heavy.cuts), keys, heavy.hashes)
+    return sliced.withColumn(CHUNK, F.when(F.col(MARK), F.col(CHUNK))).drop(MARK)
 
 
 def _bucketed(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
-    """Add ``_chunk``, the number of cut points at or below the order value, by binary search."""
+    """Add ``_chunk``, the number of cut points at or below the order value, by binary search.
+
+    Rows without an order value sort first, so they are in the first chunk.
+    """
     if not cuts:
         return df.withColumn(CHUNK, F.lit(0).cast("long"))
     splits = [-math.inf, *cuts, math.inf]
     keyed = df.withColumn("_order", F.col(order).cast("double"))
     bucketed = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(keyed)
-    return bucketed.withColumn(CHUNK, F.col("_bucket").cast("long")).drop("_order", "_bucket")
+    return bucketed.withColumn(CHUNK, F.coalesce(F.col("_bucket").cast("long"), F.lit(0))).drop("_order", "_bucket")
 
 
 def running(

@@ -57,11 +57,15 @@ def causal_fir(
     name: str = "fir",
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Scalar causal filter by lags over one sort; places before a key's start count as zero."""
+    """Scalar causal filter by lags over one sort; places before a key's start count as zero.
+
+    A null input is an error, as it is for vectors.
+    """
     kernel = len(weights)
     if kernel < 1:
         raise ValueError("the filter needs at least one weight")
-    rows = df.withColumn("_x", x.cast("double"))
+    given = F.when(x.isNull(), F.raise_error(F.lit("ordered inputs must not be null")).cast("double"))
+    rows = df.withColumn("_x", given.otherwise(x.cast("double")))
     heavy = heavy_keys(df, keys, order, rows_per_chunk) if kernel > 1 else []
     part = list(keys)
     if heavy:
@@ -110,8 +114,8 @@ def eos_fill(
     name: str = "filled",
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """After a key's first end token every later token is the end token."""
-    ended = (F.col(token) == eos).cast("int")
+    """After a key's first end token every later token, null or not, is the end token."""
+    ended = F.coalesce(F.col(token) == eos, F.lit(False)).cast("int")
     out = running(df, keys, order, sums={"_ends": ended}, rows_per_chunk=rows_per_chunk)
     finished = F.col("_ends") - ended > 0
     return out.withColumn(name, F.when(finished, eos).otherwise(F.col(token))).drop("_ends")

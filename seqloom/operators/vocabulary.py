@@ -16,6 +16,7 @@ from seqloom.operators.numbering import running_in_buckets
 
 # Entries of a vocabulary that may be sent to every task: the size of the usual tokenizers.
 SMALL_VOCAB = 262_144
+ROW = "_row"
 
 
 def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
@@ -30,7 +31,7 @@ def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
     bucketed = hashed.withColumn("_slice", prefix_bucket(F.col("_md5")))
     numbered = running_in_buckets(bucketed, "_slice", ["_md5", "token"], {"id": F.lit(1)})
     return numbered.select(
-        "token", (F.col("id") - 1).cast("int").alias("id"), F.lit(False).alias("is_special")
+        "token", (F.col("id") - 1).cast("long").alias("id"), F.lit(False).alias("is_special")
     )
 
 
@@ -44,7 +45,7 @@ def extend_vocab(vocab: DataFrame, specials: Sequence[str]) -> DataFrame:
     return vocab.unionByName(
         added.select(
             F.col("col").alias("token"),
-            (F.col("top") + F.col("pos") + 1).cast("int").alias("id"),
+            (F.col("top") + F.col("pos") + 1).cast("long").alias("id"),
             F.lit(True).alias("is_special"),
         )
     )
@@ -63,22 +64,22 @@ def encode(
     unknown: int | None = None,
     small_vocab: int = SMALL_VOCAB,
 ) -> DataFrame:
-    """``(key, input_ids)``; a word missing from the vocabulary becomes ``unknown`` (or null).
+    """``(key, input_ids)`` of every row; a word missing from the vocabulary becomes ``unknown`` (or null).
 
+    Rows without words, or without a text, have no ids; rows with equal keys stay apart.
     A vocabulary of at most ``small_vocab`` entries, which any tokenizer's is, goes to every task
-    and the words are looked up inside their row. A larger one is joined: Spark shuffles on the
-    word, with AQE splitting the partitions of very frequent words. Rows without words drop out.
+    and the words are looked up inside their row. A larger one is joined, with the same result: Spark shuffles
+    on the word, with AQE splitting the partitions of very frequent words.
     ``vocab`` is read more than once, so it should be a stored table.
     """
     entries = vocab.select("token", "id")
     tokens = words(F.col(text))
     if entries.count() <= small_vocab:
-        ids = _translation(entries, "token", "id", "array<int>", unknown)
-        rows = df.select(key, ids(tokens).alias("input_ids"))
-        return rows.where(F.size("input_ids") > 0)
-    at = df.select(key, F.posexplode(tokens).alias("pos", "token"))
+        ids = _translation(entries, "token", "id", "array<bigint>", unknown)
+        return df.select(key, ids(tokens).alias("input_ids"))
+    at = _placed(df.select(key, tokens.alias("_all")), key, "token")
     found = F.col("id") if unknown is None else F.coalesce("id", F.lit(unknown))
-    joined = at.join(entries, "token", "left").select(key, "pos", found.alias("value"))
+    joined = at.join(entries, "token", "left").select(ROW, key, "pos", found.alias("value"))
     return _in_order(joined, key, "input_ids")
 
 
@@ -90,20 +91,19 @@ def decode(
     skip_special: bool = True,
     small_vocab: int = SMALL_VOCAB,
 ) -> DataFrame:
-    """``(key, text)``: the tokens of each row joined by spaces, control tokens left out if asked.
+    """``(key, text)`` of every row: its tokens joined by spaces, control tokens left out if asked.
 
-    Ids outside the vocabulary have no text. The two ways are those of ``encode``.
+    Ids outside the vocabulary have no text. The two ways are those of ``encode``, with the same result.
     """
     entries = vocab.where(~F.col("is_special")) if skip_special else vocab
     entries = entries.select("id", "token")
     if entries.count() <= small_vocab:
         tokens = _translation(entries, "id", "token", "array<string>")
         rows = df.select(key, F.array_compact(tokens(F.col(ids))).alias("tokens"))
-        rows = rows.where(F.size("tokens") > 0)
     else:
-        at = df.select(key, F.posexplode(ids).alias("pos", "id"))
-        joined = at.join(entries, "id").select(key, "pos", F.col("token").alias("value"))
-        rows = _in_order(joined, key, "tokens")
+        at = _placed(df.select(key, F.col(ids).alias("_all")), key, "id")
+        joined = at.join(entries, "id", "left").select(ROW, key, "pos", F.col("token").alias("value"))
+        rows = _in_order(joined, key, "tokens").withColumn("tokens", F.array_compact("tokens"))
     return rows.select(key, F.array_join("tokens", " ").alias("text"))
 
 
@@ -132,8 +132,19 @@ def _translation(entries: DataFrame, source: str, target: str, to: str, missing=
     return F.arrow_udf(translate, to)
 
 
+def _placed(rows: DataFrame, key: str, element: str) -> DataFrame:
+    """One row per element of ``_all``, numbered by input row and place; an empty row keeps one without a place.
+
+    The elements meet again by the number, never by the key, and the numbered rows are read once.
+    """
+    return rows.withColumn(ROW, F.monotonically_increasing_id()).select(
+        ROW, key, F.posexplode_outer("_all").alias("pos", element)
+    )
+
+
 def _in_order(pieces: DataFrame, key: str, name: str) -> DataFrame:
     """Put a row's pieces back in one array; a group is one input row, never more."""
-    grouped = pieces.groupBy(key).agg(F.collect_list(F.struct("pos", "value")).alias("at"))
+    piece = F.when(F.col("pos").isNotNull(), F.struct("pos", "value"))
+    grouped = pieces.groupBy(ROW).agg(F.first(key).alias(key), F.collect_list(piece).alias("at"))
     ordered = F.transform(F.array_sort("at"), lambda s: s["value"])
     return grouped.select(key, ordered.alias(name))

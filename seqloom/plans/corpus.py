@@ -116,11 +116,11 @@ def tokenize_documents(spark, sf_dir):
 
 VOCAB_SQL = f"""words AS (SELECT DISTINCT unnest({WORDS_SQL}) AS token FROM documents),
     base AS (
-        SELECT token, CAST(row_number() OVER (ORDER BY md5(token), token) - 1 AS INTEGER) AS id,
+        SELECT token, CAST(row_number() OVER (ORDER BY md5(token), token) - 1 AS BIGINT) AS id,
             false AS is_special FROM words),
     vocab AS (
         SELECT * FROM base UNION ALL
-        SELECT token, CAST((SELECT count(*) FROM base) + k AS INTEGER), true
+        SELECT token, CAST((SELECT count(*) FROM base) + k AS BIGINT), true
         FROM (VALUES ('<|user|>', 0), ('<|assistant|>', 1), ('<|end|>', 2)) AS s(token, k))"""
 
 
@@ -135,32 +135,56 @@ def vocab_with_specials(spark, sf_dir):
     return vocab_of(spark, sf_dir)
 
 
-@query(
-    "encode_vocab_join",
-    f"""WITH {VOCAB_SQL},
+# Every second row has the key of the row before it, and every ninth has no text: rows stay apart and none is lost.
+ENCODE_SQL = f"""WITH {VOCAB_SQL},
+    docs AS (SELECT doc_id, doc_id // 2 AS pair, CASE WHEN doc_id % 9 > 0 THEN text END AS text FROM documents),
     tokens AS (SELECT doc_id, unnest({WORDS_SQL}) AS token,
-        unnest(range(len({WORDS_SQL}))) AS i FROM documents)
-    SELECT doc_id, CAST(count(*) AS INTEGER) AS n, string_agg(id, ' ' ORDER BY i) AS input_ids
-    FROM tokens JOIN vocab USING (token) GROUP BY doc_id""",
-)
+        unnest(range(len({WORDS_SQL}))) AS i FROM docs),
+    ids AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS input_ids
+        FROM tokens JOIN vocab USING (token) GROUP BY doc_id)
+    SELECT pair, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(input_ids, '') AS input_ids
+    FROM docs LEFT JOIN ids USING (doc_id)"""
+
+
+def encoded(spark, sf_dir, **how):
+    docs = texts(spark, sf_dir).select(
+        F.expr("doc_id div 2").alias("pair"), F.when(F.col("doc_id") % 9 > 0, F.col("text")).alias("text")
+    )
+    ids = vocabulary.encode(docs, vocab_of(spark, sf_dir), "pair", **how)
+    return ids.select("pair", F.size("input_ids").alias("n"), joined("input_ids").alias("input_ids"))
+
+
+@query("encode_vocab_join", ENCODE_SQL)
 def encode_vocab_join(spark, sf_dir):
-    docs = texts(spark, sf_dir)
-    ids = vocabulary.encode(docs, vocab_of(spark, sf_dir), "doc_id")
-    return ids.select("doc_id", F.size("input_ids").alias("n"), joined("input_ids").alias("input_ids"))
+    return encoded(spark, sf_dir, small_vocab=0)
 
 
-@query(
-    "decode_roundtrip",
-    f"SELECT doc_id, array_to_string({WORDS_SQL}, ' ') AS text FROM documents "
-    f"WHERE len({WORDS_SQL}) > 0",
-)
-def decode_roundtrip(spark, sf_dir):
+@query("encode_vocab", ENCODE_SQL)
+def encode_vocab(spark, sf_dir):
+    """The same rows with the vocabulary sent to the tasks, while it is small enough for that."""
+    return encoded(spark, sf_dir)
+
+
+DECODE_SQL = f"SELECT doc_id, array_to_string({WORDS_SQL}, ' ') AS text FROM documents"
+
+
+def decoded(spark, sf_dir, **how):
     """Words to ids with the role and end tokens around them, and back without those."""
     docs, vocab = texts(spark, sf_dir), vocab_of(spark, sf_dir)
     framed = docs.select(
         "doc_id", F.concat_ws(" ", F.lit(CONTROL_TOKENS[0]), "text", F.lit(CONTROL_TOKENS[2])).alias("text")
     )
-    return vocabulary.decode(vocabulary.encode(framed, vocab, "doc_id"), vocab, "doc_id")
+    return vocabulary.decode(vocabulary.encode(framed, vocab, "doc_id", **how), vocab, "doc_id", **how)
+
+
+@query("decode_roundtrip", DECODE_SQL)
+def decode_roundtrip(spark, sf_dir):
+    return decoded(spark, sf_dir)
+
+
+@query("decode_roundtrip_join", DECODE_SQL)
+def decode_roundtrip_join(spark, sf_dir):
+    return decoded(spark, sf_dir, small_vocab=0)
 
 
 @query(
@@ -223,25 +247,34 @@ def pack_by_source(spark, sf_dir):
     return show(packed, "source")
 
 
+LANGS = ("de", "en", "es", "fr")
+
+
 @query(
     "pack_with_empty_batches",
     f"""WITH numbered AS ({BATCHES_SQL}),
-    {blocks_sql(
-        f"SELECT batch_id, doc_id AS o, CASE WHEN lang = 'fr' THEN {CUT_IDS_SQL} ELSE [] END AS ids FROM numbered",
-        'batch_id')},
-    every AS (SELECT DISTINCT batch_id FROM numbered)
-    SELECT batch_id, coalesce(block, 0) AS block, coalesce(n_valid, 1) AS n_valid,
+    {blocks_sql(f"SELECT batch_id, lang, doc_id AS o, {CUT_IDS_SQL} AS ids FROM numbered", 'batch_id, lang')},
+    every AS (SELECT DISTINCT batch_id, unnest({list(LANGS)!r}) AS lang FROM numbered)
+    SELECT batch_id, lang, coalesce(block, 0) AS block, coalesce(n_valid, 1) AS n_valid,
         array_to_string(coalesce(input_ids, list_resize([{PAD}], {SEQ_LEN}, {PAD})), ' ') AS input_ids,
         array_to_string(coalesce(labels, list_resize([-100], {SEQ_LEN}, -100)), ' ') AS labels
-    FROM every LEFT JOIN blocks USING (batch_id)""",
+    FROM every LEFT JOIN blocks USING (batch_id, lang)""",
 )
 def pack_with_empty_batches(spark, sf_dir):
-    """Only French documents keep their tokens; a batch without any still yields one block."""
-    docs = batches(spark, sf_dir).withColumn(
-        "text", F.when(F.col("lang") == "fr", F.col("text")).otherwise("")
+    """Each batch is packed by language; a language that a batch lacks still yields one block."""
+    docs = batches(spark, sf_dir)
+    packed = blocks.pack_batches(
+        docs,
+        ["batch_id", "lang"],
+        "doc_id",
+        SEQ_LEN,
+        PAD,
+        payload="text",
+        tokens=lambda text: CODEPOINTS.ids(text, MAX_TOKENS),
     )
-    packed = pack(docs)
-    return show(blocks.with_empty_groups(packed, docs, ["batch_id"], SEQ_LEN, PAD), "batch_id")
+    every = docs.select("batch_id", F.explode(F.array(*map(F.lit, LANGS))).alias("lang"))
+    keys = ["batch_id", "lang"]
+    return show(blocks.with_empty_groups(packed, every, keys, SEQ_LEN, PAD), *keys)
 
 
 @query(

@@ -44,9 +44,8 @@ def slow_memory_events(spark, sf_dir):
     return memory_of(events(spark, sf_dir)).select("user_id", "event_id", r6(F.col("memory")).alias("memory"))
 
 
-def chunk_rows(rows) -> int:
-    """Small enough that the five event types are cut into chunks on any table."""
-    return max(1, min(ordered.ROWS_PER_CHUNK, rows.count() // 50))
+#: Small enough that the five event types are cut into chunks on the smallest table too.
+CHUNK_ROWS = 100
 
 
 @query(
@@ -56,7 +55,7 @@ def chunk_rows(rows) -> int:
 def slow_memory_by_type(spark, sf_dir):
     """Five keys share all rows: each is summed in ordered chunks."""
     rows = events(spark, sf_dir)
-    found = memory_of(rows, ["event_type"], rows_per_chunk=chunk_rows(rows))
+    found = memory_of(rows, ["event_type"], rows_per_chunk=CHUNK_ROWS)
     return found.select("event_type", "event_id", r6(F.col("memory")).alias("memory"))
 
 
@@ -76,7 +75,7 @@ def causal_fir(spark, sf_dir):
 def causal_fir_by_type(spark, sf_dir):
     rows = events(spark, sf_dir)
     out = ordered.causal_fir(
-        rows, ["event_type"], "event_id", F.col("value"), FIR, FIR_BIAS, rows_per_chunk=chunk_rows(rows)
+        rows, ["event_type"], "event_id", F.col("value"), FIR, FIR_BIAS, rows_per_chunk=CHUNK_ROWS
     )
     return out.select("event_type", "event_id", r6(F.col("fir")).alias("fir"))
 
@@ -185,7 +184,7 @@ def fast_memory_by_type(spark, sf_dir):
     """Long keys: each chunk becomes one affine map, the maps are composed, the chunks replayed."""
     rows = gated_events(spark, sf_dir)
     out = ordered.scan(
-        rows, ["event_type"], "event_id", FastMemory(1, 1), FAST_R1_INPUTS, rows_per_chunk=chunk_rows(rows)
+        rows, ["event_type"], "event_id", FastMemory(1, 1), FAST_R1_INPUTS, rows_per_chunk=CHUNK_ROWS
     )
     return out.select("event_type", "event_id", r6(F.col("out")[0]).alias("memory"))
 
@@ -308,7 +307,7 @@ def chunk_parity(spark, sf_dir):
     """Whole keys against keys cut into chunks with carried sums."""
     rows = events(spark, sf_dir)
     whole = memory_of(rows, ["event_type"])
-    cut = memory_of(rows, ["event_type"], rows_per_chunk=chunk_rows(rows))
+    cut = memory_of(rows, ["event_type"], rows_per_chunk=CHUNK_ROWS)
     report = evaluation.parity(whole, cut, ["event_id"], "memory")
     return report.select("matched", "only_left", "only_right", (F.col("max_abs_diff") < 1e-9).alias("same"))
 

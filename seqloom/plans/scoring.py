@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from seqloom.functions import vectors as vx
-from seqloom.functions.seeded import digest, draw_int, draw_unit
+from seqloom.functions.seeded import digest, draw_unit
 from seqloom.functions.text import CODEPOINTS
 from seqloom.operators import decoding, evaluation
 from seqloom.plans.registry import joined, query, r6, sql_r6, table
@@ -147,21 +147,20 @@ def kv_answer_lookup(spark, sf_dir):
 
 @query(
     "kv_recall_score",
-    f"""WITH {PROMPTS_SQL},
-    predicted AS (
-        SELECT lang, answer, CASE WHEN ('0x' || substr(md5('{SEED}:' || doc_id || ':miss'), 1, 8))::UBIGINT % 3 = 0
-            THEN 'unknown' ELSE 'it is ' || answer || '.' END AS prediction FROM prompts)
-    SELECT lang, count(*) AS prompts, {sql_r6('avg(CASE WHEN contains(prediction, answer) THEN 1 ELSE 0 END)')} AS score
-    FROM predicted GROUP BY lang""",
+    f"""WITH asked AS (
+        SELECT role, text AS prediction, regexp_extract(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '[^ ]+') AS answer
+        FROM conversations)
+    SELECT role, count(*) AS prompts, {sql_r6('avg(CASE WHEN contains(prediction, answer) THEN 1 ELSE 0 END)')} AS score
+    FROM asked WHERE answer IS NOT NULL GROUP BY role""",
 )
 def kv_recall_score(spark, sf_dir):
-    """Predictions stand in for a model's: two thirds quote the answer, drawn per document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    drawn = evaluation.recall_prompts(docs, "doc_id", PAIRS, DISTRACTORS, SEED, keep=["lang"])
-    missed = draw_int(digest(SEED, F.col("doc_id"), "miss"), 3) == 0
-    said = F.when(missed, F.lit("unknown")).otherwise(F.concat(F.lit("it is "), "answer", F.lit(".")))
-    score = evaluation.recall_score(drawn.withColumn("prediction", said), "prediction", "answer", ["lang"])
-    return score.select("lang", "prompts", r6(F.col("score")).alias("score"))
+    """Turns as predictions: how often does one recall the first word of the turn before it?"""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    asked = table(spark, sf_dir, "conversations").select(
+        "role", F.col("text").alias("prediction"), F.regexp_extract(before, "[^ ]+", 0).alias("answer")
+    )
+    score = evaluation.recall_score(asked.where("answer IS NOT NULL"), "prediction", "answer", ["role"])
+    return score.select("role", "prompts", r6(F.col("score")).alias("score"))
 
 
 @query(

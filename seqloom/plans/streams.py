@@ -8,17 +8,29 @@ from seqloom.functions.kernels import CausalAttention, CausalFir, FastMemory, Sl
 from seqloom.functions.text import CODEPOINTS
 from seqloom.functions import vectors as vx
 from seqloom.operators.ledger import token_counts
+from seqloom.operators.numbering import cut_points
 from seqloom.plans import corpus, ordered
 from seqloom.plans.registry import ORACLES, query, r6, table
-from seqloom.session import scratch_path
-from seqloom.sources.corpus import stream_files, write_blocks
+from seqloom.session import scratch_path, stored
+from seqloom.sources.corpus import stream_files
 from seqloom.streaming import sinks
 from seqloom.streaming.stateful import accepted, stream_scan
 
 
-def stream_table(spark, sf_dir, name):
-    schema = table(spark, sf_dir, name).schema
-    return stream_files(spark, f"{sf_dir}/{name}.parquet", schema)
+#: Micro-batches of a registered stream; every one after the first goes on from carried state.
+TRIGGERS = 4
+
+
+def stream_table(spark, sf_dir, name, order):
+    """A table as a stream of ``TRIGGERS`` files that arrive in order."""
+    rows = table(spark, sf_dir, name)
+    path = scratch_path(spark, f"{name}-feed")
+    cuts = cut_points(rows, order, TRIGGERS)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.where(F.col(order) >= low)
+        part = part if high is None else part.where(F.col(order) < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return stream_files(spark, path, rows.schema, files_per_trigger=1)
 
 
 def drained(spark, df, name):
@@ -30,7 +42,7 @@ def drained(spark, df, name):
 
 def event_stream(spark, sf_dir):
     value = F.col("value")
-    return stream_table(spark, sf_dir, "events").select(
+    return stream_table(spark, sf_dir, "events", "event_id").select(
         "event_id",
         "user_id",
         F.array(value).alias("raw"),
@@ -71,7 +83,7 @@ def stream_fast_memory(spark, sf_dir):
 @query("stream_attention", ORACLES["causal_attention"])
 def stream_attention(spark, sf_dir):
     x = vx.doubles(F.col("embedding"))
-    rows = stream_table(spark, sf_dir, "embeddings").select(
+    rows = stream_table(spark, sf_dir, "embeddings", "vec_id").select(
         F.expr(f"vec_id div {ordered.SEQ}").alias("seq_id"),
         (F.col("vec_id") % ordered.SEQ).alias("pos"),
         x.alias("x"),
@@ -83,13 +95,20 @@ def stream_attention(spark, sf_dir):
     return ordered.channels(drained(spark, accepted(out), "attention"), "out")
 
 
-@query("stream_pack", ORACLES["pack_global"])
+@query(
+    "stream_pack",
+    f"""WITH parted AS (SELECT *, doc_id // 100 AS part FROM documents),
+    {corpus.blocks_sql(f'SELECT part, doc_id AS o, {corpus.IDS_SQL} AS ids FROM parted', 'part')}
+    SELECT {corpus.SHOW_SQL} FROM blocks""",
+)
 def stream_pack(spark, sf_dir):
-    """Each trigger is packed by itself; without a file limit one trigger takes the whole corpus."""
+    """Each trigger is packed by itself: here every hundred documents arrive as one file."""
     path = scratch_path(spark, "pack")
-    docs = stream_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("doc_id div 100").alias("part"))
+    docs.repartition("part").write.partitionBy("part").parquet(f"{path}/in")
+    feed = stream_files(spark, f"{path}/in", docs.drop("part").schema, files_per_trigger=1)
     sinks.stream_pack(
-        docs,
+        feed,
         "doc_id",
         CODEPOINTS.ids(F.col("text"), None),
         corpus.SEQ_LEN,
@@ -101,20 +120,43 @@ def stream_pack(spark, sf_dir):
     return corpus.show(spark.read.parquet(f"{path}/out").drop(sinks.BATCH))
 
 
+BUDGET_SQL = f"""WITH numbered AS ({corpus.BATCHES_SQL}),
+    {corpus.blocks_sql(f'SELECT batch_id, doc_id AS o, {corpus.CUT_IDS_SQL} AS ids FROM numbered', 'batch_id')},
+    fed AS (SELECT batch_id % 5 AS trigger, CAST(sum(n_valid - 1) AS BIGINT) AS tokens, count(*) AS examples
+        FROM blocks GROUP BY batch_id % 5),
+    counted AS (
+        SELECT CAST(trigger AS BIGINT) AS trigger, tokens, examples,
+            CAST(sum(tokens) OVER (ORDER BY trigger) AS BIGINT) AS cum_tokens FROM fed)"""
+
+
+def budgeted(spark, sf_dir, targets):
+    """Blocks arrive in five files and are counted against each target in turn, always from the same checkpoint."""
+    path = scratch_path(spark, "budget")
+    packed = stored(
+        corpus.batch_blocks(spark, sf_dir).select("batch_id", "block", "labels"), "budget-blocks"
+    )
+    for part in range(5):
+        packed.where(F.col("batch_id") % 5 == part).coalesce(1).write.mode("append").parquet(f"{path}/blocks")
+    total = token_counts(packed, []).first()["supervised_tokens"]
+    for share in targets:
+        feed = stream_files(spark, f"{path}/blocks", packed.schema, files_per_trigger=1)
+        target = int(total * share)
+        sinks.run_until_spent(sinks.stream_budget(feed, target, f"{path}/ledger", f"{path}/state"))
+    ledger = sinks.read_ledger(spark, f"{path}/ledger")
+    return ledger.select("trigger", "tokens", "examples", "cum_tokens")
+
+
 @query(
     "stream_token_budget",
-    f"""WITH numbered AS ({corpus.BATCHES_SQL}),
-    {corpus.blocks_sql(f'SELECT batch_id, doc_id AS o, {corpus.CUT_IDS_SQL} AS ids FROM numbered', 'batch_id')}
-    SELECT CAST(sum(n_valid - 1) AS BIGINT) AS tokens, count(*) AS examples FROM blocks""",
+    f"""{BUDGET_SQL} SELECT * FROM counted
+    WHERE cum_tokens - tokens < floor((SELECT sum(tokens) FROM counted) * 0.5)""",
 )
 def stream_token_budget(spark, sf_dir):
-    """Blocks are written once and counted as they arrive, against a budget they do not reach."""
-    path = scratch_path(spark, "budget")
-    write_blocks(corpus.batch_blocks(spark, sf_dir).select("batch_id", "block", "labels"), f"{path}/blocks")
-    written = spark.read.parquet(f"{path}/blocks")
-    total = token_counts(written, []).first()["supervised_tokens"]
-    blocks = stream_files(spark, f"{path}/blocks", written.schema, files_per_trigger=4)
-    counted = sinks.stream_budget(blocks, total + 1, f"{path}/ledger", f"{path}/state")
-    sinks.run_until_spent(spark, counted, f"{path}/ledger", total + 1)
-    ledger = sinks.read_ledger(spark, f"{path}/ledger")
-    return ledger.agg(F.sum("tokens").alias("tokens"), F.sum("examples").alias("examples"))
+    """The budget is half of what arrives: the trigger that crosses it is counted, the rest is not."""
+    return budgeted(spark, sf_dir, [0.5])
+
+
+@query("stream_resume", f"{BUDGET_SQL} SELECT * FROM counted")
+def stream_resume(spark, sf_dir):
+    """Stopped by two budgets and resumed with larger ones; no trigger is lost or counted twice."""
+    return budgeted(spark, sf_dir, [0.3, 0.7, 2.0])

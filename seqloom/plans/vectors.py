@@ -98,19 +98,22 @@ def softmax_gate(spark, sf_dir):
 
 @query(
     "bounded_gates",
-    f"""WITH {ROWS_SQL}
-    SELECT vec_id, {sql_r6('0.9 + 0.0999 / (1 + exp(-x[1]))')} AS decay,
-        {sql_r6('1 / (1 + exp(-x[2]))')} AS erase,
-        {sql_r6('CASE WHEN x[3] > 0 THEN x[3] + 1 ELSE exp(x[3]) END')} AS phi,
-        {sql_r6('0.1 * ln(greatest(x[4], 1e-6))')} AS bias FROM rows""",
+    f"""WITH {ROWS_SQL}, every AS (SELECT vec_id, unnest(x) AS a, unnest(range(len(x))) AS i FROM rows)
+    SELECT vec_id, CAST(i AS INTEGER) AS i, {sql_r6('0.9 + 0.0999 / (1 + exp(-a))')} AS decay,
+        {sql_r6('1 / (1 + exp(-a))')} AS erase,
+        {sql_r6('CASE WHEN a > 0 THEN a + 1 ELSE exp(a) END')} AS phi,
+        {sql_r6('0.1 * ln(greatest(a, 1e-6))')} AS bias FROM every""",
 )
 def bounded_gates(spark, sf_dir):
-    return vectors(spark, sf_dir).select(
+    """Every gate on every value of every vector."""
+    each = vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("i", "a"))
+    return each.select(
         "vec_id",
-        r6(vx.bounded_gate(F.col("x")[0], 0.9, 0.9999)).alias("decay"),
-        r6(vx.sigmoid(F.col("x")[1])).alias("erase"),
-        r6(vx.elu1(F.col("x")[2])).alias("phi"),
-        r6(vx.importance_bias(F.col("x")[3], 0.1)).alias("bias"),
+        "i",
+        r6(vx.bounded_gate(F.col("a"), 0.9, 0.9999)).alias("decay"),
+        r6(vx.sigmoid(F.col("a"))).alias("erase"),
+        r6(vx.elu1(F.col("a"))).alias("phi"),
+        r6(vx.importance_bias(F.col("a"), 0.1)).alias("bias"),
     )
 
 
@@ -213,17 +216,15 @@ def importance_mean(spark, sf_dir):
 
 @query(
     "embedding_lookup",
-    f"""SELECT event_id, user_id, CAST(len(embedding) AS INTEGER) AS dim,
-        {sql_r6('embedding[1]::DOUBLE')} AS first_value, {sql_r6(f'embedding[{DIM}]::DOUBLE')} AS last_value
-    FROM events JOIN embeddings ON user_id = vec_id""",
+    f"""WITH asked AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN user_id ELSE -event_id - 1 END AS user_id FROM events)
+    SELECT event_id, user_id, coalesce(CAST(len(embedding) AS INTEGER), -1) AS dim,
+        {sql_r6('list_sum(list_transform(embedding, lambda a, k: a::DOUBLE * k))')} AS weighted
+    FROM asked LEFT JOIN embeddings ON user_id = vec_id""",
 )
 def embedding_lookup(spark, sf_dir):
-    ids = table(spark, sf_dir, "events").select("event_id", "user_id")
-    found = lookup(ids, "user_id", vectors(spark, sf_dir), "vec_id")
-    return found.select(
-        "event_id",
-        "user_id",
-        F.size(F.col("x")).alias("dim"),
-        r6(F.col("x")[0]).alias("first_value"),
-        r6(F.col("x")[DIM - 1]).alias("last_value"),
-    )
+    """Every value counts, by its place; every eleventh id is unknown and keeps its row."""
+    user = F.when(F.col("event_id") % 11 > 0, F.col("user_id")).otherwise(-F.col("event_id") - 1)
+    ids = table(spark, sf_dir, "events").select("event_id", user.alias("user_id"))
+    found = lookup(ids, "user_id", vectors(spark, sf_dir), "vec_id", missing="null")
+    total = F.aggregate(F.transform("x", lambda a, i: a * (i + 1)), F.lit(0.0), lambda acc, a: acc + a)
+    return found.select("event_id", "user_id", F.coalesce(F.size("x"), F.lit(-1)).alias("dim"), r6(total).alias("weighted"))

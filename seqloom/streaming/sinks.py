@@ -6,6 +6,7 @@ result does not depend on how often it ran.
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,6 +14,7 @@ from seqloom.operators.blocks import pack_global
 from seqloom.operators.ledger import token_counts
 
 BATCH = "trigger"
+SPENT = "the token budget is spent; this micro-batch stays uncounted"
 
 
 def stream_to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -66,14 +68,16 @@ def stream_budget(
     """Count targets per micro-batch until ``target_tokens`` are reached.
 
     The test comes before each micro-batch, so the one that crosses the target is counted and
-    none after it. ``run_until_spent`` stops the query.
+    none after it. A micro-batch that comes too late is refused: the query ends with an error before Spark
+    commits the batch's offsets, and a run resumed with a larger target counts it first.
+    ``run_until_spent`` takes that error for the end it is.
     """
 
     def account(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = tokens_spent(spark, path, number)
         if before >= target_tokens:
-            return
+            raise RuntimeError(SPENT)
         counts = token_counts(batch, [], labels)
         row = counts.select(
             F.coalesce("supervised_tokens", F.lit(0)).cast("long").alias("tokens"),
@@ -108,14 +112,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
-def run_until_spent(
-    spark: SparkSession, query: StreamingQuery, path: str, target_tokens: int, poll: float = 1.0
-) -> None:
-    """Wait for the query and stop it once the budget is used up."""
-    while query.isActive:
-        if tokens_spent(spark, path) >= target_tokens:
-            query.stop()
-            break
-        query.awaitTermination(poll)
-    if query.exception() is not None:
-        raise query.exception()
+def run_until_spent(query: StreamingQuery) -> None:
+    """Wait until the query has read everything or has used up its budget."""
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if SPENT not in str(e):
+            raise

@@ -38,6 +38,8 @@ def stream_scan(
     """
     keys = list(keys)
     columns = {n: inputs[n] for n in kernel.widths}
+    if "rho" in columns:  # a row without an importance counts in full, as in a table
+        df = df.withColumn(columns["rho"], F.coalesce(columns["rho"], F.lit(1.0)))
     widths = dict(kernel.widths)
     needed = [*keys, order, *dict.fromkeys(columns.values())]
     schema = T.StructType(

@@ -129,9 +129,14 @@ def test_budget_counts_the_crossing_batch_and_none_after(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     assert sinks.tokens_spent(spark, ledger) == 0
     query = sinks.stream_budget(feed, 21, ledger, str(tmp_path / "state"))
-    sinks.run_until_spent(spark, query, ledger, 21)
+    sinks.run_until_spent(query)
     entries = sinks.read_ledger(spark, ledger).orderBy(sinks.BATCH).collect()
     assert [(r["tokens"], r["examples"], r["cum_tokens"]) for r in entries] == [(20, 10, 20), (20, 10, 40)]
+    # A larger budget goes on with the batch that was refused.
+    feed = stream_files(spark, str(tmp_path / "in"), rows.schema, files_per_trigger=1)
+    sinks.run_until_spent(sinks.stream_budget(feed, 1000, ledger, str(tmp_path / "state")))
+    entries = sinks.read_ledger(spark, ledger).orderBy(sinks.BATCH).collect()
+    assert [r["cum_tokens"] for r in entries] == [20, 40, 60, 80]
 
 
 def test_scans_and_catalog(spark, tmp_path):
