@@ -9,7 +9,7 @@ shared folder and read again: lineage stays short and a lost executor costs one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from seqloom.session import stored
 
@@ -20,9 +20,13 @@ def _star(links: DataFrame) -> DataFrame:
     return links.join(least, "u").select("u", "v", "m")
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a table, and what tells one set of links from another, observed while writing."""
+    seen = Observation()
+    observed = links.observe(
+        seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hash")
+    )
+    return stored(observed, "links"), tuple(seen.get.values())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,8 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     empty result.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stored(links, "links")
-    state = _state(links)
+    links, state = _written(links)
     while True:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -44,8 +47,8 @@ def components(links: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        links = stored(links, "links")
-        before, state = state, _state(links)
+        before = state
+        links, state = _written(links)
         if before == state:
             break
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -141,7 +141,7 @@ class Model:
 def train(texts: list[bytes], labels: list[int], seed: int = 0) -> Model:
     model, rng = Model.fresh(seed), np.random.default_rng(seed)
     ids, first = [], []
-    for low, high in pieces(texts):
+    for low, high in pieces(texts, 1 << 17):
         found, first = word_ids(texts[low:high])
         ids += [found[first[i] : first[i + 1]] for i in range(high - low)]
     for _ in range(EPOCHS):
