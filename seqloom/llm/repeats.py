@@ -41,6 +41,8 @@ STEP = 12
 BITS = 1 << 27
 #: Bytes handled at a time; longer texts go in overlapping segments of so many window starts.
 PIECE, SEGMENT = 1 << 19, 1 << 22
+#: Classes a task remembers to have told about.
+SEEN_CLASSES = 500_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -124,6 +126,22 @@ def _groups(sums: np.ndarray, r: dict[str, np.ndarray], use: np.ndarray) -> dict
     }
 
 
+def _new_classes(classes: np.ndarray, use: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which of the used runs are the first of their class in this task. All runs of a class have the same windows.
+
+    A full memory is emptied: a class may then be told again, which changes no result.
+    """
+    at = np.flatnonzero(use)
+    values, first = np.unique(classes[at], return_index=True)
+    fresh = [i for v, i in zip(values.tolist(), first.tolist(), strict=True) if v not in seen]
+    if len(seen) > SEEN_CLASSES:
+        seen.clear()
+    out = np.zeros_like(use)
+    out[at[fresh]] = True
+    seen.update(classes[at[fresh]].tolist())
+    return out
+
+
 def _bitmap(values: DataFrame) -> np.ndarray:
     """The bits of the ``gram`` values; the driver gets ``BITS`` bits at most."""
     place = F.col("gram").bitwiseAND(F.lit(BITS - 1)) + 1  # these functions count from 1
@@ -144,12 +162,13 @@ def _in(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
 
 
 def _mapped(docs: DataFrame, schema: str, rows: Callable) -> DataFrame:
-    """``rows(sums, found, batch)`` for the runs of every text, as a table."""
+    """``rows(sums, found, batch, seen)`` for the runs of every text, as a table; ``seen`` lives as long as the task."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
             for piece, table in segments(texts_as_bytes(batch["text"])):
-                yield rows(*runs(piece, table), batch)
+                yield rows(*runs(piece, table), batch, seen)
 
     return docs.mapInPandas(each, schema)
 
@@ -159,10 +178,10 @@ def repeated_spans(docs: DataFrame, text: str) -> DataFrame:
     context = docs.sparkSession.sparkContext
     texts = docs.where(F.octet_length(text) >= LENGTH).select(*text_key(F.col(text)), F.col(text).alias("text"))
 
-    grams = _mapped(texts.select("text"), "gram long", lambda sums, r, batch: pd.DataFrame({"gram": r["gram"]}))
+    grams = _mapped(texts.select("text"), "gram long", lambda sums, r, batch, seen: pd.DataFrame({"gram": r["gram"]}))
     several = context.broadcast(_bitmap(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")))
 
-    def kept(sums, r, batch):
+    def kept(sums, r, batch, seen):
         use = _in(several.value, r["gram"])
         names = batch[["text_a", "text_b"]].to_numpy()[r["text"][use]].reshape(-1, 2)
         columns = {k: r[k][use] for k in ("low", "high", "anchor", "gram", "class")}
@@ -175,8 +194,8 @@ def repeated_spans(docs: DataFrame, text: str) -> DataFrame:
     mixed_grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("gram")
     mixed = context.broadcast(_bitmap(mixed_grams))
 
-    def groups(sums, r, batch):
-        g = _groups(sums, r, _in(mixed.value, r["gram"]))
+    def groups(sums, r, batch, seen):
+        g = _groups(sums, r, _new_classes(r["class"], _in(mixed.value, r["gram"]), seen))
         return pd.DataFrame({k: g[k] for k in ("core", "stretch", "class", "back_low", "back_high")})
 
     third = stored(
@@ -185,8 +204,8 @@ def repeated_spans(docs: DataFrame, text: str) -> DataFrame:
     several_stretches = third.groupBy("core").agg(F.min("stretch").alias("a"), F.max("stretch").alias("b")).where("a <> b")
     open_cores = context.broadcast(_bitmap(several_stretches.select(F.col("core").alias("gram"))))
 
-    def windows(sums, r, batch):
-        g = _groups(sums, r, _in(mixed.value, r["gram"]))
+    def windows(sums, r, batch, seen):
+        g = _groups(sums, r, _new_classes(r["class"], _in(mixed.value, r["gram"]), seen))
         use = _in(open_cores.value, g["core"])
         anchor, low, high = g["piece_anchor"][use], g["back_low"][use], g["back_high"][use]
         n = high - low + 1
