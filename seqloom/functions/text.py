@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # The control tokens of rendered conversations.
@@ -64,35 +63,8 @@ CODEPOINTS = Tokenizer(
 )
 
 
-def _file_tokenizer(path: str) -> Tokenizer:
-    """A ``tokenizer.json`` file, loaded once per Python worker, called on whole Arrow batches."""
-    cache: dict[str, object] = {}
-
-    def encode_batch(texts: pd.Series) -> pd.Series:
-        if path not in cache:
-            from tokenizers import Tokenizer as FileTokenizer
-
-            cache[path] = FileTokenizer.from_file(path)
-        found = cache[path].encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
-        return pd.Series([e.ids for e in found])
-
-    # Closures are pickled to the workers, so the cache is filled there and not here.
-    encode = F.pandas_udf(encode_batch, "array<int>")
-
-    def ids(text: Column, max_len: int | None = None) -> Column:
-        out = encode(text)
-        return out if max_len is None else F.slice(out, 1, max_len)
-
-    return Tokenizer(ids=ids, count=lambda text, max_len=None: F.size(ids(text, max_len)))
-
-
 def tokenizer(name: str) -> Tokenizer:
-    """``codepoints`` or ``file:<path of a tokenizer.json>``.
-
-    A vocabulary held in a table is encoded by a join instead: see ``operators.vocabulary``.
-    """
+    """``codepoints``; a vocabulary held in a table is encoded by a join instead (``operators.vocabulary``)."""
     if name == "codepoints":
         return CODEPOINTS
-    if name.startswith("file:"):
-        return _file_tokenizer(name[len("file:") :])
     raise ValueError(f"unknown tokenizer {name!r}")

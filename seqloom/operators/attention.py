@@ -33,7 +33,7 @@ def causal_attention(
 ) -> DataFrame:
     """``(keys, pos, name)`` with ``softmax(q·k/sqrt(d) + beta*ln(max(rho, 1e-6)))`` over the past.
 
-    ``pos`` is unique per key and counts from 0. A missing ``rho`` means 1, which adds nothing.
+    ``pos`` is unique per key and counts from 0; gaps are allowed. A missing ``rho`` means 1, which adds nothing.
     With ``max_seq_len`` a longer sequence is an error, raised while the query runs.
     """
     keys = list(keys)
@@ -50,8 +50,10 @@ def causal_attention(
     if max_seq_len is not None:
         too_long = F.concat(F.lit("a sequence is longer than "), F.lit(str(max_seq_len)))
         last = F.when(F.max("_pos") >= max_seq_len, F.raise_error(too_long)).otherwise(last)
-    lengths = rows.groupBy(*keys).agg(last.alias("_last"))
-    ends = lengths.select(*keys, F.expr(f"_last div {int(tile_rows)}").alias("_final"))
+    # The tiles a sequence has: positions may leave gaps, and a tile without rows asks for nothing.
+    ends = rows.groupBy(*keys).agg(last.alias("_last"), F.sort_array(F.collect_set("_tile")).alias("_tiles"))
+    # The length is used, so that its check is not pruned away.
+    ends = ends.select(*keys, F.filter("_tiles", lambda t: t * F.lit(int(tile_rows)) <= F.col("_last")).alias("_tiles"))
 
     # A tile has at most tile_rows rows, whatever the sequence's length.
     in_order = F.array_sort(F.collect_list(F.struct("_pos", "q", "k", "v", "rho")))
@@ -71,7 +73,7 @@ def causal_attention(
     ).join(ends, keys)
     # Each tile goes to every query tile at or after it. A query tile's own copy comes first in
     # its group: it brings the queries and is the only one that needs the causal mask.
-    sent = packed.withColumn("_to", F.explode(F.sequence("_tile", "_final")))
+    sent = packed.withColumn("_to", F.explode(F.filter("_tiles", lambda t: t >= F.col("_tile"))))
     own = F.col("_to") == F.col("_tile")
     queries = F.when(own, F.size("pos")).otherwise(0)
     sent = sent.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions.text import CODEPOINT_VOCAB, IGNORE
 from seqloom.operators.numbering import ROWS_PER_CHUNK, running
@@ -123,9 +123,9 @@ def assemble(rendered: DataFrame, conv: str, seq_len: int) -> DataFrame:
 def collate(
     df: DataFrame, batch: Sequence[str], fill: dict[str, int], into_longest_of: str = "input_ids"
 ) -> DataFrame:
-    """Right-pad array columns to the longest row of their batch."""
-    longest = df.groupBy(*batch).agg(F.max(F.size(into_longest_of)).alias("_longest"))
-    joined = df.join(longest, list(batch))
+    """Right-pad array columns to the longest row of their batch, which one window finds: a batch is bounded."""
+    longest = F.max(F.size(into_longest_of)).over(Window.partitionBy(*batch))
+    joined = df.withColumn("_longest", longest)
     padded = {
         c: F.concat(c, F.array_repeat(F.lit(v), F.col("_longest") - F.size(c)))
         for c, v in fill.items()

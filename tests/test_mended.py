@@ -1,9 +1,10 @@
 """Nothing is lost and no size changes a result: cases of nulls, misses and many heavy keys."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import evaluation, numbering, ordered, vocabulary
+from seqloom.operators import attention, evaluation, numbering, ordered, vocabulary
 from seqloom.operators.lookup import lookup
 
 
@@ -66,3 +67,15 @@ def test_filters_refuse_null_inputs(spark):
     df = spark.createDataFrame([("s", 1, None)], "k string, o long, x double")
     with pytest.raises(Exception, match="must not be null"):
         ordered.causal_fir(df, ["k"], "o", F.col("x"), [1.0, 2.0]).collect()
+
+
+def test_attention_over_gaps(spark):
+    rows = [("s", p, [float(p), 1.0]) for p in (0, 1, 2, 6, 7, 20)]
+    df = spark.createDataFrame(rows, "seq string, pos long, x array<double>")
+    x = F.col("x")
+    found = attention.causal_attention(df, ["seq"], "pos", x, x, x, tile_rows=2)
+    got = {r["pos"]: r["attended"] for r in found.collect()}
+    for i, (_, p, q) in enumerate(rows):
+        keys = np.array([r[2] for r in rows[: i + 1]])
+        w = np.exp(keys @ np.array(q) / 2**0.5 - (keys @ np.array(q)).max() / 2**0.5)
+        assert np.allclose(got[p], w @ keys / w.sum())

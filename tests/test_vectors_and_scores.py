@@ -161,20 +161,6 @@ def test_codepoints_and_words(spark):
         tokenizer("nothing")
 
 
-def test_tokenizer_file(spark, tmp_path):
-    tokenizers = pytest.importorskip("tokenizers")
-    model = tokenizers.models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?")
-    built = tokenizers.Tokenizer(model)
-    built.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
-    path = str(tmp_path / "tokenizer.json")
-    built.save(path)
-    rows = spark.createDataFrame([("b a zz",), ("",)], "t string")
-    t = tokenizer(f"file:{path}")
-    assert [r[0] for r in rows.select(t.ids(F.col("t"), None)).collect()] == [[1, 0, 2], []]
-    assert [r[0] for r in rows.select(t.ids(F.col("t"), 2)).collect()] == [[1, 0], []]
-    assert [r[0] for r in rows.select(t.count(F.col("t"), None)).collect()] == [3, 0]
-
-
 def test_vocabulary_round_trip(spark):
     docs = spark.createDataFrame([(1, "b a b"), (2, "c  a"), (3, " ")], "d int, text string")
     vocab = vocabulary.extend_vocab(vocabulary.build_vocab(docs), ["<x>", "<y>"])
