@@ -184,11 +184,12 @@ def repeated_spans(docs: DataFrame, text: str) -> DataFrame:
     def kept(sums, r, batch, seen):
         use = _in(several.value, r["gram"])
         names = batch[["text_a", "text_b"]].to_numpy()[r["text"][use]].reshape(-1, 2)
-        columns = {k: r[k][use] for k in ("low", "high", "anchor", "gram", "class")}
+        columns = {k: r[k][use] for k in ("gram", "class")}
+        columns |= {k: r[k][use].astype(np.int32) for k in ("low", "high", "anchor")}  # a text is below 2 GB
         return pd.DataFrame({"text_a": names[:, 0], "text_b": names[:, 1], **columns})
 
     members = stored(
-        _mapped(texts, "text_a long, text_b long, low long, high long, anchor long, gram long, class long", kept), "runs"
+        _mapped(texts, "text_a long, text_b long, low int, high int, anchor int, gram long, class long", kept), "runs"
     )
     classes = stored(members.groupBy("gram", "class").agg(F.count(F.lit(1)).alias("n")), "classes")
     mixed_grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("gram")
@@ -233,10 +234,13 @@ def repeated_spans(docs: DataFrame, text: str) -> DataFrame:
         .groupBy("class")
         .agg(F.max("back_high").alias("first"), F.min("back_low").alias("final"))
     )
-    whole = members.join(classes.where("n > 1").select("gram", "class"), ["gram", "class"])
-    parts = members.join(classes.where("n = 1").select("gram", "class"), ["gram", "class"]).join(edges, "class")
-    spans = whole.select("text_a", "text_b", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end")).union(
-        parts.select("text_a", "text_b", F.col("anchor") - F.col("first"), F.col("anchor") - F.col("final") + LENGTH)
+    # What is known of a class goes to its runs in one join.
+    known = classes.select("class", "n").join(edges, "class", "left").where("n > 1 OR first IS NOT NULL")
+    spans = members.drop("gram").join(known, "class").select(
+        "text_a",
+        "text_b",
+        F.when(F.col("n") > 1, F.col("low")).otherwise(F.col("anchor") - F.col("first")).alias("start"),
+        (F.when(F.col("n") > 1, F.col("high")).otherwise(F.col("anchor") - F.col("final")) + LENGTH).alias("end"),
     )
     return (
         spans.distinct()
