@@ -310,12 +310,3 @@ def chunk_parity(spark, sf_dir):
     cut = memory_of(rows, ["event_type"], rows_per_chunk=CHUNK_ROWS)
     report = evaluation.parity(whole, cut, ["event_id"], "memory")
     return report.select("matched", "only_left", "only_right", (F.col("max_abs_diff") < 1e-9).alias("same"))
-
-
-@query(
-    "state_size",
-    f"""SELECT user_id, count(*) AS rows, CAST({DIM} * (2 + 8 + 5 - 1) AS BIGINT) AS recurrent,
-        CAST(count(*) * (2 * {DIM} + 4) AS BIGINT) AS attention FROM events GROUP BY user_id""",
-)
-def state_size(spark, sf_dir):
-    return evaluation.state_sizes(events(spark, sf_dir), ["user_id"], DIM, rank=8, kernel=5, heads=4)

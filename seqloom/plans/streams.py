@@ -14,7 +14,7 @@ from seqloom.plans.registry import ORACLES, query, r6, table
 from seqloom.session import scratch_path, stored
 from seqloom.sources.corpus import stream_files
 from seqloom.streaming import sinks
-from seqloom.streaming.stateful import accepted, stream_scan
+from seqloom.streaming.stateful import accepted, held_elements, stream_scan
 
 
 #: Micro-batches of a registered stream; every one after the first goes on from carried state.
@@ -80,21 +80,46 @@ def stream_fast_memory(spark, sf_dir):
     return event_result(spark, sf_dir, "fast", kernel, ordered.FAST_R1_INPUTS, "memory")
 
 
-@query("stream_attention", ORACLES["causal_attention"])
-def stream_attention(spark, sf_dir):
+def sequence_stream(spark, sf_dir):
     x = vx.doubles(F.col("embedding"))
-    rows = stream_table(spark, sf_dir, "embeddings", "vec_id").select(
+    return stream_table(spark, sf_dir, "embeddings", "vec_id").select(
         F.expr(f"vec_id div {ordered.SEQ}").alias("seq_id"),
         (F.col("vec_id") % ordered.SEQ).alias("pos"),
         x.alias("x"),
         vx.sigmoid(x[0]).alias("rho"),
     )
+
+
+@query("stream_attention", ORACLES["causal_attention"])
+def stream_attention(spark, sf_dir):
+    rows = sequence_stream(spark, sf_dir)
     kernel = CausalAttention(ordered.DIM, ordered.DIM, ordered.BETA)
     inputs = {"q": "x", "k": "x", "v": "x", "rho": "rho"}
     out = stream_scan(rows, ["seq_id"], "pos", kernel, inputs, max_rows=4096)
     return ordered.channels(drained(spark, accepted(out), "attention"), "out")
 
 
+@query(
+    "state_size",
+    f"""SELECT vec_id // {ordered.SEQ} AS seq_id, count(*) AS rows, CAST({2 * ordered.DIM} AS BIGINT) AS recurrent,
+        CAST(count(*) * {2 * ordered.DIM + 1} AS BIGINT) AS attention FROM embeddings GROUP BY vec_id // {ordered.SEQ}""",
+)
+def state_size(spark, sf_dir):
+    """What two streams hold per sequence after their last trigger, measured in their checkpoints."""
+    found = {}
+    for name, kernel in (
+        ("recurrent", SlowMemory(ordered.DIM, ordered.EPS)),
+        ("attention", CausalAttention(ordered.DIM, ordered.DIM, ordered.BETA)),
+    ):
+        path = scratch_path(spark, name)
+        inputs = {n: "rho" if n == "rho" else "x" for n in kernel.widths}
+        out = stream_scan(sequence_stream(spark, sf_dir), ["seq_id"], "pos", kernel, inputs)
+        sinks.stream_to_files(out, f"{path}/out", f"{path}/state").awaitTermination()
+        held = held_elements(spark, f"{path}/state", ["seq_id"])
+        found[name] = held.select("seq_id", "rows", F.col("elements").alias(name))
+    return found["recurrent"].join(found["attention"].drop("rows"), "seq_id")
+
+
 @query(
     "stream_pack",
     f"""WITH parted AS (SELECT *, doc_id // 100 AS part FROM documents),

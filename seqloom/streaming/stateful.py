@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 LATE = "_late"
@@ -86,6 +86,16 @@ def stream_scan(
     )
 
 
+def held_elements(spark: SparkSession, checkpoint: str, keys: Sequence[str]) -> DataFrame:
+    """``(keys, rows, elements)``: the numbers each key's carried state holds, read from the checkpoint of a stream."""
+    held = spark.read.format("statestore").load(checkpoint)
+    return held.select(
+        *[F.col(f"key.{k}").alias(k) for k in keys],
+        F.col("value.groupState.rows").alias("rows"),
+        F.size("value.groupState.state").cast("long").alias("elements"),
+    )
+
+
 def accepted(df: DataFrame) -> DataFrame:
     return df.where(~F.col(LATE)).drop(LATE)
 
