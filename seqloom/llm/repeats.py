@@ -286,7 +286,19 @@ def remove_repeats(docs: DataFrame, text: str, keep_text: bool = False) -> DataF
                 rows.append((len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left if keep_text else None))
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    named = docs.select(F.struct(*rest).alias("doc") if rest else F.lit(None).alias("doc"), F.col(text).alias("text"), *text_key(F.col(text)))
-    joined = named.join(repeated_spans(docs, text), ["text_a", "text_b"], "left")
+    spans = stored(repeated_spans(docs, text), "spans")
+    listed = docs.sparkSession.sparkContext.broadcast(_bitmap(spans.select(F.col("text_a").alias("gram"))))
+
+    def is_listed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for names in batches:
+            yield pd.Series(_in(listed.value, names.to_numpy()))
+
+    # Only texts that may have repeats are shuffled to meet their spans.
+    named = docs.select(
+        F.struct(*rest).alias("doc") if rest else F.lit(None).alias("doc"), F.col(text).alias("text"), *text_key(F.col(text))
+    ).withColumn("listed", F.pandas_udf(is_listed, "boolean")("text_a"))
+    some = named.where("listed").join(spans, ["text_a", "text_b"], "left").select("doc", "text", "spans")
+    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    joined = some.union(named.where("NOT listed").select("doc", "text", none))
     df = joined.select("doc", F.pandas_udf(cut, CUT_SCHEMA)("text", "spans").alias("cut"))
     return df.select(*(["doc.*"] if rest else []), *(F.col(f"cut.{c}").alias(c) for c in added))
