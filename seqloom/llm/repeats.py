@@ -40,9 +40,9 @@ STEP = 12
 #: Bits of a bitmap (16 MB), whatever the size of the input.
 BITS = 1 << 27
 #: Bytes handled at a time; longer texts go in overlapping segments of so many window starts.
-PIECE, SEGMENT = 1 << 19, 1 << 22
+PIECE, SEGMENT = 1 << 17, 1 << 22
 #: Classes a task remembers to have told about.
-SEEN_CLASSES = 500_000
+SEEN_CLASSES = 200_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -167,8 +167,10 @@ def _mapped(docs: DataFrame, schema: str, rows: Callable) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            for piece, table in segments(texts_as_bytes(batch["text"])):
-                yield rows(*runs(piece, table), batch, seen)
+            for low in range(0, len(batch), 500):
+                part = batch.iloc[low : low + 500]
+                for piece, table in segments(texts_as_bytes(part["text"])):
+                    yield rows(*runs(piece, table), part, seen)
 
     return docs.mapInPandas(each, schema)
 
