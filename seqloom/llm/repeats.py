@@ -238,8 +238,6 @@ def repeated_spans(docs: DataFrame, text: str) -> DataFrame:
     )
     # What is known of a class goes to its runs in one join.
     known = classes.select("class", "n").join(edges, "class", "left").where("n > 1 OR first IS NOT NULL")
-    # As a table it is a plain side of the join, so Spark can split the runs of a class that very many texts share.
-    known = stored(known, "known")
     spans = members.drop("gram").join(known, "class").select(
         "text_a",
         "text_b",
