@@ -1,25 +1,28 @@
-"""Benchmark decontamination: SimHash over item-sized windows, multi-index lookup, exact verification.
+"""Benchmark decontamination: rare shingles of every item lead to its windows, all of which are compared exactly.
 
-**Fingerprints.** Every run of as many words as a benchmark item has (in classes of lengths that differ by
-at most ``RATIO``; an item is then represented by its first words) gets a 64-bit SimHash: each bit is the
-weighted majority of that bit in the hashes of the words. Running sums make all windows of a text
-array differences. Windows may overlap the ends of a text, so an item cut off there is still met.
+**Similarity.** The five-word shingles of an item and of a run of as many words of a text (a window) are compared as
+multisets weighted by the bytes of their words: contaminated from ``SIMILARITY`` on. Windows may overlap the ends
+of a text, so an item cut off there is still met.
 
-**Lookup.** Fingerprints are cut into ``BLOCKS`` blocks of 16 bits. Within ``RADIUS`` bits of distance at least one block
-differs in at most ``RADIUS // BLOCKS`` bits, so the items are filed under every such variant of each
-of their blocks: the lookup returns all items within the radius, none is missed.
+**Lookup.** A similar window shares at least ``SIMILARITY`` of the item's weight. Each item is therefore filed under
+its rarest shingles, as many as weigh more than the rest of it: a window without any of them cannot be
+similar, so nothing is missed, wherever in the item the edits are.
 
-**Verification.** For each candidate the five-word shingles of window and item are compared exactly, as
-multisets weighted by the bytes of their words: contaminated from ``SIMILARITY`` on.
+**Comparison.** Of a text that has such a shingle all windows around it are compared at once: an occurrence of
+a shingle counts for the windows that begin behind the occurrence ``n`` before it, ``n`` being its count in the item.
 
 The items travel to the tasks in blocks of checked size; a larger benchmark is several lookups over
 the same text in one pass over the documents. Nothing else is moved: no join, no shuffle.
+
+``fingerprints`` and ``Index.candidates`` look up windows by SimHash within ``RADIUS`` bits. Similar windows may
+lie outside any radius, so ``contaminated`` does not use them.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -71,24 +74,52 @@ def fingerprints(hashes: np.ndarray, lengths: np.ndarray, windows: list[int]) ->
 
 
 class Index:
-    """Items, and for each length class the variants of their fingerprint blocks."""
+    """Items, and for each of their rarest shingles the items filed under it."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
         hashes, lengths, first = words_of(texts)
-        self.ids, self.items, by_class = [], [], {}
+        self.ids, self.items, self.words = [], [], []
         for i, item in enumerate(ids):
             h, b = hashes[first[i] : first[i + 1]], lengths[first[i] : first[i + 1]]
             if len(h):
-                by_class.setdefault(length_class(len(h)), []).append(len(self.ids))
                 self.ids.append(item)
                 self.items.append((len(h), *self._weighted(h, b)))
-                self.items[-1] = (*self.items[-1], next(fingerprints(h, b, [length_class(len(h))]))[1][0])
+                self.words.append((h, b))
+        none = np.zeros(0, np.uint64)
+        every, common = np.unique(np.concatenate([none, *(i[1] for i in self.items)]), return_counts=True)
+        filed = []
+        for words, known, counts, heavy, weight in self.items:
+            rare = np.lexsort((known, common[np.searchsorted(every, known)]))
+            rest = weight - np.cumsum((counts * heavy)[rare])
+            filed.append(known[rare[: int((rest >= SIMILARITY * weight).sum()) + 1]])
+        keys = np.concatenate([none, *filed])
+        order = np.argsort(keys, kind="stable")
+        self.keys, starts = np.unique(keys[order], return_index=True)
+        self.starts = np.append(starts, len(order))
+        self.entries = np.repeat(np.arange(len(filed)), [len(f) for f in filed])[order]
+        #: Items shorter than a shingle are one shingle of their own length.
+        self.widths = sorted({min(i[0], WORDS) for i in self.items})
+
+    @staticmethod
+    def _weighted(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """The distinct shingles in order, how often each occurs, what each weighs, and the weight of all."""
+        s, k = shingles(hashes, WORDS), min(WORDS, len(hashes))
+        weight = np.convolve(lengths, np.ones(k, np.int64), "valid")
+        known, at, counts = np.unique(s, return_index=True, return_counts=True)
+        return known, counts, weight[at], int(weight.sum())
+
+    @cached_property
+    def classes(self) -> dict[int, tuple]:
+        """For each length class the variants of the fingerprint blocks of its items."""
+        by_class = {}
+        for i, (h, _) in enumerate(self.words):
+            by_class.setdefault(length_class(len(h)), []).append(i)
         masks = [sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(16), r)]
         masks = np.array(masks, np.uint16)
-        self.classes = {}
+        classes = {}
         for length, members in by_class.items():
+            prints = np.array([next(fingerprints(*self.words[m], [length]))[1][0] for m in members], np.uint64)
             members = np.array(members)
-            prints = np.array([self.items[m][4] for m in members], np.uint64)
             tables = []
             for b in range(BLOCKS):
                 block = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
@@ -96,19 +127,8 @@ class Index:
                 order = np.argsort(keys, kind="stable")
                 starts = np.searchsorted(keys[order], np.arange(1 << 16))
                 tables.append((np.append(starts, len(order)), np.repeat(np.arange(len(members)), len(masks))[order]))
-            self.classes[length] = (members, prints, tables)
-        self.longest = max((i[0] for i in self.items), default=0)
-
-    @staticmethod
-    def _weighted(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
-        """The distinct shingles in order, their weight in all, and the multiset with its weights."""
-        s, k = shingles(hashes, WORDS), min(WORDS, len(hashes))
-        weight = np.convolve(lengths, np.ones(k, np.int64), "valid") if len(hashes) else lengths
-        kinds = {}
-        for key, w in zip(s.tolist(), weight.tolist(), strict=True):
-            n, _ = kinds.get(key, (0, 0))
-            kinds[key] = (n + 1, w)
-        return np.unique(s), int(weight.sum()), kinds
+            classes[length] = (members, prints, tables)
+        return classes
 
     def candidates(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of a start and an item of this class within ``RADIUS``."""
@@ -128,47 +148,57 @@ class Index:
     def search(self, data: list[bytes]) -> list[dict[int, float]]:
         """For each text the items it contains, with the best similarity of a window."""
         hashes, lengths, first = words_of(data)
-        gap = self.longest // 3 + WORDS
-        n = np.diff(first)
-        begin = gap + np.cumsum(n + gap) - (n + gap)
-        size = int((n + gap).sum()) + gap
-        h, b = np.zeros(size, np.uint64), np.zeros(size, np.int64)
-        at = np.repeat(begin - first[:-1], n) + np.arange(len(hashes))
-        h[at], b[at] = hashes, lengths
-        owner = np.searchsorted(begin - gap // 2, np.arange(size), side="right") - 1
         out: list[dict[int, float]] = [{} for _ in data]
-        shingle = np.zeros(size, np.uint64)
-        full = shingles(h, WORDS) if size >= WORDS else h[:0]
-        shingle[: len(full)] = full
-        for length, prints in fingerprints(h, b, sorted(self.classes)):
-            starts, items = self.candidates(length, prints)
-            for item in np.unique(items).tolist():
-                words, known, weight, kinds, _ = self.items[item]
-                mine = starts[items == item]
-                if words >= WORDS:
-                    # No window can be similar whose shingles, each counted, weigh less than 0.75 of the item's.
-                    grid = np.minimum(mine[:, None] + np.arange(words - WORDS + 1), size - 1)
-                    place = np.minimum(np.searchsorted(known, shingle[grid]), len(known) - 1)
-                    heavy = np.array([kinds[k][1] for k in known.tolist()])
-                    bound = np.where(known[place] == shingle[grid], heavy[place], 0).sum(axis=1)
-                    mine = mine[bound >= SIMILARITY * weight]
-                for start in mine.tolist():
-                    self._verify(start, item, h, b, begin, n, owner, out)
+        bytes_before = np.concatenate(([0], np.cumsum(lengths)))
+        for width in self.widths:
+            if len(hashes) < width:
+                continue
+            # Shingles over the end of a text are of two texts; no window has them.
+            shingle = shingles(hashes, width)
+            owner = np.searchsorted(first, np.arange(len(shingle)), side="right") - 1
+            place = np.minimum(np.searchsorted(self.keys, shingle), len(self.keys) - 1)
+            at = np.flatnonzero((self.keys[place] == shingle) & (np.arange(width, len(hashes) + 1) <= first[owner + 1]))
+            low, n = self.starts[place[at]], np.diff(self.starts)[place[at]]
+            item = self.entries[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            at = np.repeat(at, n)
+            if width < WORDS:
+                for t, i in zip(owner[at].tolist(), item.tolist(), strict=True):
+                    out[t][i] = 1.0
+                continue
+            before = np.concatenate(([0], np.cumsum(bytes_before[width:] - bytes_before[:-width])))
+            order = np.lexsort((at, item, owner[at]))
+            at, item = at[order], item[order]
+            ends = np.flatnonzero(np.diff(owner[at]) | np.diff(item)) + 1
+            for a, b in zip(np.append(0, ends).tolist(), np.append(ends, len(at)).tolist(), strict=True):
+                if a < b:
+                    t = int(owner[at[a]])
+                    best = self._best(int(item[a]), shingle, before, int(first[t]), int(first[t + 1]), int(at[a]), int(at[b - 1]))
+                    if best >= SIMILARITY:
+                        out[t][int(item[a])] = best
         return out
 
-    def _verify(self, start, item, h, b, begin, n, owner, out) -> None:
-        words, _, weight, kinds, _ = self.items[item]
-        doc = int(owner[min(start + words // 2, len(owner) - 1)])
-        if doc < 0:
-            return
-        low, high = max(start, int(begin[doc])), min(start + words, int(begin[doc] + n[doc]))
-        if high <= low:
-            return
-        _, total, window = self._weighted(h[low:high], b[low:high])
-        both = sum(min(c, kinds[k][0]) * w for k, (c, w) in window.items() if k in kinds)
-        similarity = both / (total + weight - both)
-        if similarity >= SIMILARITY and similarity > out[doc].get(item, 0):
-            out[doc][item] = similarity
+    def _best(self, item: int, shingle, before, begin: int, end: int, head: int, tail: int) -> float:
+        """The best similarity of a window of the text ``[begin, end)`` that has a shingle of ``head`` to ``tail``."""
+        words, known, counts, heavy, weight = self.items[item]
+        inner, last = words - WORDS, end - WORDS + 1
+        low, high = max(head - inner, begin), min(tail + inner + 1, last)
+        kind = np.minimum(np.searchsorted(known, shingle[low:high]), len(known) - 1)
+        at = np.flatnonzero(known[kind] == shingle[low:high])
+        at = at[np.argsort(kind[at], kind="stable")]
+        kind, at = kind[at], at + low
+        earlier = np.arange(len(at)) - counts[kind]
+        same = (earlier >= 0) & (kind[earlier] == kind)
+        start = max(head - inner, begin - words // 3)
+        since = np.maximum(np.where(same, at[earlier] + 1, start), np.maximum(at - inner, start))
+        until = np.minimum(at, tail) + 1
+        some = since < until
+        steps = np.zeros(tail - start + 2, np.int64)
+        np.add.at(steps, since[some] - start, heavy[kind[some]])
+        np.subtract.at(steps, until[some] - start, heavy[kind[some]])
+        both = np.cumsum(steps)[:-1]
+        window = np.arange(start, tail + 1)
+        total = before[np.clip(window + inner + 1, begin, last)] - before[np.maximum(window, begin)]
+        return float((both / (total + weight - both)).max())
 
 
 def similarity(window: list[str], item: list[str]) -> float:
