@@ -4,7 +4,8 @@ A word's embedding is the sum of three hashed embeddings (the word, its first fo
 bytes), so inflected forms share one. Filters of several widths run over the whole text, each keeps its
 maximum, and a logistic unit scores the maxima. Training is stochastic gradient descent (Adagrad) on a bounded,
 balanced sample of labelled rows; the model has a fixed size and travels to the tasks, which score
-every text in full. Language is used only to choose a threshold for a score that is already given.
+every text in full. Language is used only to choose a threshold for a score that is already given; thresholds
+come from all clean rows that may be learned from, each scored by a model that was not fitted on it.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.llm.rolling import IS_PUNCTUATION, mix, pieces, stretch, texts_as_bytes, word_spans
 
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5)
-#: Labelled rows of each class to fit on, and to calibrate on; longer texts are not fitted on.
-FIT_ROWS, CALIBRATION_ROWS, FIT_BYTES = 2000, 2000, 20_000
+#: Labelled rows of each class to fit on; longer texts are not fitted on.
+FIT_ROWS, FIT_BYTES = 2000, 20_000
 EPOCHS, BATCH, RATE = 6, 16, 0.1
 THRESHOLD = 0.7
 #: Share of clean calibration rows of a language that its threshold may reject, and the rows it needs.
@@ -159,9 +160,9 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def _chosen(labels: DataFrame, key: str, label: str) -> pd.DataFrame:
-    """Keys, labels and halves of the sample: narrow rows only, a bounded number of each kind."""
-    marked = (
+def _marked(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """Each key whose label may be learned from, once, with its half of the sample: narrow rows only."""
+    return (
         labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where("label IN (0, 1) AND doc_id IS NOT NULL")
         .where(~held_out(F.col("doc_id")))
@@ -170,43 +171,95 @@ def _chosen(labels: DataFrame, key: str, label: str) -> pd.DataFrame:
         .withColumn("hash", F.xxhash64(F.lit("fit"), "doc_id"))
         .withColumn("half", F.pmod("hash", F.lit(2)).cast("int"))
     )
-    kinds = [(0, 1, FIT_ROWS), (0, 0, FIT_ROWS), (1, 0, CALIBRATION_ROWS)]
-    frames = [
-        marked.where((F.col("half") == half) & (F.col("label") == value)).orderBy("hash", "doc_id").limit(n).toPandas()
-        for half, value, n in kinds
-    ]
-    return pd.concat(frames, ignore_index=True)
+
+
+def _sample(docs: DataFrame, marked: DataFrame, key: str, text: str, language: str, half: int) -> pd.DataFrame:
+    """At most ``FIT_ROWS`` rows of each class of one half. The chosen keys go to the documents, only their texts come back."""
+    chosen = pd.concat(
+        [
+            marked.where((F.col("half") == half) & (F.col("label") == value)).orderBy("hash", "doc_id").limit(FIT_ROWS).toPandas()
+            for value in (1, 0)
+        ],
+        ignore_index=True,
+    )
+    if chosen["label"].nunique() < 2:
+        return chosen.iloc[:0]
+    keys = _keys(docs, key, chosen["doc_id"])
+    rows = docs.where(F.octet_length(text) <= FIT_BYTES).join(F.broadcast(keys), F.col(key) == F.col("k"))
+    texts = rows.groupBy("k").agg(F.max(F.struct(F.col(text).alias("text"), F.col(language).alias("lang"))).alias("row"))
+    sample = texts.select(F.col("k").alias("doc_id"), "row.*").toPandas().merge(chosen, on="doc_id")
+    sample = sample.sort_values(["hash", "doc_id"], kind="stable")
+    return sample if sample["label"].nunique() == 2 else sample.iloc[:0]
+
+
+def _keys(docs: DataFrame, key: str, values: pd.Series) -> DataFrame:
+    return docs.sparkSession.createDataFrame([(k,) for k in values.tolist()], docs.select(F.col(key).alias("k")).schema)
+
+
+def _fitted(sample: pd.DataFrame) -> Model | None:
+    if sample.empty:
+        return None
+    model = train(texts_as_bytes(sample["text"]), sample["label"].tolist())
+    model.squares = {}
+    return model
+
+
+def _scorer(docs: DataFrame, model: Model | None):
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            model = shared.value
+            yield pd.Series(model.scores(texts_as_bytes(texts)) if model else np.zeros(len(texts)))
+
+    return F.pandas_udf(scored, "double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, language: str, label: str) -> tuple[Model | None, dict]:
-    """The model and the thresholds, from at most ``FIT_ROWS`` and ``CALIBRATION_ROWS`` rows of each class.
+    """The model, from at most ``FIT_ROWS`` rows of each class, and the thresholds, from all clean rows.
 
-    Rows are taken in the order of a hash of their key; those with an even hash fit, the others calibrate.
-    The chosen keys, bounded in number, go to the documents, and only their texts come back.
+    Rows are taken in the order of a hash of their key; those with an even hash fit. Clean rows that are not fitted on
+    are scored by the model in Spark, whole texts of any length; the fitted ones, bounded in number, by
+    a second model that is fitted on the others (without labels of both classes among these they are left out).
     A language's threshold is the lowest that rejects no more than ``FALSE_REJECTIONS`` of its clean rows,
     kept between 0.5 and 0.9; languages with fewer than ``LEAST_ROWS`` such rows have ``THRESHOLD``.
-    Without labels of both classes the model stays untrained and every score is 0.
+    A key counts once in each language it has. Without labels of both classes the model stays untrained and every score is 0.
     """
-    chosen = _chosen(labels, key, label)
-    if chosen.loc[chosen["half"] == 0, "label"].nunique() < 2:
-        return None, {}
-    keys = docs.sparkSession.createDataFrame([(k,) for k in chosen["doc_id"].tolist()], docs.select(F.col(key).alias("k")).schema)
-    rows = docs.where(F.octet_length(text) <= FIT_BYTES).join(F.broadcast(keys), F.col(key) == F.col("k"))
-    texts = rows.groupBy("k").agg(F.max(F.struct(F.col(text).alias("text"), F.col(language).alias("lang"))).alias("row"))
-    sample = texts.select(F.col("k").alias("doc_id"), "row.*").toPandas().merge(chosen, on="doc_id")
-    sample = sample.sort_values(["hash", "doc_id"], kind="stable")
-    fitted, clean = sample[sample["half"] == 0], sample[sample["half"] == 1]
-    if fitted["label"].nunique() < 2:
+    marked = _marked(labels, key, label)
+    sample = _sample(docs, marked, key, text, language, 0)
+    model = _fitted(sample)
+    if model is None:
         return None, {}
-    model = train(texts_as_bytes(fitted["text"]), fitted["label"].tolist())
-    model.squares = {}
-    clean = clean.assign(score=model.scores(texts_as_bytes(clean["text"])))
-    thresholds = {}
-    for lang, group in clean.groupby("lang"):
-        if len(group) >= LEAST_ROWS:
-            high = np.sort(group["score"].to_numpy())[::-1]
-            thresholds[lang] = float(np.clip(high[int(FALSE_REJECTIONS * len(high))] + 1e-3, 0.5, 0.9))
-    return model, thresholds
+    seen = sample.loc[sample["label"] == 0, ["doc_id", "lang", "text"]]
+    other = _fitted(_sample(docs, marked, key, text, language, 1))
+    again = pd.DataFrame({"lang": seen["lang"], "score": other.scores(texts_as_bytes(seen["text"])) if other else 0.0})
+    return model, _thresholds(docs, marked, model, seen["doc_id"], again if other else again.iloc[:0], key, text, language)
+
+
+def _thresholds(
+    docs: DataFrame, marked: DataFrame, model: Model, seen: pd.Series, again: pd.DataFrame, key: str, text: str, language: str
+) -> dict[str, float]:
+    """Each language's exact cutoff, from counts of its scores (at most 100,001 kinds); one row a language comes back.
+
+    Texts are scored where they lie and only keys, languages and scores meet the labels.
+    """
+    spark = docs.sparkSession
+    clean = marked.where("label = 0").select("doc_id").join(
+        F.broadcast(_keys(docs, key, seen)), F.col("doc_id") == F.col("k"), "left_anti"
+    )
+    rows = docs.where(F.col(key).isNotNull() & F.col(language).isNotNull() & ~held_out(F.col(key)))
+    scored = rows.select(F.col(key).alias("k"), F.col(language).alias("lang"), _scorer(docs, model)(F.col(text)).alias("score"))
+    each = scored.join(clean, F.col("k") == F.col("doc_id")).groupBy("k", "lang").agg(F.max("score").alias("score"))
+    known = again[again["lang"].notna()]
+    pairs = list(zip(known["lang"].tolist(), known["score"].tolist(), strict=True))
+    both = each.select("lang", "score").unionAll(spark.createDataFrame(pairs, each.select("lang", "score").schema))
+    counts = both.groupBy("lang", "score").agg(F.count("*").alias("n"))
+    of, down = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy(F.desc("score"))
+    above = counts.withColumn("all", F.sum("n").over(of)).withColumn("reached", F.sum("n").over(down))
+    # The highest score that more rows reach than may be rejected.
+    held = above.where((F.col("all") >= LEAST_ROWS) & (F.col("reached") > F.floor(F.lit(FALSE_REJECTIONS) * F.col("all"))))
+    cutoffs = held.groupBy("lang").agg(F.max("score").alias("score")).collect()
+    return {r["lang"]: float(np.clip(r["score"] + 1e-3, 0.5, 0.9)) for r in cutoffs}
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str, text: str, language: str, label: str) -> DataFrame:
@@ -217,21 +270,14 @@ def score(docs: DataFrame, labels: DataFrame, key: str, text: str, language: str
     scores (to five decimals), a null key is not held out, an empty table gives an empty result.
     """
     model, thresholds = fit(docs, labels, key, text, language, label)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            model = shared.value
-            yield pd.Series(model.scores(texts_as_bytes(texts)) if model else np.zeros(len(texts)))
-
     added = ("held_out", "score", "predicted", "threshold", "toxic")
     rest = [c for c in docs.columns if c not in added]
-    # Thresholds are of the languages in a bounded sample.
+    # Thresholds are of the languages with ``LEAST_ROWS`` clean labels.
     pairs = [F.lit(x) for item in thresholds.items() for x in item]
     threshold = F.lit(THRESHOLD)
     if pairs:
         threshold = F.coalesce(F.create_map(*pairs)[F.coalesce(F.col(f"doc.{language}"), F.lit(""))], threshold)
-    df = docs.select(F.struct(*rest).alias("doc"), F.pandas_udf(scored, "double")(F.col(text)).alias("score"))
+    df = docs.select(F.struct(*rest).alias("doc"), _scorer(docs, model)(F.col(text)).alias("score"))
     return df.select(
         "doc.*",
         held_out(F.col(f"doc.{key}")).alias("held_out"),
