@@ -290,8 +290,9 @@ def _negatives(sent: pa.RecordBatch, known: pa.Table, batches: Iterator[pa.Recor
     owner = np.array([place[r] for r in of.tolist()], np.int64)
     order = np.lexsort((row, key, -score, owner))
     owner, key, row, score = owner[order], key[order], row[order], score[order]
-    # Integer bounds: the least and the greatest score of a negative.
-    low, high = -((-LOW * score) // 100), (HIGH * score) // 100
+    # The least and the greatest score of a negative, without products that overflow.
+    hundreds, rest = score // 100, score % 100
+    low, high = LOW * hundreds - (-LOW * rest) // 100, HIGH * hundreds + (HIGH * rest) // 100
     best = Best(len(owner), NEGATIVES, low)
     nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
     of_anchor = np.full((len(anchors), POSITIVES), -1)
