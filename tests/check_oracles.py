@@ -27,6 +27,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def normal(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)]
+    # Integers with nulls: pandas' own type from one engine, floats from the other.
+    nullable = [c for c in frame.columns if isinstance(frame[c].dtype, pd.Int64Dtype | pd.Int32Dtype)]
+    frame = frame.astype({c: "float64" for c in nullable})
     return frame.sort_values(list(frame.columns), kind="stable").reset_index(drop=True)
 
 
