@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm import decontamination, hard_negatives, mixing, near_duplicates, pii, quality, repeats, sharding, token_store, toxicity, url_filter
+from seqloom.llm import decontamination, hard_negatives, licenses, mixing, near_duplicates, pii, quality, repeats, sharding, spelling, token_store, toxicity, url_filter
 from seqloom.llm.registry import query
 from seqloom.llm.text import word_count
 from seqloom.plans.registry import table
@@ -400,3 +400,99 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(rows, "vec_id", "embedding", label, F.col("vec_id") % 100 == 0)
+
+
+# --------------------------------------------------------------------------------------------- op12
+
+
+def _license_sql() -> str:
+    lines = ", ".join(
+        f"({n}, '{t.label}', {t.share}, {str(t.base).lower()}, {p}, '{w}', {int(k)})"
+        for n, t in enumerate(licenses.TEMPLATES)
+        for p, (w, k) in enumerate(zip(t.words, t.key))
+    )
+    labels = "string_agg(DISTINCT label, ',' ORDER BY label)"
+    return rf"""
+    WITH t(template, label, share, base, p, word, key) AS (VALUES {lines}),
+    w AS (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM documents),
+    x AS (
+      SELECT doc_id, words[i] AS word, i - 1 AS place FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM w)
+      WHERE words[i] IN (SELECT word FROM t)),
+    heavy AS (
+      SELECT word, 1 + round(1000 * ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)))::BIGINT AS weight
+      FROM (SELECT DISTINCT word FROM t) LEFT JOIN x USING (word) GROUP BY word),
+    totals AS (SELECT template, sum(weight) AS total, sum(key) AS keys FROM t JOIN heavy USING (word) GROUP BY template),
+    finds AS (
+      SELECT doc_id, template, label, base, place - p AS start, sum(weight) / any_value(total) AS found
+      FROM x JOIN t USING (word) JOIN heavy USING (word) JOIN totals USING (template)
+      GROUP BY ALL
+      HAVING 100 * sum(weight) >= any_value(share) * any_value(total) AND sum(key) = any_value(keys)),
+    listed AS (
+      SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+        {labels} FILTER (base) AS base_labels, {labels} AS labels, max(found) AS score
+      FROM finds GROUP BY doc_id)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+      coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 6)::DOUBLE AS score
+    FROM w LEFT JOIN listed USING (doc_id)
+    """
+
+
+@query("op12_license_scan", _license_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, "text").drop("text", "places").withColumn("score", F.round("score", 6))
+
+
+# --------------------------------------------------------------------------------------------- op11
+
+# A checksum by its table, byte by byte; words that are equal without one place, or with a place blanked, are near.
+_SPELLING_SQL = r"""
+WITH RECURSIVE
+crc AS MATERIALIZED (
+  SELECT list(x ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::UBIGINT, c // 2) ELSE c // 2 END) AS x
+    FROM (SELECT unnest(range(256)) AS i))),
+runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM runs),
+summed AS (
+  SELECT run, k, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UBIGINT)),
+    lambda c, b: xor(c // 256, t[(xor(c % 256, b) + 1)::INT]))) AS h
+  FROM bytes, crc),
+cut AS (
+  SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word
+  FROM summed),
+words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+places AS MATERIALIZED (
+  SELECT word, n, substr(word, 1, i) AS a, substr(word, i + 2) AS b, i FROM (SELECT *, unnest(range(0, length(word))) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT DISTINCT word, near, near_n FROM (
+    SELECT x.word, y.word AS near, y.n AS near_n FROM places x JOIN places y USING (a, b, i) WHERE x.word <> y.word
+    UNION ALL SELECT p.word, w.word, w.n FROM places p JOIN words w ON p.a || p.b = w.word
+    UNION ALL SELECT w.word, p.word, p.n FROM places p JOIN words w ON p.a || p.b = w.word)),
+forms AS MATERIALIZED (
+  SELECT word, count(*) AS n_near, max(near_n) AS top,
+    first(near ORDER BY near_n DESC, near) AS best FROM near GROUP BY word),
+judged AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN best END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n
+  FROM words LEFT JOIN forms USING (word)),
+walk AS (
+  SELECT word, word AS here, 0 AS step FROM words
+  UNION ALL SELECT walk.word, j.form, step + 1 FROM walk JOIN judged j ON j.word = here WHERE j.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, step) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN ends USING (word)
+"""
+
+
+@query("op11_spelling_variants", _SPELLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
