@@ -24,17 +24,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
+#: The temporary folder of each local application whose session names no shared one.
+_FALLBACK: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, the folder every executor can reach.
 
-    Only a local master may fall back to a machine-local folder.
+    Only a local master may fall back to a machine-local folder, which is kept here: the setting
+    itself cannot be changed while a session runs.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _FALLBACK.get(context.applicationId) or tempfile.mkdtemp(prefix="seqloom-")
+        _FALLBACK[context.applicationId] = base
     return f"{base.rstrip('/')}/seqloom/{name}-{uuid.uuid4().hex}"
 
 
