@@ -64,7 +64,7 @@ CODEPOINTS = Tokenizer(
 
 
 def tokenizer(name: str) -> Tokenizer:
-    """``codepoints``; a vocabulary held in a table is encoded by a join instead (``operators.vocabulary``)."""
+    """``codepoints``, the one tokenizer that is a column expression; ``operators.vocabulary.tokenizer`` has the others."""
     if name == "codepoints":
         return CODEPOINTS
     raise ValueError(f"unknown tokenizer {name!r}")

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from seqloom.functions.seeded import digest, prefix_bucket
-from seqloom.functions.text import words
+from seqloom.functions.text import codepoints, words
 from seqloom.operators.numbering import running_in_buckets
+from seqloom.session import stored
 
 
-# Entries of a vocabulary that may be sent to every task: the size of the usual tokenizers.
-SMALL_VOCAB = 262_144
-ROW = "_row"
+# What a vocabulary may hold to be sent to every task: the size of the usual tokenizers.
+SMALL_VOCAB, SMALL_BYTES = 262_144, 16 << 20
+# Words (or ids) whose rows are translated together, through one dictionary.
+CHUNK_ELEMENTS = 1 << 18
+CHUNK = "_chunk"
+ELEMENTS = "_elements"
 
 
 def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
@@ -56,31 +61,47 @@ def pad_id(pad: int | None, eos: int | None) -> int:
     return pad if pad is not None else (eos if eos is not None else 0)
 
 
-def encode(
+def special_ids(vocab: DataFrame) -> dict[str, int]:
+    """The ids of the control tokens, a handful."""
+    return {r["token"]: r["id"] for r in vocab.where("is_special").select("token", "id").collect()}
+
+
+def encode_rows(
     df: DataFrame,
     vocab: DataFrame,
-    key: str,
     text: str = "text",
     unknown: int | None = None,
+    max_len: int | None = None,
+    name: str = "input_ids",
     small_vocab: int = SMALL_VOCAB,
 ) -> DataFrame:
-    """``(key, input_ids)`` of every row; a word missing from the vocabulary becomes ``unknown`` (or null).
+    """All rows and columns of ``df`` and ``name``, the ids of the words of ``text``.
 
-    Rows without words, or without a text, have no ids; rows with equal keys stay apart.
-    A vocabulary of at most ``small_vocab`` entries, which any tokenizer's is, goes to every task
-    and the words are looked up inside their row. A larger one is joined, with the same result: Spark shuffles
-    on the word, with AQE splitting the partitions of very frequent words.
-    ``vocab`` is read more than once, so it should be a stored table.
+    A word missing from the vocabulary becomes ``unknown`` (or null). ``max_len`` cuts a text to its first words before
+    they are looked up. Rows without words, or without a text, have no ids; rows may be equal. ``vocab`` is
+    read more than once, so it should be a stored table.
+
+    A vocabulary of at most ``small_vocab`` entries and ``SMALL_BYTES`` goes to every task. A larger one is met in
+    the cluster (``_through_dictionaries``), with the same result; a word is never a row of its own.
     """
-    entries = vocab.select("token", "id")
     tokens = words(F.col(text))
-    if entries.count() <= small_vocab:
-        ids = _translation(entries, "token", "id", "array<bigint>", unknown)
-        return df.select(key, ids(tokens).alias("input_ids"))
-    at = _placed(df.select(key, tokens.alias("_all")), key, "token")
-    found = F.col("id") if unknown is None else F.coalesce("id", F.lit(unknown))
-    joined = at.join(entries, "token", "left").select(ROW, key, "pos", found.alias("value"))
-    return _in_order(joined, key, "input_ids")
+    if max_len is not None:
+        tokens = F.slice(tokens, 1, max_len)
+    return _translated(df, tokens, vocab.select("token", "id"), "token", "id", name, unknown, small_vocab)
+
+
+def encode(
+    df: DataFrame,
+    vocab: DataFrame,
+    key: str,
+    text: str = "text",
+    unknown: int | None = None,
+    small_vocab: int = SMALL_VOCAB,
+    max_len: int | None = None,
+) -> DataFrame:
+    """``(key, input_ids)`` of every row; see ``encode_rows``."""
+    rows = df.select(key, text) if key != text else df.select(key)
+    return encode_rows(rows, vocab, text, unknown, max_len, small_vocab=small_vocab).select(key, "input_ids")
 
 
 def decode(
@@ -96,55 +117,134 @@ def decode(
     Ids outside the vocabulary have no text. The two ways are those of ``encode``, with the same result.
     """
     entries = vocab.where(~F.col("is_special")) if skip_special else vocab
-    entries = entries.select("id", "token")
-    if entries.count() <= small_vocab:
-        tokens = _translation(entries, "id", "token", "array<string>")
-        rows = df.select(key, F.array_compact(tokens(F.col(ids))).alias("tokens"))
-    else:
-        at = _placed(df.select(key, F.col(ids).alias("_all")), key, "id")
-        joined = at.join(entries, "id", "left").select(ROW, key, "pos", F.col("token").alias("value"))
-        rows = _in_order(joined, key, "tokens").withColumn("tokens", F.array_compact("tokens"))
-    return rows.select(key, F.array_join("tokens", " ").alias("text"))
-
-
-def _translation(entries: DataFrame, source: str, target: str, to: str, missing=None):
-    """A function over array columns that replaces every element by its entry, or ``missing``.
-
-    The entries were counted, so they may pass through the driver. Each Arrow batch is one hash
-    lookup of all its elements.
+    rows = df.select(key, F.col(ids).cast("array<bigint>").alias("_ids"))
+    out = _translated(rows, F.col("_ids"), entries.select("id", "token"), "id", "token", "_tokens", None, small_vocab)
+    return out.select(key, F.array_join(F.array_compact("_tokens"), " ").alias("text"))
+
+
+def _translated(
+    df: DataFrame, elements: Column, entries: DataFrame, source: str, target: str, name: str, missing, small_vocab: int
+) -> DataFrame:
+    size = entries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token")).alias("bytes")).first()
+    if size["n"] <= small_vocab and (size["bytes"] or 0) <= SMALL_BYTES:
+        pair = entries.toArrow()  # within both bounds
+        shared = df.sparkSession.sparkContext.broadcast(tuple(pair.column(c).combine_chunks() for c in (source, target)))
+        to = T.ArrayType(entries.schema[target].dataType)
+        ids = F.arrow_udf(lambda rows: translate(rows, *shared.value, missing), to)
+        return df.select("*", ids(elements).alias(name))
+    return _through_dictionaries(df.withColumn(ELEMENTS, elements), entries, source, target, name, missing)
+
+
+def translate(rows: pa.Array, keys: pa.Array, values: pa.Array, missing=None) -> pa.Array:
+    """Every element of an array column replaced by its value, or ``missing``: one hash lookup of all of them."""
+    found = values.take(pc.index_in(rows.flatten().cast(keys.type), value_set=keys))
+    if missing is not None:
+        found = pc.fill_null(found, missing)
+    lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, found)
+
+
+def _through_dictionaries(
+    df: DataFrame, entries: DataFrame, source: str, target: str, name: str, missing
+) -> DataFrame:
+    """Translate ``ELEMENTS`` by dictionaries that hold what a chunk of rows needs, joined once per chunk.
+
+    Tasks number chunks of rows of at most ``CHUNK_ELEMENTS`` elements (or one row), and write them: a task that runs
+    again later must not cut them differently. The distinct elements of each chunk meet the entries in a join, and
+    each chunk is translated in place by its own part of that. A frequent word is one row per chunk, which AQE
+    may split further; the rows themselves are moved once, to their dictionary.
     """
-    table = entries.toArrow()
-    spark = entries.sparkSession
-    pair = spark.sparkContext.broadcast(
-        tuple(table.column(c).combine_chunks() for c in (source, target))
+    schema = T.StructType([*df.schema.fields, T.StructField(CHUNK, T.LongType())])
+    chunked = stored(df.mapInArrow(_cut_chunks, schema), "chunks")
+    kind = entries.schema[source].dataType
+    needed = chunked.select(CHUNK, F.col(ELEMENTS).cast(T.ArrayType(kind)).alias(ELEMENTS)).mapInArrow(
+        _distinct_elements, T.StructType([T.StructField(CHUNK, T.LongType()), T.StructField(source, kind)])
     )
+    dictionaries = needed.join(entries, source).select(F.col(CHUNK).alias("_of"), source, target)
+    value = T.StructField(name, T.ArrayType(entries.schema[target].dataType))
+    kept = [f for f in df.schema.fields if f.name != ELEMENTS]
+
+    def apply(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
+        keys, values = (dictionary.column(c).combine_chunks() for c in (source, target))
+        translated = translate(rows.column(ELEMENTS).combine_chunks(), keys, values, missing)
+        return rows.select([f.name for f in kept]).append_column(name, translated)
+
+    pairs = chunked.groupBy(CHUNK).cogroup(dictionaries.groupBy("_of"))
+    return pairs.applyInArrow(apply, T.StructType([*kept, value]))
+
+
+def _cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the chunks of a task. Chunks may cross batches; a batch is cut where the next chunk begins."""
+    first, held = TaskContext.get().partitionId() << 33, 0
+    chunk = first
+    for batch in batches:
+        lengths = pc.fill_null(pc.list_value_length(batch.column(ELEMENTS)), 0).to_numpy(zero_copy_only=False)
+        numbers = np.empty(batch.num_rows, np.int64)
+        for i, n in enumerate(lengths.tolist()):
+            if held and held + n > CHUNK_ELEMENTS:
+                chunk, held = chunk + 1, 0
+            held += n + 1  # rows without elements count too, so that a chunk has a bounded number of rows
+            numbers[i] = chunk
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], names=[*batch.schema.names, CHUNK])
+
+
+def _distinct_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(chunk, element)`` once per batch that holds both."""
+    for batch in batches:
+        numbers, lists = batch.column(0), batch.column(1)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        of = np.repeat(numbers.to_numpy(), lengths)
+        elements = lists.flatten()
+        codes = elements.dictionary_encode()
+        place = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs = np.unique(np.stack([of, place]), axis=1) if len(of) else np.zeros((2, 0), np.int64)
+        pairs = pairs[:, pairs[1] >= 0]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pairs[0], pa.int64()), codes.dictionary.take(pa.array(pairs[1]))], names=batch.schema.names
+        )
 
-    def translate(rows: pa.Array) -> pa.Array:
-        keys, values = pair.value
-        at = pc.index_in(rows.flatten().cast(keys.type), value_set=keys)
-        found = values.take(at)
-        if missing is not None:
-            found = pc.fill_null(found, missing)
-        lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        return pa.ListArray.from_arrays(offsets, found)
 
-    return F.arrow_udf(translate, to)
+def tokenizer(name: str, vocab: DataFrame | None = None, unknown: int | None = None):
+    """A function ``(df, text, max_len, name)`` that adds token ids to a table, by the tokenizer's name.
 
+    ``codepoints`` needs no vocabulary. ``vocab`` encodes words by a given vocabulary table, ``words`` by one built of
+    the words of the very table it is given. ``hf:<file>`` is a tokenizer file of the ``tokenizers`` library,
+    without special tokens; its text is read once, on the driver, and each Python worker builds it once.
+    """
+    if name == "codepoints":
+        return lambda df, text, max_len=None, name="input_ids": df.withColumn(name, codepoints(F.col(text), max_len))
+    if name == "vocab":
+        if vocab is None:
+            raise ValueError("the tokenizer 'vocab' needs a vocabulary table")
+        return lambda df, text, max_len=None, name="input_ids": encode_rows(df, vocab, text, unknown, max_len, name)
+    if name == "words":
+        return lambda df, text, max_len=None, name="input_ids": encode_rows(
+            df, stored(build_vocab(df, text), "vocab"), text, unknown, max_len, name
+        )
+    if name.startswith("hf:"):
+        with open(name[3:], encoding="utf-8") as f:
+            return _from_file(f.read())
+    raise ValueError(f"unknown tokenizer {name!r}")
 
-def _placed(rows: DataFrame, key: str, element: str) -> DataFrame:
-    """One row per element of ``_all``, numbered by input row and place; an empty row keeps one without a place.
 
-    The elements meet again by the number, never by the key, and the numbered rows are read once.
-    """
-    return rows.withColumn(ROW, F.monotonically_increasing_id()).select(
-        ROW, key, F.posexplode_outer("_all").alias("pos", element)
-    )
+def _from_file(definition: str):
+    held: dict[str, object] = {}
+
+    def add(df: DataFrame, text: str, max_len: int | None = None, name: str = "input_ids") -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(definition)
+
+        def ids(texts: pa.Array) -> pa.Array:
+            if "tokenizer" not in held:
+                from tokenizers import Tokenizer
+
+                held["tokenizer"] = Tokenizer.from_str(shared.value)
+            lists = []
+            for low in range(0, len(texts), 256):
+                some = ["" if t is None else t for t in texts.slice(low, 256).to_pylist()]
+                lists += [e.ids[:max_len] for e in held["tokenizer"].encode_batch(some, add_special_tokens=False)]
+            return pa.array(lists, pa.list_(pa.int32()))
 
+        return df.withColumn(name, F.arrow_udf(ids, "array<int>")(F.col(text)))
 
-def _in_order(pieces: DataFrame, key: str, name: str) -> DataFrame:
-    """Put a row's pieces back in one array; a group is one input row, never more."""
-    piece = F.when(F.col("pos").isNotNull(), F.struct("pos", "value"))
-    grouped = pieces.groupBy(ROW).agg(F.first(key).alias(key), F.collect_list(piece).alias("at"))
-    ordered = F.transform(F.array_sort("at"), lambda s: s["value"])
-    return grouped.select(key, ordered.alias(name))
+    return add

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.functions.text import CODEPOINTS
-from seqloom.operators import chat, sharding
+from seqloom.functions.text import CODEPOINTS, CONTROL_TOKENS
+from seqloom.operators import chat, sharding, vocabulary
 from seqloom.operators.chat import ControlIds
 from seqloom.operators.ledger import unsupervised
 from seqloom.operators.vocabulary import pad_id
+from seqloom.plans.corpus import WORDS_SQL, vocab_sql
 from seqloom.plans.registry import joined, query, table
+from seqloom.session import stored
 from seqloom.sources.corpus import fill_turn_defaults
 
 SEQ_LEN = 512
@@ -18,12 +20,16 @@ CONTROL = ControlIds()
 PAD = pad_id(None, CONTROL.end)
 
 
-# A row per token, with a conversation's tokens numbered in turn order.
-RENDER_SQL = f"""turns AS (
+CODEPOINTS_SQL = "list_transform(string_split(text, ''), lambda c: unicode(c))"
+
+
+def render_sql(ids: str = CODEPOINTS_SQL, user="{c.user}", assistant="{c.assistant}", end="{c.end}", source="conversations") -> str:
+    """A row per token, with a conversation's tokens numbered in turn order."""
+    user, assistant, end = (x.format(c=CONTROL) for x in (user, assistant, end))
+    return f"""turns AS (
         SELECT conv_id, turn, role = 'assistant' AS a,
-            list_concat([CASE WHEN role = 'assistant' THEN {CONTROL.assistant} ELSE {CONTROL.user} END],
-                list_transform(string_split(text, ''), lambda c: unicode(c)), [{CONTROL.end}]) AS seg
-        FROM conversations),
+            list_concat([CASE WHEN role = 'assistant' THEN {assistant} ELSE {user} END], {ids}, [{end}]) AS seg
+        FROM {source}),
     tokens AS (
         SELECT conv_id, turn, a, unnest(seg) AS id, unnest(range(len(seg))) AS i FROM turns),
     stream AS (
@@ -36,6 +42,9 @@ RENDER_SQL = f"""turns AS (
         SELECT conv_id, turn, p, id, CASE WHEN next_sup THEN next_id ELSE -100 END AS label
         FROM shifted WHERE next_id IS NOT NULL)"""
 
+
+RENDER_SQL = render_sql()
+
 CUT_SQL = f"""{RENDER_SQL},
     cut AS (
         SELECT conv_id, list(id ORDER BY p) AS input_ids, list(label ORDER BY p) AS labels
@@ -91,6 +100,52 @@ def render_chat(spark, sf_dir):
     )
 
 
+RENDER_VOCAB_SQL = f"""WITH {vocab_sql('conversations')},
+    special AS (SELECT token, id FROM vocab WHERE is_special),
+    spoken AS (
+        SELECT conv_id, turn, any_value(role) AS role, list(id ORDER BY i) FILTER (id IS NOT NULL) AS ids FROM (
+            SELECT conv_id, turn, role, unnest(list_append({WORDS_SQL}, NULL)) AS token,
+                unnest(range(len({WORDS_SQL}) + 1)) AS i FROM conversations)
+        LEFT JOIN vocab USING (token) GROUP BY conv_id, turn),
+    {render_sql("coalesce(ids, [])", *(f"(SELECT id FROM special WHERE token = '{t}')" for t in CONTROL_TOKENS), "spoken")}
+    SELECT conv_id, turn, CAST(min(p) AS BIGINT) AS start,
+        string_agg(id, ' ' ORDER BY p) AS input_ids, string_agg(label, ' ' ORDER BY p) AS labels
+    FROM examples GROUP BY conv_id, turn"""
+
+
+@query("render_chat_vocab", RENDER_VOCAB_SQL)
+def render_chat_vocab(spark, sf_dir):
+    """Whole conversations in the ids of a vocabulary of their words, with its own control tokens."""
+    turns = fill_turn_defaults(table(spark, sf_dir, "conversations"))
+    vocab = vocabulary.extend_vocab(stored(vocabulary.build_vocab(turns), "vocab"), CONTROL_TOKENS)
+    ids = vocabulary.tokenizer("vocab", vocab)(turns, "text", name="turn_ids")
+    special = vocabulary.special_ids(vocab)
+    out = chat.render_turns(ids, "conv_id", "turn", ControlIds(*(special[t] for t in CONTROL_TOKENS)))
+    return out.select(
+        "conv_id", "turn", "start", joined("input_ids").alias("input_ids"), joined("labels").alias("labels")
+    )
+
+
+NESTED_SQL = f"""WITH {RENDER_SQL}
+    SELECT conv_id, CAST(count(*) AS INTEGER) AS n,
+        string_agg(id, ' ' ORDER BY p) AS input_ids, string_agg(label, ' ' ORDER BY p) AS labels
+    FROM examples GROUP BY conv_id"""
+
+
+@query("render_chat_nested", NESTED_SQL)
+def render_chat_nested(spark, sf_dir):
+    """Conversations that hold their messages as an array are rendered inside their rows."""
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    out = chat.render_messages(turns, "conv_id", lambda text: CODEPOINTS.ids(text, None), CONTROL)
+    return out.select(
+        "conv_id",
+        F.size("input_ids").alias("n"),
+        joined("input_ids").alias("input_ids"),
+        joined("labels").alias("labels"),
+    )
+
+
 def examples(spark, sf_dir):
     return chat.assemble(rendered(spark, sf_dir), "conv_id", SEQ_LEN)
 

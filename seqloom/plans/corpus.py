@@ -114,7 +114,8 @@ def tokenize_documents(spark, sf_dir):
     )
 
 
-VOCAB_SQL = f"""words AS (SELECT DISTINCT unnest({WORDS_SQL}) AS token FROM documents),
+def vocab_sql(source: str = "documents") -> str:
+    return f"""words AS (SELECT DISTINCT unnest({WORDS_SQL}) AS token FROM {source}),
     base AS (
         SELECT token, CAST(row_number() OVER (ORDER BY md5(token), token) - 1 AS BIGINT) AS id,
             false AS is_special FROM words),
@@ -124,6 +125,9 @@ VOCAB_SQL = f"""words AS (SELECT DISTINCT unnest({WORDS_SQL}) AS token FROM docu
         FROM (VALUES ('<|user|>', 0), ('<|assistant|>', 1), ('<|end|>', 2)) AS s(token, k))"""
 
 
+VOCAB_SQL = vocab_sql()
+
+
 def vocab_of(spark, sf_dir):
     """The base vocabulary is stored: its highest id and its size are then a look at the files."""
     base = stored(vocabulary.build_vocab(texts(spark, sf_dir)), "vocab")
@@ -135,22 +139,22 @@ def vocab_with_specials(spark, sf_dir):
     return vocab_of(spark, sf_dir)
 
 
-# Every second row has the key of the row before it, and every ninth has no text: rows stay apart and none is lost.
+# Two rows in a row share a key, and some more have no text or no words: rows stay apart and none is lost.
 ENCODE_SQL = f"""WITH {VOCAB_SQL},
-    docs AS (SELECT doc_id, doc_id // 2 AS pair, CASE WHEN doc_id % 9 > 0 THEN text END AS text FROM documents),
-    tokens AS (SELECT doc_id, unnest({WORDS_SQL}) AS token,
-        unnest(range(len({WORDS_SQL}))) AS i FROM docs),
-    ids AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS input_ids
-        FROM tokens JOIN vocab USING (token) GROUP BY doc_id)
+    docs AS (
+        SELECT doc_id AS r, doc_id // 2 AS pair, text FROM documents
+        UNION ALL SELECT -1 - i, -1, CASE WHEN i > 0 THEN ' ' END FROM (SELECT unnest(range(3)) AS i)),
+    tokens AS (SELECT r, unnest({WORDS_SQL}) AS token, unnest(range(len({WORDS_SQL}))) AS i FROM docs),
+    ids AS (SELECT r, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS input_ids
+        FROM tokens JOIN vocab USING (token) GROUP BY r)
     SELECT pair, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(input_ids, '') AS input_ids
-    FROM docs LEFT JOIN ids USING (doc_id)"""
+    FROM docs LEFT JOIN ids USING (r)"""
 
 
 def encoded(spark, sf_dir, **how):
-    docs = texts(spark, sf_dir).select(
-        F.expr("doc_id div 2").alias("pair"), F.when(F.col("doc_id") % 9 > 0, F.col("text")).alias("text")
-    )
-    ids = vocabulary.encode(docs, vocab_of(spark, sf_dir), "pair", **how)
+    docs = texts(spark, sf_dir).select(F.expr("doc_id div 2").alias("pair"), "text")
+    more = spark.range(3).select(F.lit(-1).cast("long").alias("pair"), F.when(F.col("id") > 0, " ").alias("text"))
+    ids = vocabulary.encode(docs.union(more), vocab_of(spark, sf_dir), "pair", **how)
     return ids.select("pair", F.size("input_ids").alias("n"), joined("input_ids").alias("input_ids"))
 
 
@@ -165,6 +169,33 @@ def encode_vocab(spark, sf_dir):
     return encoded(spark, sf_dir)
 
 
+PACK_VOCAB_SQL = f"""WITH {VOCAB_SQL},
+    numbered AS ({BATCHES_SQL}),
+    word_places AS (
+        SELECT batch_id, doc_id, unnest(({WORDS_SQL})[1:{MAX_TOKENS}]) AS token,
+            unnest(range(least(len({WORDS_SQL}), {MAX_TOKENS}))) AS i FROM numbered),
+    ids AS (
+        SELECT batch_id, doc_id AS o, list(id ORDER BY i) AS ids FROM word_places JOIN vocab USING (token) GROUP BY ALL),
+    pad AS (SELECT id FROM vocab WHERE token = '<|end|>'),"""
+
+
+@query(
+    "pack_vocab_blocks",
+    f"""{PACK_VOCAB_SQL}
+    {blocks_sql('SELECT batch_id, o, ids FROM ids', 'batch_id', pad='(SELECT id FROM pad)')}
+    SELECT batch_id, {SHOW_SQL} FROM blocks""",
+)
+def pack_vocab_blocks(spark, sf_dir):
+    """The everyday path: words to the ids of a vocabulary, cut to ``MAX_TOKENS``, padded by its end token, packed."""
+    vocab = vocab_of(spark, sf_dir)
+    encode = vocabulary.tokenizer("vocab", vocab)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = encode(docs, "text", MAX_TOKENS).drop("text")
+    dealt = sharding.assign_batches(ids, "doc_id", MICRO, profile=docs)
+    end = vocabulary.special_ids(vocab)[CONTROL_TOKENS[2]]
+    return show(blocks.pack_batches(dealt, ["batch_id"], "doc_id", SEQ_LEN, vocabulary.pad_id(None, end)), "batch_id")
+
+
 DECODE_SQL = f"SELECT doc_id, array_to_string({WORDS_SQL}, ' ') AS text FROM documents"
 
 

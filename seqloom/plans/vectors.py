@@ -216,15 +216,17 @@ def importance_mean(spark, sf_dir):
 
 @query(
     "embedding_lookup",
-    f"""WITH asked AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN user_id ELSE -event_id - 1 END AS user_id FROM events)
+    f"""WITH asked AS (
+        SELECT event_id, user_id FROM events
+        UNION ALL SELECT -1 - i, CASE WHEN i > 0 THEN -i END FROM (SELECT unnest(range(3)) AS i))
     SELECT event_id, user_id, coalesce(CAST(len(embedding) AS INTEGER), -1) AS dim,
         {sql_r6('list_sum(list_transform(embedding, lambda a, k: a::DOUBLE * k))')} AS weighted
     FROM asked LEFT JOIN embeddings ON user_id = vec_id""",
 )
 def embedding_lookup(spark, sf_dir):
-    """Every value counts, by its place; every eleventh id is unknown and keeps its row."""
-    user = F.when(F.col("event_id") % 11 > 0, F.col("user_id")).otherwise(-F.col("event_id") - 1)
-    ids = table(spark, sf_dir, "events").select("event_id", user.alias("user_id"))
+    """Every value counts, by its place; some more ids are unknown or null and keep their rows."""
+    more = spark.range(3).select((-1 - F.col("id")).alias("event_id"), F.when(F.col("id") > 0, -F.col("id")).alias("user_id"))
+    ids = table(spark, sf_dir, "events").select("event_id", "user_id").unionByName(more)
     found = lookup(ids, "user_id", vectors(spark, sf_dir), "vec_id", missing="null")
     total = F.aggregate(F.transform("x", lambda a, i: a * (i + 1)), F.lit(0.0), lambda acc, a: acc + a)
     return found.select("event_id", "user_id", F.coalesce(F.size("x"), F.lit(-1)).alias("dim"), r6(total).alias("weighted"))
