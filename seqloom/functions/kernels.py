@@ -77,10 +77,15 @@ class CausalFir:
 class FastMemory:
     """Decayed associative memory ``S <- g S - e k (k'S) + w k v'``, read as ``q'S`` after it.
 
-    Keys and queries are scaled to unit length. The update is affine in ``S``, so a run of rows
-    is summarised by the pair ``(A, B)`` of ``S -> A S + B``.
+    Keys and queries are scaled to unit length. Rows are worked on in blocks of ``BLOCK``. Within a block a row writes
+    ``k u'`` with ``u = w v - e S'k``, and ``S`` before it is the decayed sum of the writes so far. So the
+    ``u`` of a block solve a unit lower triangular system whose entries are decayed products of keys, and
+    its outputs and its last state are matrix products of them. All of that is affine in the state before the
+    block and is found for all blocks at once; only one small product per block is done in turn.
     """
 
+    BLOCK = 32
+
     def __init__(self, rank: int, dim: int) -> None:
         if rank < 1:
             raise ValueError("rank must be positive")
@@ -93,7 +98,8 @@ class FastMemory:
     def _unit(rows):
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
-    def advance(self, state, k, q, v, decay, erase, write):
+    def _one_by_one(self, state, k, q, v, decay, erase, write):
+        """The definition; also for rows that are not finite, which products would spread to the rows before."""
         memory = state.reshape(self.rank, self.dim)
         k, q = self._unit(k), self._unit(q)
         out = np.empty((len(v), self.dim))
@@ -103,36 +109,90 @@ class FastMemory:
             out[t] = q[t] @ memory
         return memory.ravel(), out
 
+    def _in_blocks(self, at, k, q, v, decay, erase, write):
+        """For blocks of rows ``at [blocks, BLOCK]`` (-1: none), what they do to any state ``S`` before them.
+
+        The last state is ``A S + B`` and the outputs are ``C S + D``; returns ``A, B, C, D``.
+        """
+        at = at.T  # rows of a block first, blocks last: every step is an operation on long arrays
+        none = at < 0
+        k, q, v = (np.where(none[..., None], 0.0, x[at]).transpose(0, 2, 1) for x in (self._unit(k), self._unit(q), v))
+        k, q = np.ascontiguousarray(k), np.ascontiguousarray(q)
+        decay, erase, write = (np.where(none, rest, x[at]) for x, rest in ((decay, 1.0), (erase, 0.0), (write, 0.0)))
+        size, blocks = at.shape
+        # Of a row's u, the part that is free of S and the part that multiplies it; likewise of its output.
+        u = np.concatenate([write[:, None] * v, erase[:, None] * k], axis=1)
+        out = np.zeros_like(u)
+        # kept[s]: what is left of the write at row s; since: of the state before the block.
+        kept, since = np.zeros((size, blocks)), np.ones(blocks)
+        for t in range(size):
+            u[t, self.dim :] *= since
+            if t:
+                lower = kept[:t] * np.einsum("srn,rn->sn", k[:t], k[t]) * erase[t]
+                u[t] -= np.einsum("sn,scn->cn", lower, u[:t])
+            kept[:t] *= decay[t]
+            kept[t] = 1.0
+            since = since * decay[t]
+            reads = kept[: t + 1] * np.einsum("srn,rn->sn", k[: t + 1], q[t])
+            out[t] = np.einsum("sn,scn->cn", reads, u[: t + 1])
+            out[t, self.dim :] -= since * q[t]
+        last = np.einsum("srn,scn->nrc", kept[:, None] * k, u)
+        a = since[:, None, None] * np.eye(self.rank) - last[..., self.dim :]
+        out = out.transpose(2, 0, 1)
+        return a, last[..., : self.dim], -out[..., self.dim :], np.ascontiguousarray(out[..., : self.dim])
+
+    def _blocks_of(self, low: int, high: int):
+        at = np.arange(low, low + -(-(high - low) // self.BLOCK) * self.BLOCK)
+        return np.where(at < high, at, -1).reshape(-1, self.BLOCK)
+
+    def advance(self, state, *inputs):
+        states, out = state[None, :].copy(), np.empty((len(inputs[2]), self.dim))
+        self.advance_segments(states, [(0, len(out))], inputs, out)
+        return states[0], out
+
     def advance_segments(self, states, bounds, inputs, out) -> None:
-        """Short segments in step: row ``t`` of all of them at once, the longest ones first."""
-        low, high = np.array(bounds).T
-        order = np.argsort(low - high, kind="stable")
-        length = (high - low)[order]
-        if length[0] * 4 > length.sum():
-            advance_segments(self, states, bounds, inputs, out)
+        """All blocks of all segments at once, then the states from block to block, longest segments first."""
+        if not all(np.isfinite(x).all() for x in inputs):
+            for i, (low, high) in enumerate(bounds):
+                if low < high:
+                    states[i], out[low:high] = self._one_by_one(states[i], *[x[low:high] for x in inputs])
             return
-        k, q, v, decay, erase, write = inputs
-        k, q = self._unit(k), self._unit(q)
+        order = sorted((i for i, (low, high) in enumerate(bounds) if low < high), key=lambda i: bounds[i][0] - bounds[i][1])
+        if not order:
+            return
+        pieces = [self._blocks_of(*bounds[i]) for i in order]
+        counts = np.array([len(p) for p in pieces])
+        first = np.cumsum(counts) - counts
+        at = np.concatenate(pieces)
+        a, b, c, d = self._in_blocks(at, *inputs)
         memory = states[order].reshape(len(order), self.rank, self.dim)
-        for t in range(length[0]):
-            n = np.searchsorted(-length, -t, side="left")
-            at = low[order[:n]] + t
-            read = np.einsum("nr,nrd->nd", k[at], memory[:n])
-            change = write[at, None] * v[at] - erase[at, None] * read
-            memory[:n] *= decay[at, None, None]
-            memory[:n] += k[at][:, :, None] * change[:, None, :]
-            out[at] = np.einsum("nr,nrd->nd", q[at], memory[:n])
+        before = np.empty_like(b)
+        for j in range(counts[0]):
+            n = int(np.searchsorted(-counts, -j, side="left"))
+            if n == 1:  # what is left of the longest segment
+                one = memory[0]
+                for i in range(j, counts[0]):
+                    before[i] = one
+                    one = a[i] @ one + b[i]
+                memory[0] = one
+                break
+            block = first[:n] + j
+            before[block] = memory[:n]
+            memory[:n] = a[block] @ memory[:n] + b[block]
+        d += c @ before
         states[order] = memory.reshape(len(order), -1)
+        out[at[at >= 0]] = d[at >= 0]
 
     def summarise(self, summary, k, q, v, decay, erase, write):
         r = self.rank
         both = np.hstack([np.eye(r), np.zeros((r, self.dim))])
         if summary is not None:
             both = summary.reshape(r, r + self.dim)
-        k = self._unit(k)
-        for t in range(len(v)):
-            target = np.concatenate([np.zeros(r), write[t] * v[t]])
-            both = decay[t] * both + k[t][:, None] * (target - erase[t] * (k[t] @ both))
+        # Queries play no part in the states.
+        a, b, _, _ = self._in_blocks(self._blocks_of(0, len(v)), k, np.zeros_like(k), v, decay, erase, write)
+        for i in range(len(a)):
+            both = a[i] @ both
+            both[:, r:] += b[i]
         return both.ravel()
 
     def compose(self, state, summary):

@@ -168,3 +168,38 @@ def test_fast_memory_in_step_equals_one_by_one():
         found.append((states, out))
     assert np.allclose(found[0][0], found[1][0], atol=1e-12)
     assert np.allclose(found[0][1], found[1][1], atol=1e-12)
+
+
+@pytest.mark.parametrize("rank, dim", [(1, 1), (3, 4), (16, 8)])
+def test_fast_memory_in_blocks_equals_the_definition(rank, dim):
+    rng = np.random.default_rng(9)
+    kernel = kernels.FastMemory(rank, dim)
+    lengths = [1000, 0, 31, 32, 33, 1, 0, 257]
+    n = sum(lengths)
+    inputs = [rng.normal(size=(n, w)) for w in (rank, rank, dim)] + [rng.uniform(size=n) for _ in range(3)]
+    inputs[0][100:300] = inputs[0][100]  # one key over and over
+    inputs[3][::50] = 0.0  # and memories that are emptied
+    ends = np.cumsum(lengths)
+    bounds = list(zip(ends - lengths, ends))
+    states, out = rng.normal(size=(len(lengths), kernel.state_size)), np.empty((n, dim))
+    start = states.copy()
+    kernel.advance_segments(states, bounds, inputs, out)
+    for i, (low, high) in enumerate(bounds):
+        state, rows = kernel._one_by_one(start[i], *[x[low:high] for x in inputs])
+        assert np.allclose(states[i], state, atol=1e-9) and np.allclose(out[low:high], rows, atol=1e-9)
+        if high > low:
+            summary = None
+            for a, b in ((low, (low + high) // 2), ((low + high) // 2, high)):
+                if a < b:
+                    summary = kernel.summarise(summary, *[x[a:b] for x in inputs])
+            assert np.allclose(kernel.compose(start[i], summary), state, atol=1e-9)
+
+
+def test_fast_memory_is_not_reached_by_later_gaps():
+    rng = np.random.default_rng(10)
+    kernel = kernels.FastMemory(2, 2)
+    inputs = [rng.normal(size=(40, 2)) for _ in range(3)] + [rng.uniform(size=40) for _ in range(3)]
+    _, before = kernel.advance(np.zeros(4), *inputs)
+    inputs[2][30] = np.inf
+    _, after = kernel.advance(np.zeros(4), *inputs)
+    assert np.allclose(before[:30], after[:30]) and not np.isfinite(after[30:]).all()
