@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.functions.text import IGNORE
-from seqloom.operators.numbering import CHUNK, MAX_BUCKETS, running_in_buckets
+from seqloom.operators.numbering import CHUNK, running_in_buckets
 
 STEPS_PER_BUCKET = 65_536
 
@@ -79,15 +79,15 @@ def packed_counts(
 def step_ledger(counts: DataFrame, steps: int, step: str = "step") -> DataFrame:
     """Counts of all ranks summed per step, with running totals over the steps.
 
-    ``steps`` is an upper bound of their number; it sets how many go into one bucket.
+    ``steps`` is an upper bound of their number, from which that of the buckets follows.
     """
-    width = max(STEPS_PER_BUCKET, math.ceil(steps / MAX_BUCKETS))
     per_step = counts.groupBy(step).agg(
         F.sum("supervised_tokens").alias("tokens"), F.sum("examples").alias("examples")
     )
-    bucketed = per_step.withColumn(CHUNK, F.expr(f"`{step}` div {width}"))
+    bucketed = per_step.withColumn(CHUNK, F.expr(f"`{step}` div {STEPS_PER_BUCKET}"))
     totals = {"cum_tokens": F.col("tokens"), "cum_examples": F.col("examples")}
-    return running_in_buckets(bucketed, CHUNK, step, totals).drop(CHUNK)
+    buckets = math.ceil(steps / STEPS_PER_BUCKET) + 1
+    return running_in_buckets(bucketed, CHUNK, step, totals, buckets=buckets).drop(CHUNK)
 
 
 def budget_cut(

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqloom.functions.seeded import digest, prefix_bucket
+from seqloom.functions.seeded import Feistel, digest, prefix_bucket
 from seqloom.operators.numbering import ROWS_PER_CHUNK, dense_index, running_in_buckets
 
 
@@ -24,37 +24,78 @@ def shard(df: DataFrame, order: str, world: int, rank: int | None = None) -> Dat
 
 
 def permutation(
-    df: DataFrame, key: str, seed: int, epochs: int = 1, digits: int = 3
+    df: DataFrame, key: str, seed: int, epochs: int = 1, count: int | None = None
 ) -> DataFrame:
     """Each epoch's own repeatable order of the rows: ``epoch`` and ``position`` are added.
 
-    The order is that of ``md5(seed:epoch:key)``, whose leading digits also cut it into equal
-    buckets; a row is copied once per epoch inside its own task.
+    The order is that of ``md5(seed:epoch:key)``, whose leading digits, as many as the number of rows needs, also cut it into
+    equal buckets; a row is copied once per epoch inside its own task, and all copies are sorted.
+    ``seeded_order`` sorts nothing.
     """
     _positive(epochs=epochs)
+    rows, digits = df.count() if count is None else count, 3
+    while rows > 16**digits * ROWS_PER_CHUNK:
+        digits += 1
     copies = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     hashed = copies.withColumn("_md5", digest(seed, F.col("epoch"), F.col(key)))
     bucketed = hashed.withColumn("_slice", prefix_bucket(F.col("_md5"), digits))
     numbered = running_in_buckets(
-        bucketed, "_slice", ["_md5", key], {"position": F.lit(1)}, keys=["epoch"]
+        bucketed, "_slice", ["_md5", key], {"position": F.lit(1)}, keys=["epoch"], buckets=16**digits
     )
     return numbered.withColumn("position", F.col("position") - 1).drop("_md5", "_slice")
 
 
+def seeded_order(
+    df: DataFrame, key: str, seed: int, epochs: int = 1, count: int | None = None
+) -> DataFrame:
+    """Each epoch's own repeatable order of the rows, without sorting any: ``epoch`` and ``position`` are added.
+
+    Rows are numbered once by their unique numeric ``key``. The position in an epoch is that number's place in a seeded permutation,
+    an expression of the row alone, so more epochs add no shuffle.
+    """
+    _positive(epochs=epochs)
+    n = df.count() if count is None else count
+    numbered = dense_index(df, key, "_at")
+    if n == 0:
+        return numbered.select("*", F.lit(0).alias("epoch"), F.col("_at").alias("position")).drop("_at")
+    shuffle = Feistel(n)
+    each = [F.struct(F.lit(e).alias("epoch"), F.array(*map(_long, shuffle.keys(seed, e))).alias("keys")) for e in range(epochs)]
+    copies = numbered.withColumn("_e", F.explode(F.array(*each)))
+    position = shuffle.place(F.col("_at"), F.col("_e.keys"))
+    return copies.withColumns({"epoch": F.col("_e.epoch"), "position": position}).drop("_at", "_e")
+
+
+def _long(value: int):
+    return F.lit(value).cast("long")
+
+
 def distributed_sample(
     df: DataFrame, key: str, world: int, seed: int, epochs: int = 1, count: int | None = None
 ) -> DataFrame:
-    """The permutation dealt to ``world`` equal ranks.
+    """The permutation dealt to ``world`` equal ranks (``epoch, position, rank`` are added); see ``_dealt``."""
+    _positive(world=world)
+    n = df.count() if count is None else count
+    return _dealt(permutation(df, key, seed, epochs, n), n, world)
+
+
+def seeded_sample(
+    df: DataFrame, key: str, world: int, seed: int, epochs: int = 1, count: int | None = None
+) -> DataFrame:
+    """The order of ``seeded_order`` dealt to ``world`` equal ranks: one shuffle for any number of epochs."""
+    _positive(world=world)
+    n = df.count() if count is None else count
+    return _dealt(seeded_order(df, key, seed, epochs, n), n, world)
+
+
+def _dealt(order: DataFrame, n: int, world: int) -> DataFrame:
+    """Deal positions to ranks in turn.
 
     Where the rows do not divide evenly the first ones are dealt again at the end, by emitting
-    them twice from the row they sit in (``epoch, position, rank`` are added).
+    them twice from the row they sit in.
     """
-    _positive(world=world)
-    n = df.count() if count is None else count
     if n == 0:
-        return permutation(df, key, seed, epochs).withColumn("rank", F.lit(0))
+        return order.withColumn("rank", F.lit(0))
     total = math.ceil(n / world) * world
-    order = permutation(df, key, seed, epochs)
     # A table smaller than the padding wraps around more than once.
     places = F.sequence(F.col("position"), F.lit(total - 1).cast("long"), F.lit(n).cast("long"))
     dealt = order.withColumn("position", F.explode(places))

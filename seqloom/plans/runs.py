@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from seqloom.functions.seeded import PRIME, Feistel
 from seqloom.functions.text import CODEPOINTS
 from seqloom.operators import ledger, sharding
 from seqloom.operators.ledger import RunOptions
@@ -77,6 +78,33 @@ def epoch_cycle(spark, sf_dir):
     return order.select("doc_id", "epoch", "position")
 
 
+def _seeded_sql(world: int, epochs: int) -> str:
+    """The same rounds and walks over lists; the number of rows is the table's."""
+    turn = (
+        "(x % side) * side + ((x // side) + ((x % side + k) % {p}) * ((x % side + k) % {p}) % {p}) % side".format(p=PRIME)
+    )
+    once = f"list_reduce(list_prepend({{}}, keys), lambda x, k: {turn})".format
+    keys = ", ".join(f"({e}, {Feistel(1).keys(SEED, e)}::BIGINT[])" for e in range(epochs))
+    return f"""WITH n AS (
+        SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS side, ceil(count(*) / {world})::BIGINT * {world} AS total FROM documents),
+    numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+    placed AS (
+        SELECT doc_id, epoch, list_reduce(list_prepend({once('i')}, range(least(side * side - n, 40))),
+            lambda y, _: CASE WHEN y < n THEN y ELSE {once('y')} END) AS position, n, total
+        FROM numbered, n, (VALUES {keys}) AS e(epoch, keys)),
+    dealt AS (
+        SELECT doc_id, epoch, position FROM placed UNION ALL
+        SELECT doc_id, epoch, position + n FROM placed WHERE position + n < total)
+    SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, position, CAST(position % {world} AS INTEGER) AS rank FROM dealt"""
+
+
+@query("seeded_sample", _seeded_sql(7, 3))
+def seeded_sample(spark, sf_dir):
+    """Three epochs' permutations as expressions of one numbering."""
+    dealt = sharding.seeded_sample(documents(spark, sf_dir), "doc_id", 7, SEED, epochs=3)
+    return dealt.select("doc_id", "epoch", "position", "rank")
+
+
 @query(
     "assign_batches",
     "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, "
