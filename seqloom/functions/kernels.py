@@ -207,6 +207,8 @@ class CausalAttention:
     ``rho`` is a row's importance (1 has no effect). For streams; tables use the tiled operator.
     """
 
+    TILE = 256
+
     def __init__(self, dim: int, value_dim: int, beta: float = 0.1) -> None:
         self.dim, self.value_dim, self.beta = dim, value_dim, beta
         self.widths = {"q": dim, "k": dim, "v": value_dim, "rho": 0}
@@ -217,9 +219,15 @@ class CausalAttention:
     def advance(self, state, q, k, v, rho):
         cached = state.reshape(-1, self.row_size)
         rows = np.vstack([cached, np.hstack([k, v, rho[:, None]])])
-        keys, values, weight = rows[:, : self.dim], rows[:, self.dim : -1], rows[:, -1]
-        scores = q @ keys.T / np.sqrt(self.dim) + self.beta * np.log(np.maximum(weight, 1e-6))
-        later = np.arange(len(rows))[None, :] > len(cached) + np.arange(len(q))[:, None]
-        scores[later] = -np.inf
-        probs = np.exp(scores - scores.max(axis=1, keepdims=True))
-        return rows.ravel(), probs @ values / probs.sum(axis=1, keepdims=True)
+        out = np.empty((len(q), self.value_dim))
+        for low in range(0, len(q), self.TILE):
+            # A tile of queries and the rows up to its end: the scores held at once are bounded.
+            some = q[low : low + self.TILE]
+            seen = rows[: len(cached) + low + len(some)]
+            keys, values, weight = seen[:, : self.dim], seen[:, self.dim : -1], seen[:, -1]
+            scores = some @ keys.T / np.sqrt(self.dim) + self.beta * np.log(np.maximum(weight, 1e-6))
+            later = np.arange(len(seen))[None, :] > len(cached) + low + np.arange(len(some))[:, None]
+            scores[later] = -np.inf
+            probs = np.exp(scores - scores.max(axis=1, keepdims=True))
+            out[low : low + self.TILE] = probs @ values / probs.sum(axis=1, keepdims=True)
+        return rows.ravel(), out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from seqloom.functions.kernels import CausalAttention, CausalFir, FastMemory, SlowMemory
@@ -19,18 +21,34 @@ from seqloom.streaming.stateful import accepted, held_elements, stream_scan
 
 #: Micro-batches of a registered stream; every one after the first goes on from carried state.
 TRIGGERS = 4
+#: Rows that one task writes to a file of a delivery.
+ROWS_PER_FILE = 250_000
+
+
+def deliveries(spark, rows, name, part, parts):
+    """``(path, files)``: a table as ``parts`` deliveries of a feed, by ``part`` (0, 1, …), in as many files each as their rows need.
+
+    A micro-batch of ``files`` files is one delivery: they are written one after the other, and the source takes the oldest first.
+    Parts are of about equal size, and with many rows to a file no file of a part stays empty.
+    """
+    path = scratch_path(spark, f"{name}-feed")
+    files = math.ceil(rows.count() / parts / ROWS_PER_FILE) or 1
+    for i in range(parts):
+        share = rows.where(part == i)
+        share = share.coalesce(1) if files == 1 else share.repartition(files, rows.columns[0])
+        share.write.mode("append").parquet(path)
+    return path, files
 
 
 def stream_table(spark, sf_dir, name, order):
-    """A table as a stream of ``TRIGGERS`` files that arrive in order."""
+    """A table as a stream of ``TRIGGERS`` parts that arrive in order."""
     rows = table(spark, sf_dir, name)
-    path = scratch_path(spark, f"{name}-feed")
     cuts = cut_points(rows, order, TRIGGERS)
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows if low is None else rows.where(F.col(order) >= low)
-        part = part if high is None else part.where(F.col(order) < high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return stream_files(spark, path, rows.schema, files_per_trigger=1)
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + (F.col(order) >= cut).cast("int")
+    path, files = deliveries(spark, rows, name, part, len(cuts) + 1)
+    return stream_files(spark, path, rows.schema, files_per_trigger=files)
 
 
 def drained(spark, df, name):
@@ -115,34 +133,34 @@ def state_size(spark, sf_dir):
         inputs = {n: "rho" if n == "rho" else "x" for n in kernel.widths}
         out = stream_scan(sequence_stream(spark, sf_dir), ["seq_id"], "pos", kernel, inputs)
         sinks.stream_to_files(out, f"{path}/out", f"{path}/state").awaitTermination()
-        held = held_elements(spark, f"{path}/state", ["seq_id"])
+        held = held_elements(spark, f"{path}/state", ["seq_id"], appended=name == "attention")
         found[name] = held.select("seq_id", "rows", F.col("elements").alias(name))
     return found["recurrent"].join(found["attention"].drop("rows"), "seq_id")
 
 
 @query(
     "stream_pack",
-    f"""WITH parted AS (SELECT *, doc_id // 100 AS part FROM documents),
+    f"""WITH parted AS (SELECT *, doc_id * {TRIGGERS} // (SELECT max(doc_id) + 1 FROM documents) AS part FROM documents),
     {corpus.blocks_sql(f'SELECT part, doc_id AS o, {corpus.IDS_SQL} AS ids FROM parted', 'part')}
     SELECT {corpus.SHOW_SQL} FROM blocks""",
 )
 def stream_pack(spark, sf_dir):
-    """Each trigger is packed by itself: here every hundred documents arrive as one file."""
-    path = scratch_path(spark, "pack")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("doc_id div 100").alias("part"))
-    docs.repartition("part").write.partitionBy("part").parquet(f"{path}/in")
-    feed = stream_files(spark, f"{path}/in", docs.drop("part").schema, files_per_trigger=1)
+    """Each trigger is packed by itself: the documents arrive in ``TRIGGERS`` deliveries, whatever their number."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    path, files = deliveries(spark, docs, "pack", F.expr(f"doc_id * {TRIGGERS} div {last + 1}"), TRIGGERS)
+    out = scratch_path(spark, "pack")
     sinks.stream_pack(
-        feed,
+        stream_files(spark, path, docs.schema, files_per_trigger=files),
         "doc_id",
         CODEPOINTS.ids(F.col("text"), None),
         corpus.SEQ_LEN,
         corpus.PAD,
-        f"{path}/out",
-        f"{path}/state",
+        f"{out}/blocks",
+        f"{out}/state",
         length=CODEPOINTS.count(F.col("text"), None),
     ).awaitTermination()
-    return corpus.show(spark.read.parquet(f"{path}/out").drop(sinks.BATCH))
+    return corpus.show(spark.read.parquet(f"{out}/blocks").drop(sinks.BATCH))
 
 
 BUDGET_SQL = f"""WITH numbered AS ({corpus.BATCHES_SQL}),
@@ -160,11 +178,10 @@ def budgeted(spark, sf_dir, targets):
     packed = stored(
         corpus.batch_blocks(spark, sf_dir).select("batch_id", "block", "labels"), "budget-blocks"
     )
-    for part in range(5):
-        packed.where(F.col("batch_id") % 5 == part).coalesce(1).write.mode("append").parquet(f"{path}/blocks")
+    arrived, files = deliveries(spark, packed, "budget", F.col("batch_id") % 5, 5)
     total = token_counts(packed, []).first()["supervised_tokens"]
     for share in targets:
-        feed = stream_files(spark, f"{path}/blocks", packed.schema, files_per_trigger=1)
+        feed = stream_files(spark, arrived, packed.schema, files_per_trigger=files)
         target = int(total * share)
         sinks.run_until_spent(sinks.stream_budget(feed, target, f"{path}/ledger", f"{path}/state"))
     ledger = sinks.read_ledger(spark, f"{path}/ledger")

@@ -6,7 +6,7 @@ result does not depend on how often it ran.
 
 from __future__ import annotations
 
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -74,8 +74,7 @@ def stream_budget(
     """
 
     def account(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = tokens_spent(spark, path, number)
+        before = tokens_spent(batch.sparkSession, path, number)
         if before >= target_tokens:
             raise RuntimeError(SPENT)
         counts = token_counts(batch, [], labels)
@@ -94,22 +93,29 @@ def stream_budget(
 
 
 def tokens_spent(spark: SparkSession, path: str, before: int | None = None) -> int:
-    """Tokens counted so far, or by the micro-batches before one: a sum over the short ledger."""
-    ledger = read_ledger(spark, path)
+    """Tokens counted so far, or by the micro-batches before one. Each entry holds the total up to it."""
+    if before is not None:
+        # Spark counts micro-batches from 0 without gaps: the one before has the total, if there is one.
+        ledger = _read(spark, f"{path}/{BATCH}={before - 1}") if before else None
+    else:
+        ledger = read_ledger(spark, path)
     if ledger is None:
         return 0
-    if before is not None:
-        ledger = ledger.where(F.col(BATCH) < before)
-    return ledger.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    return ledger.agg(F.coalesce(F.max("cum_tokens"), F.lit(0))).first()[0]
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     """The ledger, or nothing when no micro-batch has written to it yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return None
-    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    return _read(spark, path)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def run_until_spent(query: StreamingQuery) -> None:

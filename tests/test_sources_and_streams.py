@@ -18,7 +18,7 @@ from seqloom.sources.corpus import (
     write_blocks,
 )
 from seqloom.streaming import sinks
-from seqloom.streaming.stateful import accepted, rejected, stream_scan
+from seqloom.streaming.stateful import accepted, held_elements, rejected, stream_scan
 
 GATES = {"decay": "decay", "erase": "erase", "write": "write"}
 SCHEMA = "key string, t long, x array<double>, k array<double>, q array<double>, rho double, decay double, erase double, write double"
@@ -73,18 +73,40 @@ def test_stream_attention_equals_tiles_and_is_bounded(spark, tmp_path):
     feed = stream_files(spark, str(tmp_path / "in"), rows.schema, files_per_trigger=1)
     kernel = kernels.CausalAttention(3, 3, beta=0.3)
     inputs = {"q": "x", "k": "x", "v": "x", "rho": "rho"}
-    out = accepted(stream_scan(feed, ["key"], "t", kernel, inputs, max_rows=30))
+    # The first delivery brings 20 rows, and the second goes on: a bound on new keys only.
+    out = accepted(stream_scan(feed, ["key"], "t", kernel, inputs, max_rows=20))
     sinks.stream_to_files(out, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     x = F.col("x")
     batch = attention.causal_attention(rows, ["key"], "t", x, x, x, F.col("rho"), beta=0.3, tile_rows=8)
     streamed, tiled = collected(spark.read.parquet(str(tmp_path / "out"))), collected(batch, "attended")
     assert streamed.keys() == tiled.keys()
     assert all(np.allclose(streamed[k], tiled[k], atol=1e-12) for k in tiled)
-    short = stream_scan(feed, ["key"], "t", kernel, inputs, max_rows=29)
-    with pytest.raises(Exception, match="more than 29"):
+    short = stream_scan(feed, ["key"], "t", kernel, inputs, max_rows=19)
+    with pytest.raises(Exception, match="more than 19"):
         sinks.stream_to_files(short, str(tmp_path / "out2"), str(tmp_path / "state2")).awaitTermination()
 
 
+def test_attention_writes_what_is_new_not_what_it_holds(spark, tmp_path):
+    """Six triggers of equal size: the last writes about as much state as the second, and all rows are held."""
+    rows = sequence_rows(spark, 600).where("key = 'a'")
+    write_parts(rows, str(tmp_path / "in"), range(0, 601, 100))
+    feed = stream_files(spark, str(tmp_path / "in"), rows.schema, files_per_trigger=1)
+    kernel = kernels.CausalAttention(3, 3, beta=0.3)
+    out = accepted(stream_scan(feed, ["key"], "t", kernel, {"q": "x", "k": "x", "v": "x", "rho": "rho"}))
+    sinks.stream_to_files(out, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    written = {}
+    for f in (tmp_path / "state" / "state").rglob("*.changelog"):
+        written[int(f.name.split("_")[0].split(".")[0])] = written.get(int(f.name.split("_")[0].split(".")[0]), 0) + f.stat().st_size
+    sizes = [written[v] for v in sorted(written)]
+    assert len(sizes) == 6 and sizes[-1] < 1.3 * sizes[1]
+    held = held_elements(spark, str(tmp_path / "state"), ["key"], appended=True).collect()
+    assert [tuple(r) for r in held] == [("a", 600, 600 * kernel.row_size)]
+    x = F.col("x")
+    whole = collected(attention.causal_attention(rows, ["key"], "t", x, x, x, F.col("rho"), beta=0.3), "attended")
+    streamed = collected(spark.read.parquet(str(tmp_path / "out")))
+    assert streamed.keys() == whole.keys() and all(np.allclose(streamed[k], whole[k], atol=1e-12) for k in whole)
+
+
 def test_restart_goes_on_from_the_checkpoint_and_rejects_late_rows(spark, tmp_path):
     rows = sequence_rows(spark)
     kernel, inputs = KERNELS["fast"]
