@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from seqloom.functions import vectors as vx
 from seqloom.functions.seeded import digest, draw_unit
 from seqloom.functions.text import CODEPOINTS
-from seqloom.operators import decoding, evaluation
+from seqloom.operators import decoding, evaluation, long_logits
 from seqloom.plans.registry import joined, query, r6, sql_r6, table
 
 SEED = 42
@@ -52,6 +52,23 @@ def nucleus_filter(spark, sf_dir):
     return rows.select("vec_id", "token", r6(F.col("p")).alias("p"))
 
 
+def long_rows(spark, sf_dir):
+    """A row per vector and channel."""
+    rows = logit_rows(spark, sf_dir)
+    return rows.select("vec_id", "label", F.posexplode("logits").alias("token", "logit"))
+
+
+@query(
+    "nucleus_long",
+    f"""WITH {NUCLEUS_SQL} SELECT vec_id, CAST(token AS BIGINT) AS token,
+        {sql_r6('p / greatest(total, 1e-12)')} AS p FROM nucleus""",
+)
+def nucleus_long(spark, sf_dir):
+    """The same nuclei from logits that are rows, by sums over digits."""
+    kept = long_logits.nucleus(long_rows(spark, sf_dir), ["vec_id"], "token", "logit", TOP_P, TEMPERATURE)
+    return kept.select("vec_id", "token", r6(F.col("p")).alias("p"))
+
+
 @query(
     "nucleus_sample",
     f"""WITH {NUCLEUS_SQL},
@@ -91,6 +108,23 @@ def masked_xent(spark, sf_dir):
     return found.select("seq_id", "targets", r6(F.col("loss")).alias("loss"))
 
 
+@query(
+    "masked_xent_long",
+    f"WITH {LOSS_SQL} SELECT seq_id, count(*) AS targets, {sql_r6('avg(nll)')} AS loss FROM nll GROUP BY seq_id",
+)
+def masked_xent_long(spark, sf_dir):
+    """The same losses from logits that are rows: sums that add up wherever they meet."""
+    rows = long_rows(spark, sf_dir).select(
+        F.expr("vec_id div 25").alias("seq_id"),
+        "vec_id",
+        "token",
+        "logit",
+        F.when(F.col("vec_id") % 7 == 0, -100).otherwise(F.col("label")).alias("label"),
+    )
+    found = long_logits.cross_entropy(rows, ["seq_id", "vec_id"], ["seq_id"], "token", "logit", "label")
+    return found.select("seq_id", "targets", r6(F.col("loss")).alias("loss"))
+
+
 @query(
     "perplexity",
     f"WITH {LOSS_SQL} SELECT count(*) AS targets, {sql_r6('avg(nll)')} AS loss, {sql_r6('exp(avg(nll))')} AS perplexity FROM nll",
