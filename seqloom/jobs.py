@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.functions.text import IGNORE, Tokenizer
 from seqloom.operators import blocks, chat, ledger, sharding
@@ -161,3 +162,62 @@ def supervise(
         dealt(epochs), options.batch_key, {"input_ids": options.pad, "labels": IGNORE}
     )
     return place(padded, options, rows, epochs).where(F.col("step") <= last), entries
+
+
+# ------------------------------------------------------------------------- runs that stop and go on
+
+COMMITS = "first_step long, last_step long, tokens long, examples long, cum_tokens long, cum_examples long"
+
+
+@dataclass(frozen=True)
+class Progress:
+    """The counters a stopped run goes on from."""
+
+    step: int = 0
+    tokens: int = 0
+    examples: int = 0
+
+
+def progress(spark: SparkSession, path: str) -> Progress:
+    """Where the run below ``path`` stands: the last entry of its commit log, or its start."""
+    log = _commits(spark, path)
+    last = log.agg(F.max(F.struct("last_step", "cum_tokens", "cum_examples")).alias("c")).first()["c"] if log else None
+    return Progress(*last) if last else Progress()
+
+
+def advance(blocks: DataFrame, path: str, last_step: int) -> Progress:
+    """Write the steps of a run that are not committed yet, up to ``last_step``, and commit them.
+
+    ``blocks`` are the run's placed rows (``step`` and ``labels`` among their columns), the same in every call. The rows of the steps go into a folder
+    named by the first of them, and one row of the log, written when they are complete, says that they count. A run that
+    dies in between leaves no such row: the next call overwrites that folder, whatever its last step was.
+    Nothing of a committed step is computed again but the filter on ``step``.
+    """
+    spark = blocks.sparkSession
+    done = progress(spark, path)
+    if last_step <= done.step:
+        return done
+    folder = f"{path}/blocks/first_step={done.step + 1}"
+    blocks.where(F.col("step").between(done.step + 1, last_step)).write.mode("overwrite").parquet(folder)
+    counts = ledger.token_counts(spark.read.parquet(folder), []).first()
+    new = Progress(last_step, done.tokens + (counts["supervised_tokens"] or 0), done.examples + counts["examples"])
+    row = (done.step + 1, last_step, new.tokens - done.tokens, new.examples - done.examples, new.tokens, new.examples)
+    commit = spark.createDataFrame([row], COMMITS).coalesce(1)
+    commit.write.mode("overwrite").parquet(f"{path}/commits/number={done.step + 1}")
+    return new
+
+
+def written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of all committed steps; folders without a commit are not read. Nothing before the first commit."""
+    log = _commits(spark, path)
+    folders = [r["first_step"] for r in log.select("first_step").collect()] if log else []  # one per call of ``advance``
+    return spark.read.parquet(*[f"{path}/blocks/first_step={n}" for n in folders]) if folders else None
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(COMMITS).parquet(f"{path}/commits")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from seqloom.functions.seeded import PRIME, Feistel
 from seqloom.functions.text import CODEPOINTS
@@ -12,6 +13,7 @@ from seqloom.operators import ledger, sharding
 from seqloom.operators.ledger import RunOptions
 from seqloom.plans.corpus import CUT_IDS_SQL, MAX_TOKENS, SEQ_LEN, blocks_sql
 from seqloom.plans.registry import query, r6, sql_r6, table
+from seqloom.session import stored
 from seqloom.sources.corpus import progress_rows
 
 SEED = 42
@@ -146,19 +148,31 @@ def step_ledger(spark, sf_dir):
     return run_ledger(spark, sf_dir)
 
 
-# A budget of a third of the corpus: found from the data in both engines.
-@query(
-    "budget_cut",
-    f"""WITH {STEPS_SQL}
-    SELECT * FROM ledger WHERE cum_tokens - tokens < (SELECT max(cum_tokens) // 3 FROM ledger)
-        AND cum_examples - examples < (SELECT count(*) * 2 FROM documents) AND step - 1 < 1000000""",
-)
+BUDGET_STEPS = 9
+
+
+# Each limit by itself (a third of the tokens, half an epoch of examples, a number of steps), then all together: the first one reached ends the run.
+def _budget_sql() -> str:
+    tokens = "cum_tokens - tokens < (SELECT max(cum_tokens) // 3 FROM ledger)"
+    examples = "cum_examples - examples < (SELECT ceil(count(*) * 0.5) FROM documents)"
+    steps = f"step - 1 < {BUDGET_STEPS}"
+    each = {"tokens": tokens, "epochs": examples, "steps": steps, "first": f"{tokens} AND {examples} AND {steps}"}
+    return " UNION ALL ".join(f"SELECT '{name}' AS criterion, * FROM ledger WHERE {limit}" for name, limit in each.items())
+
+
+@query("budget_cut", f"WITH {STEPS_SQL} {_budget_sql()}")
 def budget_cut(spark, sf_dir):
-    lengths = table(spark, sf_dir, "documents").select(CODEPOINTS.count(F.col("text"), MAX_TOKENS).alias("n"))
-    entries = run_ledger(spark, sf_dir)
-    total = entries.agg(F.sum("tokens")).first()[0]
-    options = RunOptions(target_tokens=total // 3, epochs=2.0, max_steps=1_000_000)
-    return ledger.budget_cut(entries, options, dataset_len=lengths.count())
+    """The steps of a run under each of its limits and under all of them."""
+    entries = stored(run_ledger(spark, sf_dir), "ledger")
+    last = entries.agg(F.max("cum_tokens")).first()[0] or 0
+    limits = {"tokens": {"target_tokens": last // 3}, "epochs": {"epochs": 0.5}, "steps": {"max_steps": BUDGET_STEPS}}
+    limits["first"] = limits["tokens"] | limits["epochs"] | limits["steps"]
+    rows = table(spark, sf_dir, "documents").count()
+    cuts = [
+        ledger.budget_cut(entries, RunOptions(**limit), rows).select(F.lit(name).alias("criterion"), "*")
+        for name, limit in limits.items()
+    ]
+    return reduce(DataFrame.unionByName, cuts)
 
 
 @query(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import CODEPOINTS
-from seqloom.jobs import JobOptions, pretrain, supervise
+from seqloom.jobs import JobOptions, advance, pretrain, supervise, written
 from seqloom.operators.ledger import RunOptions, token_counts
 from seqloom.plans import chat
 from seqloom.plans.corpus import CUT_IDS_SQL, PAD, SEQ_LEN, blocks_sql
 from seqloom.plans.registry import query, r6, sql_r6, table
-from seqloom.session import stored
+from seqloom.session import scratch_path, stored
 
 PRETRAIN = RunOptions(micro_batch=4, grad_accum=3, world=2, epochs=3.0, warmup_steps=5)
 SFT = RunOptions(micro_batch=4, grad_accum=2, world=3, epochs=2.5, warmup_steps=2)
@@ -36,6 +36,19 @@ def ledger_sql(run: RunOptions, rows: str) -> str:
         WHERE cum_examples - examples < (SELECT ceil(count(*) * {run.epochs}) FROM {rows}))"""
 
 
+BOTH_SQL = "SELECT *, tokens AS placed_tokens, examples AS placed_examples FROM ledger"
+
+
+def both_counts(placed, entries):
+    """Every step of the ledger or of the placed rows, with the counts of both."""
+    built = token_counts(placed, ["step"]).select(
+        "step", F.col("supervised_tokens").alias("placed_tokens"), F.col("examples").alias("placed_examples")
+    )
+    rate = r6(F.col("lr") * 1000.0).alias("lr_milli")
+    columns = ["step", "tokens", "examples", "cum_tokens", "cum_examples", "placed_tokens", "placed_examples"]
+    return entries.join(built, "step", "full").select(*columns, rate)
+
+
 # Blocks outnumber documents, so the wanted number of examples comes before the third epoch ends;
 # three copies of the batches are always enough.
 PRETRAIN_SQL = f"""WITH numbered AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, * FROM documents),
@@ -52,21 +65,33 @@ PRETRAIN_SQL = f"""WITH numbered AS (SELECT row_number() OVER (ORDER BY doc_id)
         FROM counts JOIN per_rank USING (rank), range(3) AS r(e)
         GROUP BY (e * per_epoch + batch) // {PRETRAIN.grad_accum} + 1),
     {ledger_sql(PRETRAIN, 'documents')}
-    SELECT * FROM ledger"""
+    {BOTH_SQL}"""
 
 
-@query("pretrain_run", PRETRAIN_SQL)
-def pretrain_run(spark, sf_dir):
-    """The ledger of a run, checked against the blocks it places: both must count the same."""
+def pretraining(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     options = JobOptions(seq_len=SEQ_LEN, pad=PAD, run=PRETRAIN)
-    placed, entries = pretrain(docs, "doc_id", "text", CODEPOINTS, options)
-    built = token_counts(placed, ["step"])
-    both = entries.join(built.select("step", F.col("supervised_tokens").alias("t"), F.col("examples").alias("x")), "step")
-    same = both.where((F.col("t") == F.col("tokens")) & (F.col("x") == F.col("examples")))
-    return same.select(
-        "step", "tokens", "examples", "cum_tokens", "cum_examples", r6(F.col("lr") * 1000.0).alias("lr_milli")
-    )
+    return pretrain(docs, "doc_id", "text", CODEPOINTS, options)
+
+
+@query("pretrain_run", PRETRAIN_SQL)
+def pretrain_run(spark, sf_dir):
+    """The ledger of a run beside what the blocks it places count."""
+    return both_counts(*pretraining(spark, sf_dir))
+
+
+@query("resume_run", PRETRAIN_SQL)
+def resume_run(spark, sf_dir):
+    """The same run, stopped twice: once between two commits, once while it wrote. No step is lost or counted twice."""
+    path = scratch_path(spark, "run")
+    placed, entries = pretraining(spark, sf_dir)
+    last = entries.agg(F.max("step")).first()[0]
+    done = advance(placed, path, last // 3)
+    # Rows of steps that were never committed, as a lost run leaves them.
+    placed.where(F.col("step") == done.step + 1).write.parquet(f"{path}/blocks/first_step={done.step + 1}")
+    for stop in (2 * last // 3, last):
+        done = advance(placed, path, stop)
+    return both_counts(written(spark, path), entries)
 
 
 SFT_SQL = f"""WITH {chat.CUT_SQL},
@@ -86,18 +111,15 @@ SFT_SQL = f"""WITH {chat.CUT_SQL},
         SELECT step, CAST(sum(len(list_filter(labels, lambda y: y <> -100))) AS BIGINT) AS tokens, count(*) AS examples
         FROM batches JOIN cut USING (conv_id) GROUP BY step),
     {ledger_sql(SFT, 'cut')}
-    SELECT * FROM ledger"""
+    {BOTH_SQL}"""
 
 
 @query("sft_run", SFT_SQL)
 def sft_run(spark, sf_dir):
-    """Shuffled anew each epoch and dealt to three ranks; the rendered rows are stored once."""
+    """Shuffled anew each epoch and dealt to three ranks; the rendered rows are stored once.
+
+    The ledger stands beside what the placed rows count.
+    """
     examples = stored(chat.examples(spark, sf_dir), "examples")
     options = JobOptions(seq_len=chat.SEQ_LEN, pad=chat.PAD, run=SFT, shuffle=True, seed=SEED)
-    placed, entries = supervise(examples, "conv_id", options)
-    built = token_counts(placed, ["step"])
-    both = entries.join(built.select("step", F.col("supervised_tokens").alias("t"), F.col("examples").alias("x")), "step")
-    same = both.where((F.col("t") == F.col("tokens")) & (F.col("x") == F.col("examples")))
-    return same.select(
-        "step", "tokens", "examples", "cum_tokens", "cum_examples", r6(F.col("lr") * 1000.0).alias("lr_milli")
-    )
+    return both_counts(*supervise(examples, "conv_id", options))

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom import jobs
 from seqloom.operators import ledger, numbering, sharding
 from seqloom.operators.ledger import RunOptions
 
@@ -143,3 +144,18 @@ def test_size_inventory(spark):
     )
     rows = {r["layer"]: (r["size"], r["decayed"], r["not_decayed"]) for r in ledger.size_inventory(parameters).collect()}
     assert rows == {0: (40, 0, 40), 1: (20, 16, 4)}
+
+
+def test_a_run_that_stops_and_goes_on(spark, tmp_path):
+    rows = spark.range(60).select((F.expr("id div 3") + 1).alias("step"), F.array(F.lit(5), F.lit(-100), F.col("id").cast("int")).alias("labels"))
+    path = str(tmp_path / "run")
+    assert jobs.progress(spark, path) == jobs.Progress() and jobs.written(spark, path) is None
+    assert jobs.advance(rows, path, 4) == jobs.Progress(4, 24, 12)
+    # A lost attempt at the next steps leaves rows that do not count and are replaced.
+    rows.where("step between 5 and 9").write.parquet(f"{path}/blocks/first_step=5")
+    assert jobs.progress(spark, path).step == 4 and jobs.written(spark, path).count() == 12
+    assert jobs.advance(rows, path, 4) == jobs.Progress(4, 24, 12)
+    assert jobs.advance(rows, path, 6) == jobs.Progress(6, 36, 18)
+    assert jobs.advance(rows, path, 20) == jobs.Progress(20, 120, 60)
+    assert jobs.written(spark, path).exceptAll(rows).isEmpty() and jobs.written(spark, path).count() == 60
+    assert jobs.advance(rows, path, 30) == jobs.Progress(30, 120, 60)
