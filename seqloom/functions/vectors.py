@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body) -> Column:
@@ -158,3 +158,86 @@ def resonance(
 
     schema = "out array<double>, gates array<double>, delta array<double>"
     return F.pandas_udf(apply, schema)(x, control)
+
+
+# ------------------------------------------------------------------------- parameters of their own per head
+
+#: What the parameters of all heads may take to be sent to every task.
+HEAD_VALUES = 8_000_000
+
+
+def head_parameters(table: DataFrame, head: str) -> dict[int, dict[str, np.ndarray]]:
+    """A table of parameters, one row per head and one column (a number or nested arrays) per parameter, as arrays by head.
+
+    Heads are few; a table of more than ``HEAD_VALUES`` values is an error.
+    """
+    names = [c for c in table.columns if c != head]
+    out, values = {}, 0
+    for row in table.toLocalIterator():
+        out[row[head]] = {n: np.asarray(row[n], dtype=np.float64) for n in names}
+        values += sum(a.size for a in out[row[head]].values())
+        if values > HEAD_VALUES:
+            raise ValueError(f"the parameters of the heads have more than {HEAD_VALUES} values")
+    return out
+
+
+def per_head(parameters: dict[int, dict[str, np.ndarray]], apply, schema: str):
+    """A function of ``(head, vectors…)`` columns: ``apply(parameters, *matrices)`` once per head and Arrow batch.
+
+    ``apply`` gets the rows of one head as matrices and gives one matrix, or a dict of them for a struct. A head
+    without parameters is an error.
+    """
+
+    def results(heads: pd.Series, columns: tuple) -> dict[str, list]:
+        found: dict[str, list] = {}
+        for head in heads.unique().tolist():
+            if head not in parameters:
+                raise ValueError(f"no parameters for head {head}")
+            at = np.flatnonzero(heads.to_numpy() == head)
+            result = apply(parameters[head], *(np.stack(c.iloc[at].to_list()).astype(np.float64) for c in columns))
+            for name, matrix in (result if isinstance(result, dict) else {"": result}).items():
+                column = found.setdefault(name, [None] * len(heads))
+                for i, row in zip(at.tolist(), matrix):
+                    column[i] = row
+        return found
+
+    def vector(heads: pd.Series, *columns: pd.Series) -> pd.Series:
+        return pd.Series(results(heads, columns).get("", []), dtype=object)
+
+    def struct(heads: pd.Series, *columns: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(results(heads, columns) or {f.split()[0]: [] for f in schema.split(", ")})
+
+    return F.pandas_udf(vector if schema.startswith("array<") else struct, schema)
+
+
+def _softmax_rows(scores: np.ndarray) -> np.ndarray:
+    weights = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def linear_heads(head: Column, x: Column, parameters) -> Column:
+    """``weight @ x + bias`` with the head's own ``weight`` and ``bias``."""
+    return per_head(parameters, lambda p, v: v @ p["weight"].T + p["bias"], "array<double>")(head, x)
+
+
+def resonance_heads(head: Column, x: Column, control: Column, parameters) -> Column:
+    """``resonance`` with the head's own ``u``, ``v`` (``[operators][dim][rank]``) and ``gate``."""
+
+    def apply(p, rows, controls):
+        weights = _softmax_rows(controls @ p["gate"].T)
+        low = np.einsum("nd,odr->nor", rows, p["v"]) * weights[:, :, None]
+        delta = np.einsum("nor,odr->nd", low, p["u"]) / np.sqrt(p["u"].shape[2])
+        return {"out": rows + delta, "gates": weights, "delta": delta}
+
+    return per_head(parameters, apply, "out array<double>, gates array<double>, delta array<double>")(head, x, control)
+
+
+def fuse_heads(head: Column, slow: Column, fast: Column, local: Column, x: Column, parameters) -> Column:
+    """``fuse_scales`` with scores ``mix @ x`` and gates ``gate @ x`` by the head's own ``mix`` (``[3][dim]``) and ``gate``."""
+
+    def apply(p, a, b, c, v):
+        m = _softmax_rows(v @ p["mix"].T)
+        mixed = m[:, :1] * a + m[:, 1:2] * b + m[:, 2:] * c
+        return mixed / (1.0 + np.exp(-(v @ p["gate"].T)))
+
+    return per_head(parameters, apply, "array<double>")(head, slow, fast, local, x)

@@ -26,7 +26,7 @@ def causal_attention(
     k: Column,
     v: Column,
     rho: Column | None = None,
-    beta: float = 0.1,
+    beta: float | Column = 0.1,
     max_seq_len: int | None = None,
     tile_rows: int = TILE_ROWS,
     name: str = "attended",
@@ -34,17 +34,19 @@ def causal_attention(
     """``(keys, pos, name)`` with ``softmax(q·k/sqrt(d) + beta*ln(max(rho, 1e-6)))`` over the past.
 
     ``pos`` is unique per key and counts from 0; gaps are allowed. A missing ``rho`` means 1, which adds nothing.
+    With a head among ``keys``, ``beta`` may be a column that holds the head's own.
     With ``max_seq_len`` a longer sequence is an error, raised while the query runs.
     """
     keys = list(keys)
     importance = F.lit(1.0) if rho is None else F.coalesce(rho.cast("double"), F.lit(1.0))
+    strength = beta if isinstance(beta, Column) else F.lit(float(beta))
     rows = df.select(
         *keys,
         F.col(pos).cast("long").alias("_pos"),
         q.alias("q"),
         k.alias("k"),
         v.alias("v"),
-        importance.alias("rho"),
+        (strength * F.ln(F.greatest(importance, F.lit(1e-6)))).alias("bias"),
     ).withColumn("_tile", F.expr(f"_pos div {int(tile_rows)}"))
     last = F.max("_pos")
     if max_seq_len is not None:
@@ -56,7 +58,7 @@ def causal_attention(
     ends = ends.select(*keys, F.filter("_tiles", lambda t: t * F.lit(int(tile_rows)) <= F.col("_last")).alias("_tiles"))
 
     # A tile has at most tile_rows rows, whatever the sequence's length.
-    in_order = F.array_sort(F.collect_list(F.struct("_pos", "q", "k", "v", "rho")))
+    in_order = F.array_sort(F.collect_list(F.struct("_pos", "q", "k", "v", "bias")))
     tiles = rows.groupBy(*keys, "_tile").agg(in_order.alias("r"))
 
     def flat(field: str) -> Column:
@@ -69,7 +71,7 @@ def causal_attention(
         flat("q").alias("q"),
         flat("k").alias("k"),
         flat("v").alias("v"),
-        F.transform("r", lambda x: x["rho"]).alias("rho"),
+        F.transform("r", lambda x: x["bias"]).alias("bias"),
     ).join(ends, keys)
     # Each tile goes to every query tile at or after it. A query tile's own copy comes first in
     # its group: it brings the queries and is the only one that needs the causal mask.
@@ -85,7 +87,7 @@ def causal_attention(
         F.slice("q", 1, F.when(own, F.size("q")).otherwise(0)).alias("q"),
         "k",
         "v",
-        "rho",
+        "bias",
     )
     part = [*keys, "_to"]
     # Work per row outweighs its bytes: AQE should not merge these partitions by size.
@@ -95,10 +97,10 @@ def causal_attention(
         [df.schema[c] for c in keys]
         + [T.StructField(pos, T.LongType()), T.StructField(name, T.ArrayType(T.DoubleType()))]
     )
-    return ordered.mapInArrow(_attend(keys, part, pos, name, beta), schema)
+    return ordered.mapInArrow(_attend(keys, part, pos, name), schema)
 
 
-def _attend(keys, part, pos, name, beta):
+def _attend(keys, part, pos, name):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         previous, tile = None, None
 
@@ -114,7 +116,7 @@ def _attend(keys, part, pos, name, beta):
                         if tile is not None:
                             yield tile.result(pos, name, keys)
                         tile = _QueryTile(batch, row, keys)
-                    tile.meet(batch, row, beta, causal=new)
+                    tile.meet(batch, row, causal=new)
         if tile is not None:
             yield tile.result(pos, name, keys)
 
@@ -140,13 +142,13 @@ class _QueryTile:
         self.weight = np.zeros(n)
         self.total = np.zeros((n, width))
 
-    def meet(self, batch: pa.RecordBatch, row: int, beta: float, causal: bool) -> None:
-        rho = _values(batch, "rho", row)
-        k = _values(batch, "k", row).reshape(len(rho), -1)
-        v = _values(batch, "v", row).reshape(len(rho), -1)
-        scores = self.q @ k.T / np.sqrt(self.q.shape[1]) + beta * np.log(np.maximum(rho, 1e-6))
+    def meet(self, batch: pa.RecordBatch, row: int, causal: bool) -> None:
+        bias = _values(batch, "bias", row)
+        k = _values(batch, "k", row).reshape(len(bias), -1)
+        v = _values(batch, "v", row).reshape(len(bias), -1)
+        scores = self.q @ k.T / np.sqrt(self.q.shape[1]) + bias
         if causal:
-            scores[np.triu_indices(len(rho), 1)] = -np.inf
+            scores[np.triu_indices(len(bias), 1)] = -np.inf
         top = np.maximum(self.top, scores.max(axis=1))
         shrink = np.exp(self.top - top)
         probs = np.exp(scores - top[:, None])
