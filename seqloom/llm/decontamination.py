@@ -1,21 +1,23 @@
-"""Benchmark decontamination: rare shingles of every item lead to its windows, all of which are compared exactly.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact verification.
 
 **Similarity.** The five-word shingles of an item and of a run of as many words of a text (a window) are compared as
 multisets weighted by the bytes of their words: contaminated from ``SIMILARITY`` on. Windows may overlap the ends
 of a text, so an item cut off there is still met.
 
-**Lookup.** A similar window shares at least ``SIMILARITY`` of the item's weight. Each item is therefore filed under
-its rarest shingles, as many as weigh more than the rest of it: a window without any of them cannot be
-similar, so nothing is missed, wherever in the item the edits are.
+**Fingerprints.** Every bit of a window's 64-bit SimHash is the majority of that bit over its words' hashes. It comes from running
+sums, for windows of the items' lengths (rounded down to a geometric grid) that begin every sixteenth of their length.
 
-**Comparison.** Of a text that has such a shingle all windows around it are compared at once: an occurrence of
-a shingle counts for the windows that begin behind the occurrence ``n`` before it, ``n`` being its count in the item.
+**Lookup.** Windows within ``RADIUS`` bits of an item agree with it in one of four 16-bit blocks up to ``RADIUS // 4`` bits.
+Each item is filed under all such variants of its blocks, so a window's four blocks, looked up as they are, lead to all items within
+the radius. What is found there is compared in full.
 
-The items travel to the tasks in blocks of checked size; a larger benchmark is several lookups over
-the same text in one pass over the documents. Nothing else is moved: no join, no shuffle.
+**Verification.** A candidate goes on if the item's shingles around it weigh enough for any similar window. Then all windows around it
+are compared at once: an occurrence of a shingle counts for the windows that begin behind the occurrence ``n``
+before it, ``n`` being its count in the item.
 
-``fingerprints`` and ``Index.candidates`` look up windows by SimHash within ``RADIUS`` bits. Similar windows may
-lie outside any radius, so ``contaminated`` does not use them.
+A similar window whose fingerprint is farther than the radius is not found; the README has the measured share. The items travel to the
+tasks in blocks of checked size, and each Python worker builds the index of a block once; a larger benchmark is several lookups
+over the same text in one pass over the documents. Nothing else is moved: no join, no shuffle.
 """
 
 from __future__ import annotations
@@ -33,7 +35,11 @@ from seqloom.llm.rolling import IS_PUNCTUATION, mix, pieces, shingles, stretch,
 
 WORDS, SIMILARITY = 5, 0.75
 RATIO = 1.25
-BLOCKS, RADIUS = 4, 11
+BLOCKS, RADIUS = 4, 17
+#: Windows of ``n`` words begin every ``n // STEPS`` words.
+STEPS = 16
+#: Windows looked up at once.
+LOOKUPS = 1 << 15
 #: Text of one block of items; a task holds the index of one block per lookup.
 BLOCK_BYTES = 4 << 20
 
@@ -52,12 +58,20 @@ def length_class(n: int) -> int:
     return at
 
 
+def _block(prints: np.ndarray, b: int) -> np.ndarray:
+    return ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.intp)
+
+
+def step(length: int) -> int:
+    return max(1, length // STEPS)
+
+
 def _weights(lengths: np.ndarray) -> np.ndarray:
     return np.clip((lengths + 1) // 3, 1, 3).astype(np.int16)
 
 
 def fingerprints(hashes: np.ndarray, lengths: np.ndarray, windows: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each window length the SimHashes at all starts. Words of length 0 weigh nothing."""
+    """For each window length the SimHashes at every ``step(length)``-th start. Words of length 0 weigh nothing."""
     n = len(hashes)
     weights = np.where(lengths > 0, _weights(lengths), 0).astype(np.int16)
     bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
@@ -68,37 +82,40 @@ def fingerprints(hashes: np.ndarray, lengths: np.ndarray, windows: list[int]) ->
     for length in windows:
         if length > n:
             continue
-        half = ((total[length:] - total[:-length]) // 2).astype(np.int16)
-        major = (sums[length:] - sums[:-length]) > half[:, None]
+        at = np.arange(0, n - length + 1, step(length))
+        half = ((total[at + length] - total[at]) // 2).astype(np.int16)
+        major = (sums[length :: step(length)][: len(at)] - sums[:: step(length)][: len(at)]) > half[:, None]
         yield length, np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 class Index:
-    """Items, and for each of their rarest shingles the items filed under it."""
+    """Items by length class, and for each class the variants of the fingerprint blocks of its items."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
         hashes, lengths, first = words_of(texts)
-        self.ids, self.items, self.words = [], [], []
+        self.ids, self.items = [], []
+        by_class: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         for i, item in enumerate(ids):
             h, b = hashes[first[i] : first[i + 1]], lengths[first[i] : first[i + 1]]
             if len(h):
+                by_class.setdefault(length_class(len(h)), []).append((len(self.ids), h, b))
                 self.ids.append(item)
                 self.items.append((len(h), *self._weighted(h, b)))
-                self.words.append((h, b))
-        none = np.zeros(0, np.uint64)
-        every, common = np.unique(np.concatenate([none, *(i[1] for i in self.items)]), return_counts=True)
-        filed = []
-        for words, known, counts, heavy, weight in self.items:
-            rare = np.lexsort((known, common[np.searchsorted(every, known)]))
-            rest = weight - np.cumsum((counts * heavy)[rare])
-            filed.append(known[rare[: int((rest >= SIMILARITY * weight).sum()) + 1]])
-        keys = np.concatenate([none, *filed])
-        order = np.argsort(keys, kind="stable")
-        self.keys, starts = np.unique(keys[order], return_index=True)
-        self.starts = np.append(starts, len(order))
-        self.entries = np.repeat(np.arange(len(filed)), [len(f) for f in filed])[order]
-        #: Items shorter than a shingle are one shingle of their own length.
-        self.widths = sorted({min(i[0], WORDS) for i in self.items})
+        self.longest = max((i[0] for i in self.items), default=0)
+        masks = [sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(16), r)]
+        masks = np.array(masks, np.uint16)
+        #: length -> (items, fingerprints, for each block: where a key's entries begin, entries)
+        self.classes = {}
+        for length, members in by_class.items():
+            prints = np.array([next(fingerprints(h, b, [length]))[1][0] for _, h, b in members], np.uint64)
+            tables = []
+            for block in range(BLOCKS):
+                keys = (_block(prints, block).astype(np.uint16)[:, None] ^ masks[None, :]).ravel()
+                order = np.argsort(keys, kind="stable")
+                starts = np.zeros((1 << 16) + 1, np.int32)
+                np.cumsum(np.bincount(keys, minlength=1 << 16), out=starts[1:])
+                tables.append((starts, (order // len(masks)).astype(np.int32)))
+            self.classes[length] = (np.array([m for m, _, _ in members]), prints, tables)
 
     @staticmethod
     def _weighted(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -108,87 +125,82 @@ class Index:
         known, at, counts = np.unique(s, return_index=True, return_counts=True)
         return known, counts, weight[at], int(weight.sum())
 
-    @cached_property
-    def classes(self) -> dict[int, tuple]:
-        """For each length class the variants of the fingerprint blocks of its items."""
-        by_class = {}
-        for i, (h, _) in enumerate(self.words):
-            by_class.setdefault(length_class(len(h)), []).append(i)
-        masks = [sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(16), r)]
-        masks = np.array(masks, np.uint16)
-        classes = {}
-        for length, members in by_class.items():
-            prints = np.array([next(fingerprints(*self.words[m], [length]))[1][0] for m in members], np.uint64)
-            members = np.array(members)
-            tables = []
-            for b in range(BLOCKS):
-                block = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
-                keys = (block[:, None] ^ masks[None, :]).ravel()
-                order = np.argsort(keys, kind="stable")
-                starts = np.searchsorted(keys[order], np.arange(1 << 16))
-                tables.append((np.append(starts, len(order)), np.repeat(np.arange(len(members)), len(masks))[order]))
-            classes[length] = (members, prints, tables)
-        return classes
-
     def candidates(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of a start and an item of this class within ``RADIUS``."""
+        """All pairs of a window (its number) and an item of this class within ``RADIUS``."""
         members, own, tables = self.classes[length]
         found = []
-        for b, (starts, entries) in enumerate(tables):
-            block = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.intp)
-            low = starts[block]
-            n = starts[block + 1] - low
-            at = np.repeat(np.arange(len(prints)), n)
-            entry = entries[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(at))]
-            near = np.bitwise_count(prints[at] ^ own[entry]) <= RADIUS
-            found.append(at[near] * len(own) + entry[near])
-        pairs = np.unique(np.concatenate(found))
+        # Some windows at a time: what the blocks lead to is many times their number.
+        for low in range(0, len(prints), LOOKUPS):
+            some = prints[low : low + LOOKUPS]
+            for b, (starts, entries) in enumerate(tables):
+                block = _block(some, b)
+                begin = starts[block]
+                n = starts[block + 1] - begin
+                at = np.repeat(np.arange(len(some)), n)
+                entry = entries[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(len(at))]
+                near = np.bitwise_count(some[at] ^ own[entry]) <= RADIUS
+                found.append((low + at[near]) * len(own) + entry[near])
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return pairs // len(own), members[pairs % len(own)]
 
     def search(self, data: list[bytes]) -> list[dict[int, float]]:
         """For each text the items it contains, with the best similarity of a window."""
         hashes, lengths, first = words_of(data)
         out: list[dict[int, float]] = [{} for _ in data]
-        bytes_before = np.concatenate(([0], np.cumsum(lengths)))
-        for width in self.widths:
-            if len(hashes) < width:
-                continue
-            # Shingles over the end of a text are of two texts; no window has them.
-            shingle = shingles(hashes, width)
-            owner = np.searchsorted(first, np.arange(len(shingle)), side="right") - 1
-            place = np.minimum(np.searchsorted(self.keys, shingle), len(self.keys) - 1)
-            at = np.flatnonzero((self.keys[place] == shingle) & (np.arange(width, len(hashes) + 1) <= first[owner + 1]))
-            low, n = self.starts[place[at]], np.diff(self.starts)[place[at]]
-            item = self.entries[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            at = np.repeat(at, n)
-            if width < WORDS:
-                for t, i in zip(owner[at].tolist(), item.tolist(), strict=True):
-                    out[t][i] = 1.0
-                continue
-            before = np.concatenate(([0], np.cumsum(bytes_before[width:] - bytes_before[:-width])))
-            order = np.lexsort((at, item, owner[at]))
-            at, item = at[order], item[order]
-            ends = np.flatnonzero(np.diff(owner[at]) | np.diff(item)) + 1
-            for a, b in zip(np.append(0, ends).tolist(), np.append(ends, len(at)).tolist(), strict=True):
-                if a < b:
-                    t = int(owner[at[a]])
-                    best = self._best(int(item[a]), shingle, before, int(first[t]), int(first[t + 1]), int(at[a]), int(at[b - 1]))
+        # Texts lie apart, so that windows over their ends hold nothing of their neighbours.
+        gap = self.longest + WORDS
+        n = np.diff(first)
+        begin = gap + np.cumsum(n + gap) - (n + gap)
+        size = int((n + gap).sum()) + gap
+        h, b = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        at = np.repeat(begin - first[:-1], n) + np.arange(len(hashes))
+        h[at], b[at] = hashes, lengths
+        before, shingle = {}, {}
+        bytes_before = np.concatenate(([0], np.cumsum(b)))
+        for width in {min(i[0], WORDS) for i in self.items}:
+            shingle[width] = shingles(h, width)
+            before[width] = np.concatenate(([0], np.cumsum(bytes_before[width:] - bytes_before[:-width])))
+        for length, prints in fingerprints(h, b, sorted(self.classes)):
+            starts, items = self.candidates(length, prints)
+            starts = starts * step(length)
+            for item in np.unique(items).tolist():
+                words, known, _, heavy, weight = self.items[item]
+                width = min(words, WORDS)
+                mine = starts[items == item]
+                owner = np.searchsorted(begin - gap // 2, mine + words // 2, side="right") - 1
+                mine, owner = mine[owner >= 0], owner[owner >= 0]
+                # No window up to one step off can be similar whose shingles, each counted, weigh less than this.
+                reach = np.arange(-step(length), words - width + step(length) + 1)
+                places = np.clip(mine[:, None] + reach, 0, len(shingle[width]) - 1)
+                kind = np.minimum(np.searchsorted(known, shingle[width][places]), len(known) - 1)
+                bound = np.where(known[kind] == shingle[width][places], heavy[kind], 0).sum(axis=1)
+                mine, owner = mine[bound >= SIMILARITY * weight], owner[bound >= SIMILARITY * weight]
+                for text in np.unique(owner).tolist():
+                    near = mine[owner == text]
+                    low, high = int(begin[text]), int(begin[text] + n[text])
+                    if words < WORDS:
+                        inside = shingle[width][low : high - width + 1]
+                        best = float((inside == known[0]).any())
+                    else:
+                        best = self._best(item, shingle[width], before[width], low, high, int(near.min()), int(near.max()))
                     if best >= SIMILARITY:
-                        out[t][int(item[a])] = best
+                        out[text][item] = max(best, out[text].get(item, 0.0))
         return out
 
     def _best(self, item: int, shingle, before, begin: int, end: int, head: int, tail: int) -> float:
-        """The best similarity of a window of the text ``[begin, end)`` that has a shingle of ``head`` to ``tail``."""
+        """The best similarity of a window of the text ``[begin, end)`` that begins within the item's length of ``[head, tail]``."""
         words, known, counts, heavy, weight = self.items[item]
         inner, last = words - WORDS, end - WORDS + 1
-        low, high = max(head - inner, begin), min(tail + inner + 1, last)
+        start, tail = max(head - words, begin - words // 3), min(tail + words, last - 1)
+        low, high = max(start, begin), min(tail + inner + 1, last)
+        if low >= high or start > tail:
+            return 0.0
         kind = np.minimum(np.searchsorted(known, shingle[low:high]), len(known) - 1)
         at = np.flatnonzero(known[kind] == shingle[low:high])
         at = at[np.argsort(kind[at], kind="stable")]
         kind, at = kind[at], at + low
         earlier = np.arange(len(at)) - counts[kind]
         same = (earlier >= 0) & (kind[earlier] == kind)
-        start = max(head - inner, begin - words // 3)
         since = np.maximum(np.where(same, at[earlier] + 1, start), np.maximum(at - inner, start))
         until = np.minimum(at, tail) + 1
         some = since < until
@@ -197,10 +209,21 @@ class Index:
         np.subtract.at(steps, until[some] - start, heavy[kind[some]])
         both = np.cumsum(steps)[:-1]
         window = np.arange(start, tail + 1)
-        total = before[np.clip(window + inner + 1, begin, last)] - before[np.maximum(window, begin)]
+        total = before[np.clip(window + inner + 1, begin, last)] - before[np.clip(window, begin, last)]
         return float((both / (total + weight - both)).max())
 
 
+class Items:
+    """A block of items, from which each Python worker builds its index once: Spark keeps a broadcast between tasks."""
+
+    def __init__(self, ids: list[int], texts: list[bytes]):
+        self.ids, self.texts = ids, texts
+
+    @cached_property
+    def index(self) -> Index:
+        return Index(self.ids, self.texts)
+
+
 def similarity(window: list[str], item: list[str]) -> float:
     """The weighted similarity of two word lists, spelled out; what ``Index`` computes from hashes."""
 
@@ -240,7 +263,7 @@ def contaminated(docs: DataFrame, text: str, benchmark: DataFrame, item_key: str
     context = docs.sparkSession.sparkContext
     found = []
     for ids, texts in _item_blocks(benchmark, item_key, item_text):
-        found.append(_lookup(context.broadcast((ids, texts)))(F.col(text)))
+        found.append(_lookup(context.broadcast(Items(ids, texts)))(F.col(text)))
     added = ("contaminated", "item_ids", "similarity")
     rest = [c for c in docs.columns if c not in added]
     df = docs.select(F.struct(*rest).alias("doc"), *(f.alias(f"found{i}") for i, f in enumerate(found)))
@@ -252,7 +275,7 @@ def contaminated(docs: DataFrame, text: str, benchmark: DataFrame, item_key: str
 
 def _lookup(shared):
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index = Index(*shared.value)
+        index = shared.value.index
         for batch in batches:
             data, rows = texts_as_bytes(batch), []
             for low, high in pieces(data, 1 << 17):
