@@ -10,6 +10,7 @@ come from all clean rows that may be learned from, each scored by a model that w
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.llm.rolling import IS_PUNCTUATION, mix, pieces, stretch, texts_as_bytes, word_spans
+from seqloom.session import stored
 
 BUCKETS, DIMENSIONS, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5)
@@ -173,8 +175,11 @@ def _marked(labels: DataFrame, key: str, label: str) -> DataFrame:
     )
 
 
-def _sample(docs: DataFrame, marked: DataFrame, key: str, text: str, language: str, half: int) -> pd.DataFrame:
-    """At most ``FIT_ROWS`` rows of each class of one half. The chosen keys go to the documents, only their texts come back."""
+def _sample(docs: DataFrame, marked: DataFrame, key: str, text: str, language: str, half: int) -> DataFrame | None:
+    """At most ``FIT_ROWS`` rows of each class of one half, as a table ``doc_id, text, lang, label, hash``.
+
+    The chosen keys go to the documents and only their rows go on; no text reaches the driver.
+    """
     chosen = pd.concat(
         [
             marked.where((F.col("half") == half) & (F.col("label") == value)).orderBy("hash", "doc_id").limit(FIT_ROWS).toPandas()
@@ -183,28 +188,39 @@ def _sample(docs: DataFrame, marked: DataFrame, key: str, text: str, language: s
         ignore_index=True,
     )
     if chosen["label"].nunique() < 2:
-        return chosen.iloc[:0]
-    keys = _keys(docs, key, chosen["doc_id"])
-    rows = docs.where(F.octet_length(text) <= FIT_BYTES).join(F.broadcast(keys), F.col(key) == F.col("k"))
-    texts = rows.groupBy("k").agg(F.max(F.struct(F.col(text).alias("text"), F.col(language).alias("lang"))).alias("row"))
-    sample = texts.select(F.col("k").alias("doc_id"), "row.*").toPandas().merge(chosen, on="doc_id")
-    sample = sample.sort_values(["hash", "doc_id"], kind="stable")
-    return sample if sample["label"].nunique() == 2 else sample.iloc[:0]
+        return None
+    narrow = docs.where(F.octet_length(text) <= FIT_BYTES).select(
+        F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(language).alias("_lang")
+    )
+    keys = _keys(docs, key, chosen["doc_id"]).join(marked.where(F.col("half") == half), F.col("k") == F.col("doc_id"))
+    rows = narrow.join(F.broadcast(keys), F.col("_key") == F.col("k"))
+    row = F.max(F.struct(F.col("_text").alias("text"), F.col("_lang").alias("lang"))).alias("row")
+    return stored(rows.groupBy("doc_id", "label", "hash").agg(row).select("doc_id", "row.*", "label", "hash"), "sample")
 
 
 def _keys(docs: DataFrame, key: str, values: pd.Series) -> DataFrame:
     return docs.sparkSession.createDataFrame([(k,) for k in values.tolist()], docs.select(F.col(key).alias("k")).schema)
 
 
-def _fitted(sample: pd.DataFrame) -> Model | None:
-    if sample.empty:
+def _fitted(sample: DataFrame | None) -> Model | None:
+    """The model of a sample, fitted by one task: its rows are bounded in number and size. Only weights come back."""
+    if sample is None:
         return None
-    model = train(texts_as_bytes(sample["text"]), sample["label"].tolist())
-    model.squares = {}
-    return model
+
+    def fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(batches)
+        if not rows or (found := pd.concat(rows))["label"].nunique() < 2:
+            return
+        found = found.sort_values(["hash", "doc_id"], kind="stable")
+        model = train(texts_as_bytes(found["text"]), found["label"].tolist())
+        yield pd.DataFrame({"weights": [pickle.dumps(vars(model) | {"squares": {}})]})
+
+    weights = sample.coalesce(1).mapInPandas(fit_rows, "weights binary").collect()
+    return Model(**pickle.loads(weights[0]["weights"])) if weights else None
 
 
 def _scorer(docs: DataFrame, model: Model | None):
+    """A function from text to score, and the broadcast it reads."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -212,7 +228,7 @@ def _scorer(docs: DataFrame, model: Model | None):
             model = shared.value
             yield pd.Series(model.scores(texts_as_bytes(texts)) if model else np.zeros(len(texts)))
 
-    return F.pandas_udf(scored, "double")
+    return F.pandas_udf(scored, "double"), shared
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, language: str, label: str) -> tuple[Model | None, dict]:
@@ -230,35 +246,35 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, language: str,
     model = _fitted(sample)
     if model is None:
         return None, {}
-    seen = sample.loc[sample["label"] == 0, ["doc_id", "lang", "text"]]
     other = _fitted(_sample(docs, marked, key, text, language, 1))
-    again = pd.DataFrame({"lang": seen["lang"], "score": other.scores(texts_as_bytes(seen["text"])) if other else 0.0})
-    return model, _thresholds(docs, marked, model, seen["doc_id"], again if other else again.iloc[:0], key, text, language)
+    return model, _thresholds(docs, marked, model, other, sample.where("label = 0"), key, text, language)
 
 
 def _thresholds(
-    docs: DataFrame, marked: DataFrame, model: Model, seen: pd.Series, again: pd.DataFrame, key: str, text: str, language: str
+    docs: DataFrame, marked: DataFrame, model: Model, other: Model | None, seen: DataFrame, key: str, text: str, language: str
 ) -> dict[str, float]:
     """Each language's exact cutoff, from counts of its scores (at most 100,001 kinds); one row a language comes back.
 
     Texts are scored where they lie and only keys, languages and scores meet the labels.
     """
-    spark = docs.sparkSession
-    clean = marked.where("label = 0").select("doc_id").join(
-        F.broadcast(_keys(docs, key, seen)), F.col("doc_id") == F.col("k"), "left_anti"
-    )
+    unseen = marked.where("label = 0").select("doc_id").join(F.broadcast(seen.select("doc_id")), "doc_id", "left_anti")
     rows = docs.where(F.col(key).isNotNull() & F.col(language).isNotNull() & ~held_out(F.col(key)))
-    scored = rows.select(F.col(key).alias("k"), F.col(language).alias("lang"), _scorer(docs, model)(F.col(text)).alias("score"))
-    each = scored.join(clean, F.col("k") == F.col("doc_id")).groupBy("k", "lang").agg(F.max("score").alias("score"))
-    known = again[again["lang"].notna()]
-    pairs = list(zip(known["lang"].tolist(), known["score"].tolist(), strict=True))
-    both = each.select("lang", "score").unionAll(spark.createDataFrame(pairs, each.select("lang", "score").schema))
+    score_of, shared = _scorer(docs, model)
+    scored = rows.select(F.col(key).alias("k"), F.col(language).alias("lang"), score_of(F.col(text)).alias("score"))
+    each = scored.join(unseen, F.col("k") == F.col("doc_id")).groupBy("k", "lang").agg(F.max("score").alias("score"))
+    both, sent = each.select("lang", "score"), [shared]
+    if other is not None:
+        score_of, shared = _scorer(docs, other)
+        sent.append(shared)
+        both = both.unionAll(seen.where("lang IS NOT NULL").select("lang", score_of(F.col("text")).alias("score")))
     counts = both.groupBy("lang", "score").agg(F.count("*").alias("n"))
     of, down = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy(F.desc("score"))
     above = counts.withColumn("all", F.sum("n").over(of)).withColumn("reached", F.sum("n").over(down))
     # The highest score that more rows reach than may be rejected.
     held = above.where((F.col("all") >= LEAST_ROWS) & (F.col("reached") > F.floor(F.lit(FALSE_REJECTIONS) * F.col("all"))))
     cutoffs = held.groupBy("lang").agg(F.max("score").alias("score")).collect()
+    for model_sent in sent:
+        model_sent.destroy()
     return {r["lang"]: float(np.clip(r["score"] + 1e-3, 0.5, 0.9)) for r in cutoffs}
 
 
@@ -277,7 +293,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str, text: str, language: str
     threshold = F.lit(THRESHOLD)
     if pairs:
         threshold = F.coalesce(F.create_map(*pairs)[F.coalesce(F.col(f"doc.{language}"), F.lit(""))], threshold)
-    df = docs.select(F.struct(*rest).alias("doc"), _scorer(docs, model)(F.col(text)).alias("score"))
+    df = docs.select(F.struct(*rest).alias("doc"), _scorer(docs, model)[0](F.col(text)).alias("score"))
     return df.select(
         "doc.*",
         held_out(F.col(f"doc.{key}")).alias("held_out"),

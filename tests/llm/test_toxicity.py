@@ -93,3 +93,13 @@ def test_without_labels_or_rows(spark):
     assert toxicity.score(d, none, "doc_id", "text", "lang", "toxic").first()["score"] == 0
     lab = spark.createDataFrame([(1, 1), (2, 0)], none.schema)
     assert toxicity.score(d.limit(0), lab, "doc_id", "text", "lang", "toxic").count() == 0
+
+
+def test_clashing_columns(spark, prose):
+    docs, labels = _corpus(prose, 300)
+    names = ["k", "hash", "half", "_key", "row", "doc", "weights"]
+    d = spark.createDataFrame([(*r, *names) for r in docs], "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    lab = spark.createDataFrame([(*r, "y") for r in labels], "doc_id long, toxic int, lang string")
+    got = toxicity.score(d, lab, "doc_id", "text", "lang", "toxic")
+    assert got.columns[: 3 + len(names)] == d.columns
+    assert got.count() == len(docs) and got.where("score > 0").count() > 0
