@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seqloom.functions.seeded import digest, draw_int
 from seqloom.functions.text import IGNORE
 from seqloom.functions.vectors import logsumexp
+from seqloom.session import stored
 
 # The shape of a recall prompt.
 KEY_SPACE = 10**8
@@ -104,32 +105,66 @@ def parity(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataF
     )
 
 
+#: Ranges of key hashes whose contents are compared before any rows are.
+RANGES = 4096
+
+
+def fingerprints(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
+    """``(range, rows, mark)``: what each range of key hashes holds, as a count and sums that add up wherever they meet.
+
+    The sums are over two 64-bit hashes of a row's key and value, so they tell multisets apart whatever the order of the rows.
+    """
+    flags = [F.col(c).isNull() for c in [*keys, value]]
+    row = [F.col(k) for k in keys] + [F.col(value).cast("double")] + flags
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), *row).cast("decimal(38,0)"))
+    marked = df.withColumn("_range", _range(keys, ranges))
+    return marked.groupBy("_range").agg(F.count(F.lit(1)).alias("rows"), F.struct(total(0), total(1)).alias("mark"))
+
+
+def _range(keys: Sequence[str], ranges: int) -> Column:
+    """The range of a row; a null key meets no other row, so such rows have one that is always compared."""
+    missing = F.lit(False)
+    for k in keys:
+        missing |= F.col(k).isNull()
+    return F.when(missing, F.lit(-1)).otherwise(F.pmod(F.xxhash64(*keys), F.lit(ranges)).cast("int"))
+
+
+def parity_by_ranges(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
+    """``parity`` (keys unique on each side) that joins only rows of ranges whose fingerprints differ.
+
+    Ranges with equal fingerprints are taken as matched without a difference. Two tables that are equal are read once
+    each, and only a row per range is shuffled. The extra column ``ranges_compared`` counts the ranges that were joined.
+    """
+    left = fingerprints(a, keys, value, ranges)
+    right = fingerprints(b, keys, value, ranges).withColumnsRenamed({"rows": "rows_b", "mark": "mark_b"})
+    same = F.coalesce((F.col("rows") == F.col("rows_b")) & (F.col("mark") == F.col("mark_b")) & (F.col("_range") >= 0), F.lit(False))
+    compared = stored(left.join(right, "_range", "full").select("_range", "rows", same.alias("same")), "ranges")
+    equal = compared.where("same").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    differ = compared.where("NOT same").select("_range")
+    n = differ.count()
+    some = lambda df: df.withColumn("_range", _range(keys, ranges)).join(differ, "_range", "left_semi").drop("_range")
+    # Tables that are equal leave nothing to join: their rows are not even read again.
+    rows = parity(some(a), some(b), keys, value) if n else parity(a.limit(0), b.limit(0), keys, value)
+    matched = F.col("matched") + F.lit(equal)
+    mean = F.when(matched > 0, F.coalesce(F.col("mean_abs_diff") * F.col("matched"), F.lit(0.0)) / matched)
+    return rows.select(
+        matched.alias("matched"),
+        "only_left",
+        "only_right",
+        F.coalesce("max_abs_diff", F.lit(0.0) if equal else F.lit(None).cast("double")).alias("max_abs_diff"),
+        mean.alias("mean_abs_diff"),
+        F.lit(n).cast("long").alias("ranges_compared"),
+    )
+
+
 def leakage(
     operator, df: DataFrame, changed: DataFrame, kept: Column, keys: Sequence[str], value: str
 ) -> DataFrame:
     """Does ``operator`` let later rows change earlier results?
 
     ``changed`` differs from ``df`` only in rows where ``kept`` is false. The report compares the
-    operator's results on the rows that are the same; a causal operator shows no difference.
+    operator's results on the rows that are the same; a causal operator shows no difference, and then no row is joined.
     """
     before = operator(df).where(kept)
     after = operator(changed).where(kept)
-    return parity(before, after, keys, value)
-
-
-def state_sizes(
-    df: DataFrame, keys: Sequence[str], dim: int, rank: int, kernel: int, heads: int
-) -> DataFrame:
-    """Elements of carried state per key after all its rows, for each kind of operator.
-
-    The recurrences keep two sums, ``rank`` memory rows and ``kernel - 1`` past inputs, however
-    long the key is; attention keeps keys, values and one importance per head for every row.
-    """
-    constant = dim * (2 + rank + kernel - 1)
-    rows = df.groupBy(*keys).agg(F.count("*").alias("rows"))
-    return rows.select(
-        *keys,
-        "rows",
-        F.lit(constant).cast("long").alias("recurrent"),
-        (F.col("rows") * (2 * dim + heads)).alias("attention"),
-    )
+    return parity_by_ranges(before, after, keys, value).drop("ranges_compared")

@@ -9,6 +9,7 @@ from seqloom.functions.kernels import CausalFir, FastMemory, SlowMemory
 from seqloom.operators import attention, evaluation, ordered
 from seqloom.operators.decoding import every_channel
 from seqloom.plans.registry import query, r6, sql_list, sql_r6, table, weight_grid
+from seqloom.session import stored
 
 DIM = 64
 SEQ = 25
@@ -251,6 +252,35 @@ def causal_attention(spark, sf_dir):
     return channels(out, "attended")
 
 
+PLANTED_SQL = f"""WITH a AS (SELECT event_id, {memory_sql()} AS m FROM events),
+    ends AS (SELECT min(event_id) AS low, max(event_id) AS high FROM events),
+    b AS (
+        SELECT event_id, m + CASE WHEN event_id = high THEN 0.25 ELSE 0 END AS m FROM a, ends WHERE event_id > low
+        UNION ALL SELECT -1, 0)
+    SELECT count(a.m) FILTER (b.event_id IS NOT NULL) AS matched, count(*) FILTER (b.event_id IS NULL) AS only_left,
+        count(*) FILTER (a.event_id IS NULL) AS only_right, {sql_r6('max(abs(a.m - b.m))')} AS max_abs_diff,
+        {sql_r6('avg(abs(a.m - b.m)) * 1000')} AS mean_abs_diff_milli
+    FROM a FULL JOIN b ON a.event_id = b.event_id"""
+
+
+@query("parity_planted", PLANTED_SQL)
+def parity_planted(spark, sf_dir):
+    """A row that differs, one that is missing and one too many are found; ranges of rows without any are never joined."""
+    a = stored(memory_of(events(spark, sf_dir)).select("event_id", "memory"), "memory")
+    low, high = a.agg(F.min("event_id"), F.max("event_id")).first()
+    moved = F.when(F.col("event_id") == high, F.col("memory") + 0.25).otherwise(F.col("memory"))
+    b = a.where(F.col("event_id") > low).withColumn("memory", moved)
+    b = b.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("memory")))
+    report = evaluation.parity_by_ranges(a, b, ["event_id"], "memory")
+    return report.select(
+        "matched",
+        "only_left",
+        "only_right",
+        r6(F.col("max_abs_diff")).alias("max_abs_diff"),
+        r6(F.col("mean_abs_diff") * 1000.0).alias("mean_abs_diff_milli"),
+    )
+
+
 @query(
     "parity_report",
     f"""WITH a AS (SELECT event_id, {memory_sql()} AS m FROM events),

@@ -135,11 +135,20 @@ def test_parity_counts_missing_rows(spark):
     assert tuple(evaluation.parity(a, b, ["k"], "v").first()) == (2, 1, 1, 0.5, 0.25)
 
 
-def test_state_sizes_match_the_known_configuration(spark):
-    """Three recurrent layers of width 64 hold 2688 values at any length; attention 132 per row."""
-    for n in (1, 8, 32):
-        row = evaluation.state_sizes(spark.range(n).withColumn("k", F.lit(0)), ["k"], 64, rank=8, kernel=5, heads=4).first()
-        assert (3 * row["recurrent"], row["attention"]) == (2688, 132 * n)
+def test_parity_joins_only_ranges_that_differ(spark):
+    a = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 0.5).alias("v"))
+    same = evaluation.parity_by_ranges(a, a.orderBy(F.desc("k")), ["k"], "v", 64).first()
+    assert tuple(same) == (5000, 0, 0, 0.0, 0.0, 0)
+    b = a.where("k <> 17").withColumn("v", F.when(F.col("k") == 99, F.col("v") + 3).otherwise(F.col("v")))
+    b = b.union(spark.createDataFrame([(-1, 0.0)], b.schema))
+    got = evaluation.parity_by_ranges(a, b, ["k"], "v", 64).first()
+    assert tuple(got)[:4] == (4999, 1, 1, 3.0) and got["mean_abs_diff"] == pytest.approx(3 / 4999) and got["ranges_compared"] <= 3
+    # Nulls: a key matches nothing, a value has no difference.
+    left = spark.createDataFrame([(None, 1.0), (1, None), (2, 2.0)], "k long, v double")
+    plain = tuple(evaluation.parity(left, left, ["k"], "v").first())
+    assert tuple(evaluation.parity_by_ranges(left, left, ["k"], "v").first())[:3] == plain[:3] == (2, 1, 1)
+    empty = a.limit(0)
+    assert tuple(evaluation.parity_by_ranges(empty, empty, ["k"], "v").first()) == (0, 0, 0, None, None, 0)
 
 
 def test_importance_reaches_the_next_attention_layer_only(spark):
