@@ -5,7 +5,7 @@ multisets weighted by the bytes of their words: contaminated from ``SIMILARITY``
 of a text, so an item cut off there is still met.
 
 **Fingerprints.** Every bit of a window's 64-bit SimHash is the majority of that bit over its words' hashes. It comes from running
-sums, for windows of the items' lengths (rounded down to a geometric grid) that begin every sixteenth of their length.
+sums, for windows of the items' lengths (rounded down to a geometric grid) that begin every eighth of their length.
 
 **Lookup.** Windows within ``RADIUS`` bits of an item agree with it in one of four 16-bit blocks up to ``RADIUS // 4`` bits.
 Each item is filed under all such variants of its blocks, so a window's four blocks, looked up as they are, lead to all items within
@@ -37,7 +37,7 @@ WORDS, SIMILARITY = 5, 0.75
 RATIO = 1.25
 BLOCKS, RADIUS = 4, 17
 #: Windows of ``n`` words begin every ``n // STEPS`` words.
-STEPS = 16
+STEPS = 8
 #: Windows looked up at once.
 LOOKUPS = 1 << 15
 #: Text of one block of items; a task holds the index of one block per lookup.
