@@ -60,6 +60,19 @@ def scan_conversations(spark, sf_dir):
     return turns.select("conv_id", "turn", "role", F.length("text").alias("text_length"))
 
 
+@query(
+    "turn_defaults",
+    """SELECT conv_id, turn, coalesce(CASE WHEN role <> 'system' THEN role END, 'user') AS role,
+        CAST(coalesce(CASE WHEN turn > 0 THEN length(text) END, 0) AS INTEGER) AS text_length FROM conversations""",
+)
+def turn_defaults(spark, sf_dir):
+    """Turns without a role are the user's and turns without a text are empty."""
+    turns = table(spark, sf_dir, "conversations").withColumns(
+        {"role": F.when(F.col("role") != "system", F.col("role")), "text": F.when(F.col("turn") > 0, F.col("text"))}
+    )
+    return fill_turn_defaults(turns).select("conv_id", "turn", "role", F.length("text").alias("text_length"))
+
+
 @query(
     "tokenize_turns",
     "SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS n_tokens, "

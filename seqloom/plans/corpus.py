@@ -8,8 +8,9 @@ from seqloom.functions.text import CODEPOINTS, CONTROL_TOKENS, word_count
 from seqloom.operators import blocks, decoding, sharding, vocabulary
 from seqloom.operators.ledger import token_counts
 from seqloom.plans.registry import joined, query, table
-from seqloom.session import stored
-from seqloom.sources.corpus import spread
+from seqloom.session import scratch_path, stored
+from seqloom.sources.corpus import register_dataset, scan_files, spread
+from seqloom.sources.corpus import scan_named as find_named
 
 SEQ_LEN = 512
 MAX_TOKENS = 4 * SEQ_LEN  # the truncation rule: four blocks' worth of one document
@@ -99,6 +100,35 @@ def scan_documents(spark, sf_dir):
     return docs.select("doc_id", "lang", "source", "n_chars", F.length("text").alias("text_length"))
 
 
+NARROW_SQL = "SELECT doc_id, lang, CAST(length(text) AS INTEGER) AS text_length FROM documents"
+
+
+def _narrow(docs):
+    return docs.select("doc_id", "lang", F.length("text").alias("text_length"))
+
+
+@query("scan_named", f"{NARROW_SQL} WHERE lang = 'en'")
+def scan_named(spark, sf_dir):
+    """A dataset registered by name, in splits of its own, and read through the session's catalog."""
+    path = scratch_path(spark, "named")
+    docs = table(spark, sf_dir, "documents")
+    docs.where("lang = 'en'").write.parquet(f"{path}/english")
+    docs.where("lang <> 'en'").write.parquet(f"{path}/other")
+    register_dataset(spark, "corpus", {"train": f"{path}/other", "test": f"{path}/english"}, config="by_language")
+    return _narrow(find_named(spark, "corpus", "by_language", "test"))
+
+
+@query("select_files", f"{NARROW_SQL} WHERE doc_id >= (SELECT (max(doc_id) + 1) // 2 FROM documents)")
+def select_files(spark, sf_dir):
+    """Two snapshots side by side: only the files of the later one match the pattern."""
+    path = scratch_path(spark, "snapshot")
+    docs = table(spark, sf_dir, "documents")
+    half = ((docs.agg(F.max("doc_id")).first()[0] or 0) + 1) // 2
+    docs.where(F.col("doc_id") < half).write.option("compression", "snappy").parquet(f"{path}/early")
+    docs.where(F.col("doc_id") >= half).write.option("compression", "gzip").parquet(f"{path}/late")
+    return _narrow(scan_files(spark, path, name_glob="*.gz.parquet"))
+
+
 @query(
     "tokenize_documents",
     f"SELECT doc_id, CAST(len({WORDS_SQL}) AS INTEGER) AS n_words, "

@@ -252,6 +252,27 @@ def causal_attention(spark, sf_dir):
     return channels(out, "attended")
 
 
+# Every other importance is missing and counts in full; without any there is no bias at all.
+PARTIAL_SQL = ATTENTION_SQL.replace("1 / (1 + exp(-x[1])) AS rho", "CASE WHEN pos % 2 = 0 THEN 1 / (1 + exp(-x[1])) ELSE 1 END AS rho")
+UNIFORM_SQL = ATTENTION_SQL.replace("1 / (1 + exp(-x[1])) AS rho", "1.0::DOUBLE AS rho")
+
+
+def attended(spark, sf_dir, rho):
+    x = F.col("x")
+    rows = sequences(spark, sf_dir)
+    return channels(attention.causal_attention(rows, ["seq_id"], "pos", x, x, x, rho=rho, beta=BETA), "attended")
+
+
+@query("attention_partial_importance", PARTIAL_SQL)
+def attention_partial_importance(spark, sf_dir):
+    return attended(spark, sf_dir, F.when(F.col("pos") % 2 == 0, vx.sigmoid(F.col("x")[0])))
+
+
+@query("attention_without_importance", UNIFORM_SQL)
+def attention_without_importance(spark, sf_dir):
+    return attended(spark, sf_dir, None)
+
+
 PLANTED_SQL = f"""WITH a AS (SELECT event_id, {memory_sql()} AS m FROM events),
     ends AS (SELECT min(event_id) AS low, max(event_id) AS high FROM events),
     b AS (

@@ -242,3 +242,21 @@ def progress_log(spark, sf_dir):
         F.col("cum_examples").alias("examples"),
         sharding.every_n(F.col("step") - 1, SAVE_EVERY).alias("saves"),
     )
+
+
+@query(
+    "param_inventory",
+    """WITH p AS (
+        SELECT lang AS layer, CASE WHEN doc_id % 5 = 0 THEN 'embed.' ELSE 'block.' END || doc_id AS name,
+            CASE WHEN doc_id % 2 = 0 THEN [length(text), 1 + doc_id % 7] ELSE [length(text)] END AS shape FROM documents),
+    sized AS (SELECT *, list_product(shape)::BIGINT AS n, len(shape) >= 2 AND NOT contains(name, 'embed') AS decays FROM p)
+    SELECT layer, sum(n)::BIGINT AS size, coalesce(sum(n) FILTER (decays), 0)::BIGINT AS decayed,
+        coalesce(sum(n) FILTER (NOT decays), 0)::BIGINT AS not_decayed FROM sized GROUP BY layer""",
+)
+def param_inventory(spark, sf_dir):
+    """Every document stands for a parameter: its language is the layer, its length and id give a shape."""
+    n, i = F.length("text").cast("long"), F.col("doc_id")
+    shape = F.when(i % 2 == 0, F.array(n, 1 + i % 7)).otherwise(F.array(n))
+    name = F.concat(F.when(i % 5 == 0, "embed.").otherwise("block."), i.cast("string"))
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("layer"), name.alias("name"), shape.alias("shape"))
+    return ledger.size_inventory(rows)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from seqloom.operators.numbering import running_in_buckets
+from seqloom.session import stored
 
 DOCUMENT_SCHEMA = T.StructType(
     [
@@ -41,32 +44,31 @@ def scan_files(
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows to all cores if the files give less tasks than that, else leave them alone.
 
-    For work that stays inside the rows of a few small files; a large table never qualifies.
+    For work that stays inside the rows of a few small files; a large table never qualifies, and no result depends on it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-class Catalog:
-    """Datasets by registered name: ``(name, config) -> {split: paths}``."""
+def register_dataset(
+    spark: SparkSession, name: str, splits: Mapping[str, str | list[str]], config: str | None = None
+) -> None:
+    """Name a dataset: every split becomes a view of the session's catalog, ``name[__config]__split``."""
+    for split in splits:
+        scan_files(spark, splits, split).createOrReplaceTempView(_view(name, config, split))
+
 
-    def __init__(self) -> None:
-        self._entries: dict[tuple[str, str | None], Mapping[str, str | list[str]]] = {}
+def scan_named(spark: SparkSession, name: str, config: str | None = None, split: str = "train") -> DataFrame:
+    """A named dataset's split, or a table or view that the session itself knows by that name."""
+    if spark.catalog.tableExists(_view(name, config, split)):
+        return spark.table(_view(name, config, split))
+    if config is None and spark.catalog.tableExists(name):
+        return spark.table(name)
+    raise KeyError(f"no dataset {name!r} with config {config!r} and split {split!r}")
 
-    def register(
-        self, name: str, splits: Mapping[str, str | list[str]], config: str | None = None
-    ) -> None:
-        self._entries[(name, config)] = dict(splits)
 
-    def scan(
-        self, spark: SparkSession, name: str, config: str | None = None, split: str = "train"
-    ) -> DataFrame:
-        """A registered dataset, or a table the session itself knows by that name."""
-        if (name, config) in self._entries:
-            return scan_files(spark, self._entries[(name, config)], split)
-        if config is None and spark.catalog.tableExists(name):
-            return spark.table(name)
-        raise KeyError(f"no dataset {name!r} with config {config!r}")
+def _view(name: str, config: str | None, split: str) -> str:
+    return "__".join(p for p in (name, config, split) if p)
 
 
 def scan_turns(spark: SparkSession, files, split: str = "train") -> DataFrame:
@@ -125,6 +127,62 @@ def write_blocks(blocks: DataFrame, path: str, by: tuple[str, ...] = (), mode: s
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+#: Bytes of one file of sized output, by the measure below.
+FILE_BYTES = 128 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes: the bytes of its strings, eight for every number, those of arrays included."""
+
+    def of(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.octet_length(value)
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, T.StringType | T.ArrayType | T.StructType):
+                return F.aggregate(value, F.lit(0), lambda acc, x: acc + F.coalesce(of(x, kind.elementType), F.lit(8)))
+            return F.size(value) * 8
+        if isinstance(kind, T.StructType):
+            return sum((F.coalesce(of(value[f.name], f.dataType), F.lit(8)) for f in kind.fields), F.lit(0))
+        return F.lit(8)
+
+    return sum((F.greatest(F.coalesce(of(F.col(f.name), f.dataType), F.lit(8)), F.lit(1)) for f in df.schema.fields), F.lit(0))
+
+
+def plan_files(df: DataFrame, by: Sequence[str], target: int = FILE_BYTES) -> tuple[DataFrame, int]:
+    """``(by, _bytes, _files, _first)`` per folder, and the number of tasks that write them.
+
+    A folder of ``target`` bytes or more gets as many tasks as its bytes ask for, one file each; smaller ones are one file
+    and share tasks of about ``target`` bytes in all. Folders are summed up in slices of a hash, never in one task.
+    """
+    sized = df.groupBy(*by).agg(F.sum(row_bytes(df)).cast("long").alias("_bytes"))
+    big = F.col("_bytes") >= target
+    files = F.when(big, F.greatest(F.round(F.col("_bytes") / target).cast("long"), F.lit(1).cast("long"))).otherwise(0)
+    sliced = sized.withColumn("_files", files).withColumn("_slice", F.pmod(F.xxhash64(*by), F.lit(1024)).cast("long"))
+    sums = {"_until": F.col("_files"), "_small": F.when(big, 0).otherwise(F.col("_bytes"))}
+    placed = stored(running_in_buckets(sliced, "_slice", list(by), sums, buckets=1024), "folders")
+    total = placed.agg(F.coalesce(F.sum("_files"), F.lit(0)), F.coalesce(F.max("_small"), F.lit(0))).first()
+    shared = F.lit(total[0]) + F.floor((F.col("_small") - F.col("_bytes")) / target)
+    first = F.when(F.col("_files") > 0, F.col("_until") - F.col("_files")).otherwise(shared)
+    return placed.select(*by, "_bytes", "_files", first.cast("int").alias("_first")), total[0] + total[1] // target + 1
+
+
+def write_sized(df: DataFrame, path: str, by: Sequence[str], target: int = FILE_BYTES, mode: str = "error") -> None:
+    """Parquet, one folder per value of ``by``, in files of about ``target`` bytes (as ``row_bytes`` measures, before compression).
+
+    Which file of a large folder takes a row is decided by the row's own contents, so a task that runs again writes the same
+    rows; rows that are equal in all columns are in one file.
+    """
+    folders, tasks = plan_files(df, by, target)
+    named = folders.withColumnsRenamed({c: f"_by_{i}" for i, c in enumerate(by)})
+    match = F.lit(True)
+    for i, c in enumerate(by):
+        match &= F.col(c).eqNullSafe(F.col(f"_by_{i}"))
+    joined = df.withColumn("_hash", F.xxhash64(*df.columns)).join(named, match)
+    task = F.col("_first") + F.pmod(F.col("_hash"), F.greatest("_files", F.lit(1).cast("long"))).cast("int")
+    dealt = joined.withColumn("_task", task.cast("int")).repartitionById(tasks, F.col("_task"))
+    dealt.select(*df.columns).write.mode(mode).partitionBy(*by).parquet(path)
+
+
 def progress_rows(ledger: DataFrame, log_every: int, step: str = "step") -> DataFrame:
     """The ledger rows a run reports: every ``log_every``-th step, none when it is not positive."""
     if log_every <= 0:

@@ -10,12 +10,14 @@ from seqloom.operators import attention, blocks, ordered
 from seqloom.operators.ledger import token_counts
 from seqloom.session import scratch_path
 from seqloom.sources.corpus import (
-    Catalog,
     append_progress,
+    register_dataset,
     scan_files,
+    scan_named,
     scan_turns,
     stream_files,
     write_blocks,
+    write_sized,
 )
 from seqloom.streaming import sinks
 from seqloom.streaming.stateful import accepted, held_elements, rejected, stream_scan
@@ -171,13 +173,32 @@ def test_scans_and_catalog(spark, tmp_path):
         scan_files(spark, {"train": a}, "test")
     names = sorted(p.name for p in (tmp_path / "s" / "a.parquet").glob("*.parquet"))
     assert scan_files(spark, str(tmp_path / "s"), name_glob=names[0]).count() == 3
-    catalog = Catalog()
-    catalog.register("corpus", {"train": a}, config="small")
-    assert catalog.scan(spark, "corpus", "small").count() == 3
+    register_dataset(spark, "corpus", {"train": a, "test": b}, config="small")
+    assert scan_named(spark, "corpus", "small").count() == 3 and scan_named(spark, "corpus", "small", "test").count() == 2
     spark.range(7).createOrReplaceTempView("numbers")
-    assert catalog.scan(spark, "numbers").count() == 7
+    assert scan_named(spark, "numbers").count() == 7
     with pytest.raises(KeyError):
-        catalog.scan(spark, "corpus")
+        scan_named(spark, "corpus")
+
+
+def test_files_of_a_size(spark, tmp_path):
+    """A thousand folders, one of them with a third of all rows."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1000).alias("folder"),
+        F.array_repeat(F.col("id"), 20).alias("ids"),
+        F.when(F.col("id") % 1000 > 990, None).otherwise(F.lit("x")).alias("kind"),
+    )
+    target = 400_000
+    write_sized(rows, str(tmp_path / "out"), ["folder"], target)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 60_000 and back.select("folder").distinct().count() == rows.select("folder").distinct().count()
+    sizes = back.groupBy("folder", F.input_file_name().alias("file")).agg(F.sum(F.lit(20 * 8 + 8 + 1)).alias("n")).collect()
+    large = [r["n"] for r in sizes if r["folder"] == 0]
+    assert len(large) > 5 and all(target / 2 < n < target * 2 for n in large)
+    assert len(sizes) - len(large) == len({r["folder"] for r in sizes}) - 1  # one file for each of the others
+    tasks = {r["file"].split("part-")[1][:5] for r in sizes}
+    assert len(tasks) < 45
+    write_sized(rows.limit(0), str(tmp_path / "none"), ["folder"])
 
 
 def test_turns_get_their_defaults_in_both_layouts(spark, tmp_path):
