@@ -347,8 +347,12 @@ FROM docs JOIN goals ON docs.source IS NOT DISTINCT FROM goals.source LEFT JOIN
 """
 
 
-@query("op10_mixing", _MIX_SQL)
+@query("op10_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, and the first and last of the shards that its draws went to.
+
+    The splitting tree decides the shards by seeded hypergeometric draws, so ``mixing_taken`` has the SQL of the rest.
+    """
     docs = table(spark, sf_dir, "documents")
     rows = mixing.numbered(
         docs, F.col("doc_id").alias("key"), F.col("source"), word_count(F.col("text")).alias("size")
@@ -356,7 +360,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws, sources = mixing.mix(
         rows, cyclic_weights, shards=SHARDS, block_words=BLOCK_WORDS, max_passes=PASSES, seed=MIX_SEED
     )
-    taken = draws.groupBy("row").agg(F.sum("n_words").alias("taken"))
+    taken = draws.groupBy("row").agg(
+        F.sum("n_words").alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard")
+    )
     return (
         rows.join(taken, "row", "left")
         .join(F.broadcast(sources.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
@@ -366,10 +372,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
             "source_size",
             F.round("target", 3).alias("target"),
             F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+            "first_shard",
+            "last_shard",
         )
     )
 
 
+@query("mixing_taken", _MIX_SQL)
+def op10_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows without the shards."""
+    return op10(spark, sf_dir).drop("first_shard", "last_shard")
+
+
 # --------------------------------------------------------------------------------------------- op13
 
 _NEGATIVES_SQL = """

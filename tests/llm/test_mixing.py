@@ -99,3 +99,13 @@ def test_empty_and_bound(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
     with pytest.raises(ValueError):
         _mixed(spark, [(1, "x", "a"), (2, "y", "b")])
+
+
+def test_the_query_deals_its_draws_by_the_tree(spark, sf_dir):
+    from seqloom.llm import queries
+
+    rows = queries.op10(spark, sf_dir).collect()
+    drawn = [r for r in rows if r["taken"]]
+    assert all((r["first_shard"] is None) == (r["taken"] == 0) for r in rows)
+    assert all(0 <= r["first_shard"] <= r["last_shard"] < queries.SHARDS for r in drawn)
+    assert {r["first_shard"] for r in drawn} == set(range(queries.SHARDS))
