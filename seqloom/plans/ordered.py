@@ -8,6 +8,7 @@ from seqloom.functions import vectors as vx
 from seqloom.functions.kernels import CausalFir, FastMemory, SlowMemory
 from seqloom.operators import attention, evaluation, ordered
 from seqloom.operators.decoding import every_channel
+from seqloom.operators.numbering import ROWS_PER_CHUNK
 from seqloom.plans.registry import query, r6, sql_list, sql_r6, table, weight_grid
 from seqloom.session import stored
 
@@ -45,8 +46,9 @@ def slow_memory_events(spark, sf_dir):
     return memory_of(events(spark, sf_dir)).select("user_id", "event_id", r6(F.col("memory")).alias("memory"))
 
 
-#: Small enough that the five event types are cut into chunks on the smallest table too.
-CHUNK_ROWS = 100
+def chunk_rows(rows) -> int:
+    """The operators' own limit, or less on a small table, so that its few keys are cut into chunks too (about 40 in all)."""
+    return min(ROWS_PER_CHUNK, max(20, rows.count() // 40))
 
 
 @query(
@@ -56,7 +58,7 @@ CHUNK_ROWS = 100
 def slow_memory_by_type(spark, sf_dir):
     """Five keys share all rows: each is summed in ordered chunks."""
     rows = events(spark, sf_dir)
-    found = memory_of(rows, ["event_type"], rows_per_chunk=CHUNK_ROWS)
+    found = memory_of(rows, ["event_type"], rows_per_chunk=chunk_rows(rows))
     return found.select("event_type", "event_id", r6(F.col("memory")).alias("memory"))
 
 
@@ -76,7 +78,7 @@ def causal_fir(spark, sf_dir):
 def causal_fir_by_type(spark, sf_dir):
     rows = events(spark, sf_dir)
     out = ordered.causal_fir(
-        rows, ["event_type"], "event_id", F.col("value"), FIR, FIR_BIAS, rows_per_chunk=CHUNK_ROWS
+        rows, ["event_type"], "event_id", F.col("value"), FIR, FIR_BIAS, rows_per_chunk=chunk_rows(rows)
     )
     return out.select("event_type", "event_id", r6(F.col("fir")).alias("fir"))
 
@@ -185,7 +187,7 @@ def fast_memory_by_type(spark, sf_dir):
     """Long keys: each chunk becomes one affine map, the maps are composed, the chunks replayed."""
     rows = gated_events(spark, sf_dir)
     out = ordered.scan(
-        rows, ["event_type"], "event_id", FastMemory(1, 1), FAST_R1_INPUTS, rows_per_chunk=CHUNK_ROWS
+        rows, ["event_type"], "event_id", FastMemory(1, 1), FAST_R1_INPUTS, rows_per_chunk=chunk_rows(rows)
     )
     return out.select("event_type", "event_id", r6(F.col("out")[0]).alias("memory"))
 
@@ -358,6 +360,6 @@ def chunk_parity(spark, sf_dir):
     """Whole keys against keys cut into chunks with carried sums."""
     rows = events(spark, sf_dir)
     whole = memory_of(rows, ["event_type"])
-    cut = memory_of(rows, ["event_type"], rows_per_chunk=CHUNK_ROWS)
+    cut = memory_of(rows, ["event_type"], rows_per_chunk=chunk_rows(rows))
     report = evaluation.parity(whole, cut, ["event_id"], "memory")
     return report.select("matched", "only_left", "only_right", (F.col("max_abs_diff") < 1e-9).alias("same"))
