@@ -84,12 +84,14 @@ def stream_budget(
         ).withColumn("cum_tokens", F.col("tokens") + F.lit(before))
         row.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 
-    return (
+    query = (
         blocks.writeStream.foreachBatch(account)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    query.spent = lambda: tokens_spent(blocks.sparkSession, path) >= target_tokens
+    return query
 
 
 def tokens_spent(spark: SparkSession, path: str, before: int | None = None) -> int:
@@ -119,9 +121,9 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def run_until_spent(query: StreamingQuery) -> None:
-    """Wait until the query has read everything or has used up its budget."""
+    """Wait until a query of ``stream_budget`` has read everything or has used up its budget, by its own ledger."""
     try:
         query.awaitTermination()
-    except StreamingQueryException as e:
-        if SPENT not in str(e):
+    except StreamingQueryException:
+        if not query.spent():
             raise

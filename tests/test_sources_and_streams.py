@@ -163,6 +163,15 @@ def test_budget_counts_the_crossing_batch_and_none_after(spark, tmp_path):
     assert [r["cum_tokens"] for r in entries] == [20, 40, 60, 80]
 
 
+def test_other_errors_of_a_budgeted_stream_are_errors(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1, 2])], "b int, labels array<int>")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    feed = stream_files(spark, str(tmp_path / "in"), rows.schema, files_per_trigger=1)
+    broken = feed.withColumn("labels", F.raise_error(F.lit("broken rows")).cast("array<int>"))
+    with pytest.raises(Exception, match="broken rows"):
+        sinks.run_until_spent(sinks.stream_budget(broken, 1, str(tmp_path / "ledger"), str(tmp_path / "state")))
+
+
 def test_scans_and_catalog(spark, tmp_path):
     a, b = str(tmp_path / "s" / "a.parquet"), str(tmp_path / "s" / "b.parquet")
     spark.range(3).coalesce(1).write.parquet(a)
