@@ -84,10 +84,11 @@ def encode_rows(
     A vocabulary of at most ``small_vocab`` entries and ``SMALL_BYTES`` goes to every task. A larger one is met in
     the cluster (``_through_dictionaries``), with the same result; a word is never a row of its own.
     """
-    tokens = words(F.col(text))
-    if max_len is not None:
-        tokens = F.slice(tokens, 1, max_len)
-    return _translated(df, tokens, vocab.select("token", "id"), "token", "id", name, unknown, small_vocab)
+    return _translated(df, _words(text, max_len), vocab.select("token", "id"), "token", "id", name, unknown, small_vocab)
+
+
+def _words(text: str, max_len: int | None) -> Column:
+    return words(F.col(text)) if max_len is None else F.slice(words(F.col(text)), 1, max_len)
 
 
 def encode(
@@ -99,9 +100,10 @@ def encode(
     small_vocab: int = SMALL_VOCAB,
     max_len: int | None = None,
 ) -> DataFrame:
-    """``(key, input_ids)`` of every row; see ``encode_rows``."""
-    rows = df.select(key, text) if key != text else df.select(key)
-    return encode_rows(rows, vocab, text, unknown, max_len, small_vocab=small_vocab).select(key, "input_ids")
+    """``(key, input_ids)`` of every row; see ``encode_rows``. The texts themselves are not carried along."""
+    rows = df.select(key, _words(text, max_len).alias("_words"))
+    entries = vocab.select("token", "id")
+    return _translated(rows, F.col("_words"), entries, "token", "id", "input_ids", unknown, small_vocab).select(key, "input_ids")
 
 
 def decode(
@@ -132,7 +134,8 @@ def _translated(
         to = T.ArrayType(entries.schema[target].dataType)
         ids = F.arrow_udf(lambda rows: translate(rows, *shared.value, missing), to)
         return df.select("*", ids(elements).alias(name))
-    return _through_dictionaries(df.withColumn(ELEMENTS, elements), entries, source, target, name, missing)
+    carried = df.withColumn(ELEMENTS, elements).drop("_words", "_ids")
+    return _through_dictionaries(carried, entries, source, target, name, missing)
 
 
 def translate(rows: pa.Array, keys: pa.Array, values: pa.Array, missing=None) -> pa.Array:
@@ -198,10 +201,12 @@ def _distinct_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         elements = lists.flatten()
         codes = elements.dictionary_encode()
         place = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        pairs = np.unique(np.stack([of, place]), axis=1) if len(of) else np.zeros((2, 0), np.int64)
-        pairs = pairs[:, pairs[1] >= 0]
+        of, place = of[place >= 0], place[place >= 0]
+        chunks, nth = np.unique(of, return_inverse=True)
+        kinds = max(len(codes.dictionary), 1)
+        pairs = np.unique(nth * kinds + place)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(pairs[0], pa.int64()), codes.dictionary.take(pa.array(pairs[1]))], names=batch.schema.names
+            [pa.array(chunks[pairs // kinds], pa.int64()), codes.dictionary.take(pa.array(pairs % kinds))], names=batch.schema.names
         )
 
 
