@@ -103,7 +103,9 @@ def encode(
     """``(key, input_ids)`` of every row; see ``encode_rows``. The texts themselves are not carried along."""
     rows = df.select(key, _words(text, max_len).alias("_words"))
     entries = vocab.select("token", "id")
-    return _translated(rows, F.col("_words"), entries, "token", "id", "input_ids", unknown, small_vocab).select(key, "input_ids")
+    return _translated(rows, F.col("_words"), entries, "token", "id", "input_ids", unknown, small_vocab, ["_words"]).select(
+        key, "input_ids"
+    )
 
 
 def decode(
@@ -120,13 +122,14 @@ def decode(
     """
     entries = vocab.where(~F.col("is_special")) if skip_special else vocab
     rows = df.select(key, F.col(ids).cast("array<bigint>").alias("_ids"))
-    out = _translated(rows, F.col("_ids"), entries.select("id", "token"), "id", "token", "_tokens", None, small_vocab)
+    out = _translated(rows, F.col("_ids"), entries.select("id", "token"), "id", "token", "_tokens", None, small_vocab, ["_ids"])
     return out.select(key, F.array_join(F.array_compact("_tokens"), " ").alias("text"))
 
 
 def _translated(
-    df: DataFrame, elements: Column, entries: DataFrame, source: str, target: str, name: str, missing, small_vocab: int
+    df: DataFrame, elements: Column, entries: DataFrame, source: str, target: str, name: str, missing, small_vocab: int, spent: Sequence[str] = ()
 ) -> DataFrame:
+    """``df`` with ``name``; the columns ``spent`` are needed no longer once the elements are taken."""
     size = entries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token")).alias("bytes")).first()
     if size["n"] <= small_vocab and (size["bytes"] or 0) <= SMALL_BYTES:
         pair = entries.toArrow()  # within both bounds
@@ -134,7 +137,7 @@ def _translated(
         to = T.ArrayType(entries.schema[target].dataType)
         ids = F.arrow_udf(lambda rows: translate(rows, *shared.value, missing), to)
         return df.select("*", ids(elements).alias(name))
-    carried = df.withColumn(ELEMENTS, elements).drop("_words", "_ids")
+    carried = df.withColumn(ELEMENTS, elements).drop(*spent)
     return _through_dictionaries(carried, entries, source, target, name, missing)
 
 
