@@ -14,29 +14,34 @@ from seqloom.operators.numbering import cut_points
 from seqloom.plans import corpus, ordered
 from seqloom.plans.registry import ORACLES, query, r6, table
 from seqloom.session import scratch_path, stored
-from seqloom.sources.corpus import stream_files
+from seqloom.sources.corpus import row_bytes, stream_files
 from seqloom.streaming import sinks
 from seqloom.streaming.stateful import accepted, held_elements, stream_scan
 
 
 #: Micro-batches of a registered stream; every one after the first goes on from carried state.
 TRIGGERS = 4
-#: Rows that one task writes to a file of a delivery.
-ROWS_PER_FILE = 250_000
+#: Rows and bytes (as ``row_bytes`` measures) that one task writes to a file of a delivery.
+ROWS_PER_FILE, BYTES_PER_FILE = 250_000, 16 << 20
 
 
-def deliveries(spark, rows, name, part, parts):
-    """``(path, files)``: a table as ``parts`` deliveries of a feed, by ``part`` (0, 1, …), in as many files each as their rows need.
+def deliveries(spark, rows, name, part, parts, made=lambda share: share):
+    """``(path, files)``: a table as ``parts`` deliveries of a feed, by ``part`` (0, 1, …), in as many files each as the largest needs.
 
     A micro-batch of ``files`` files is one delivery: they are written one after the other, and the source takes the oldest first.
-    Parts are of about equal size, and with many rows to a file no file of a part stays empty.
+    Rows are dealt to the files by their first column, and ``made`` may turn what a task holds into the rows of the feed.
+    A part too short to fill its files gets empty ones.
     """
     path = scratch_path(spark, f"{name}-feed")
-    files = math.ceil(rows.count() / parts / ROWS_PER_FILE) or 1
+    dealt = rows.where(part.between(0, parts - 1)).groupBy(part.alias("_part"))
+    sizes = dealt.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(rows)).alias("bytes")).collect()
+    files = max([math.ceil(max(r["n"] / ROWS_PER_FILE, r["bytes"] / BYTES_PER_FILE)) for r in sizes], default=1)
     for i in range(parts):
-        share = rows.where(part == i)
-        share = share.coalesce(1) if files == 1 else share.repartition(files, rows.columns[0])
+        share = made(rows.where(part == i).repartition(files, rows.columns[0]))
         share.write.mode("append").parquet(path)
+        written = len(spark.read.schema(share.schema).parquet(path).inputFiles())
+        for _ in range((i + 1) * files - written):
+            spark.createDataFrame([], share.schema).coalesce(1).write.mode("append").parquet(path)
     return path, files
 
 
