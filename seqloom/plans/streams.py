@@ -180,10 +180,10 @@ BUDGET_SQL = f"""WITH numbered AS ({corpus.BATCHES_SQL}),
 def budgeted(spark, sf_dir, targets):
     """Blocks arrive in five files and are counted against each target in turn, always from the same checkpoint."""
     path = scratch_path(spark, "budget")
-    packed = stored(
-        corpus.batch_blocks(spark, sf_dir).select("batch_id", "block", "labels"), "budget-blocks"
-    )
-    arrived, files = deliveries(spark, packed, "budget", F.col("batch_id") % 5, 5)
+    dealt = stored(corpus.batches(spark, sf_dir).select("batch_id", "doc_id", "text"), "budget-batches")
+    packed = lambda share: corpus.pack(share).select("batch_id", "block", "labels")
+    arrived, files = deliveries(spark, dealt, "budget", F.col("batch_id") % 5, 5, packed)
+    packed = spark.read.schema(packed(dealt).schema).parquet(arrived)
     total = token_counts(packed, []).first()["supervised_tokens"]
     for share in targets:
         feed = stream_files(spark, arrived, packed.schema, files_per_trigger=files)

@@ -25,3 +25,12 @@ def test_deliveries_are_as_many_files_as_their_bytes_need(spark, monkeypatch):
         "checkpointLocation", f"{path}-state"
     ).trigger(availableNow=True).start().awaitTermination()
     assert seen == [1, 0, 299]
+
+
+def test_deliveries_make_their_rows_where_they_are_dealt(spark):
+    rows = spark.range(40).select((F.col("id") % 10).alias("k"), "id")
+    made = lambda share: share.groupBy("k").count()
+    path, files = streams.deliveries(spark, rows, "made", F.col("k") % 2, 2, made)
+    assert files == 1 and {(r["k"], r["count"]) for r in spark.read.parquet(path).collect()} == {(k, 4) for k in range(10)}
+    plan = made(rows.repartition(3, "k"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
