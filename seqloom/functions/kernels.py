@@ -8,6 +8,7 @@ All sums are doubles, whatever the width of the input.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -141,9 +142,10 @@ class FastMemory:
         out = out.transpose(2, 0, 1)
         return a, last[..., : self.dim], -out[..., self.dim :], np.ascontiguousarray(out[..., : self.dim])
 
-    def _blocks_of(self, low: int, high: int):
-        at = np.arange(low, low + -(-(high - low) // self.BLOCK) * self.BLOCK)
-        return np.where(at < high, at, -1).reshape(-1, self.BLOCK)
+    def _blocks_of(self, low: int, high: int, size: int | None = None):
+        size = size or self.BLOCK
+        at = np.arange(low, low + -(-(high - low) // size) * size)
+        return np.where(at < high, at, -1).reshape(-1, size)
 
     def advance(self, state, *inputs):
         states, out = state[None, :].copy(), np.empty((len(inputs[2]), self.dim))
@@ -160,7 +162,9 @@ class FastMemory:
         order = sorted((i for i, (low, high) in enumerate(bounds) if low < high), key=lambda i: bounds[i][0] - bounds[i][1])
         if not order:
             return
-        pieces = [self._blocks_of(*bounds[i]) for i in order]
+        # The steps within a block and those from block to block cost alike: few rows, say of a key in a micro-batch, take short blocks.
+        size = min(self.BLOCK, math.isqrt(max(high - low for low, high in bounds)))
+        pieces = [self._blocks_of(*bounds[i], size) for i in order]
         counts = np.array([len(p) for p in pieces])
         first = np.cumsum(counts) - counts
         at = np.concatenate(pieces)

@@ -34,3 +34,25 @@ def test_deliveries_make_their_rows_where_they_are_dealt(spark):
     assert files == 1 and {(r["k"], r["count"]) for r in spark.read.parquet(path).collect()} == {(k, 4) for k in range(10)}
     plan = made(rows.repartition(3, "k"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_inputs_of_a_stream_reach_python_as_one_column(spark, tmp_path):
+    schema = "key string, t long, k array<double>, v array<double>, g double"
+    feed = stream_files(spark, str(tmp_path), spark.createDataFrame([], schema).schema)
+    inputs = {"k": "k", "q": "k", "v": "v", "decay": "g", "erase": "g", "write": "g"}
+    out = stream_scan(feed, ["key"], "t", kernels.FastMemory(2, 3), inputs)
+    child = out._jdf.queryExecution().analyzed().children().apply(0)
+    names = [child.output().apply(i).name() for i in range(child.output().size())]
+    assert sorted(set(names)) == ["key", "packed_inputs", "t"]
+
+
+def test_few_rows_are_worked_on_in_short_blocks(monkeypatch):
+    kernel, rng, sizes = kernels.FastMemory(2, 3), np.random.default_rng(2), []
+    inputs = [rng.normal(size=(64, s)) for s in (2, 2, 3)] + [rng.uniform(0.1, 1, 64) for _ in range(3)]
+    state = rng.normal(size=6)
+    expected = kernel._one_by_one(state, *inputs)
+    blocks = kernel._in_blocks
+    monkeypatch.setattr(kernel, "_in_blocks", lambda at, *x: sizes.append(at.shape) or blocks(at, *x))
+    found = kernel.advance(state, *inputs)
+    assert sizes == [(8, 8)]
+    assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(found, expected))
