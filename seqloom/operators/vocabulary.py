@@ -19,7 +19,7 @@ from seqloom.session import stored
 # What a vocabulary may hold to be sent to every task: the size of the usual tokenizers.
 SMALL_VOCAB, SMALL_BYTES = 262_144, 16 << 20
 # Words (or ids) whose rows are translated together, through one dictionary.
-CHUNK_ELEMENTS = 1 << 18
+CHUNK_ELEMENTS = 1 << 20
 CHUNK = "_chunk"
 ELEMENTS = "_elements"
 
@@ -196,21 +196,14 @@ def _cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distinct_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(chunk, element)`` once per batch that holds both."""
+    """``(chunk, element)`` once per run of a chunk's rows in a batch; no more than one chunk's elements are looked at together."""
     for batch in batches:
-        numbers, lists = batch.column(0), batch.column(1)
-        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        of = np.repeat(numbers.to_numpy(), lengths)
-        elements = lists.flatten()
-        codes = elements.dictionary_encode()
-        place = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        of, place = of[place >= 0], place[place >= 0]
-        chunks, nth = np.unique(of, return_inverse=True)
-        kinds = max(len(codes.dictionary), 1)
-        pairs = np.unique(nth * kinds + place)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(chunks[pairs // kinds], pa.int64()), codes.dictionary.take(pa.array(pairs % kinds))], names=batch.schema.names
-        )
+        numbers, lists = batch.column(0).to_numpy(), batch.column(1)
+        starts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist()] if len(numbers) else []
+        for low, high in zip(starts, [*starts[1:], len(numbers)]):
+            found = pc.unique(lists.slice(low, high - low).flatten()).drop_null()
+            chunk = pa.array(np.full(len(found), numbers[low], np.int64))
+            yield pa.RecordBatch.from_arrays([chunk, found], names=batch.schema.names)
 
 
 def tokenizer(name: str, vocab: DataFrame | None = None, unknown: int | None = None):

@@ -56,3 +56,12 @@ def test_few_rows_are_worked_on_in_short_blocks(monkeypatch):
     found = kernel.advance(state, *inputs)
     assert sizes == [(8, 8)]
     assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(found, expected))
+
+
+def test_distinct_words_are_found_chunk_by_chunk():
+    lists = pa.array([["a", "b", "a"], None, ["b", None], [], ["c", "a"]], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 2, 3], pa.int64()), lists], names=["_chunk", "w"])
+    found = list(vb._distinct_elements([batch, batch.slice(0, 0)]))
+    assert all(len(set(b.column(0).to_pylist())) <= 1 for b in found)
+    pairs = [(c, w) for b in found for c, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert sorted(pairs) == [(1, "a"), (1, "b"), (3, "a"), (3, "c")]
