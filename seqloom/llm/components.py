@@ -9,9 +9,9 @@ shared folder and read again: lineage stays short and a lost executor costs one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from seqloom.session import stored
+from seqloom.session import counted, tasks_for
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -20,23 +20,25 @@ def _star(links: DataFrame) -> DataFrame:
     return links.join(least, "u").select("u", "v", "m")
 
 
-def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
+def _written(links: DataFrame, rows: int | None) -> tuple[DataFrame, dict]:
     """The links as a table, and what tells one set of links from another, observed while writing."""
-    seen = Observation()
-    observed = links.observe(
-        seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hash")
+    # The tables are read again at once: as many files as shuffle partitions would cost more than the links in them.
+    return counted(
+        links if rows is None else tasks_for(links, rows),
+        "links",
+        n=F.count(F.lit(1)),
+        hash=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
     )
-    return stored(observed, "links"), tuple(seen.get.values())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """``node, component`` for every node of ``links (a, b)``: the smallest node it can reach.
 
     Links may be repeated, in either direction, or from a node to itself; an empty table gives an
-    empty result.
+    empty result. ``rows``, if it is known, is about how many links there are: it sets the number of tasks, not the result.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, state = _written(links)
+    links, state = _written(links, rows)
     while True:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -48,7 +50,7 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         before = state
-        links, state = _written(links)
+        links, state = _written(links, before["n"])
         if before == state:
             break
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))

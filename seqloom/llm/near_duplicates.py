@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from seqloom.llm.components import components
 from seqloom.llm.rolling import mix, pieces, shingles, texts_as_bytes, word_hashes
 from seqloom.llm.text import SPACES, with_row
-from seqloom.session import stored
+from seqloom.session import counted, stored, tasks_for
 
 WORDS = 5
 PERCENT = 75
@@ -43,6 +43,8 @@ BANDS, ROWS = 50, 5
 COORDINATES = BANDS * ROWS
 SIGNATURE, AGREE = 128, 63
 CHUNK = 256
+#: Members of blocks that are worth a Python task.
+SIGNATURES_A_TASK, TEXTS_A_TASK = 20_000, 500
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
@@ -204,7 +206,7 @@ def _exact_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _blocks(members: DataFrame, group: str, size: str) -> DataFrame:
     """Every member once for each pair of chunks its own chunk is in; one block has at most about two chunks."""
-    chunks = F.ceil(F.col(size) / F.lit(CHUNK)).cast("int")
+    chunks = _block_rows(F.col(size)).cast("int")
     mine = F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     return (
@@ -217,8 +219,15 @@ def _blocks(members: DataFrame, group: str, size: str) -> DataFrame:
     )
 
 
-def _by_block(blocks: DataFrame, group: str) -> DataFrame:
-    return blocks.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "row")
+def _block_rows(size: Column) -> Column:
+    """Rows that ``_blocks`` makes of a member of a group of this size."""
+    return F.ceil(size / F.lit(CHUNK))
+
+
+def _by_block(blocks: DataFrame, group: str, rows: int, each: int) -> DataFrame:
+    """Rows of a block one after the other, in tasks of about ``each`` rows: a Python task costs more than a few small blocks."""
+    dealt = blocks.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "row")
+    return tasks_for(dealt, rows, each)
 
 
 def text_key(text: Column) -> list[Column]:
@@ -239,7 +248,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = source.select("doc_id", *text_key(F.col("text")), "text").mapInPandas(_sketches, SKETCH_SCHEMA)
-    sketched = stored(with_row(sketched, "row"), "sketches")
+    sketched, size = counted(with_row(sketched, "row"), "sketches", n=F.count(F.lit(1)))
 
     # One representative per set; the smallest key of each set.
     classes = (
@@ -247,29 +256,39 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
         .groupBy("set_a", "set_b")
         .agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"))
     )
-    classes = stored(classes, "classes")
+    classes = stored(tasks_for(classes, size["n"]), "classes")
     alone = sketched.select("row", "text_a", "text_b", "bands", "signature").join(classes.select("row"), "row")
 
     banded = alone.select("row", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("b"), F.max("row").alias("a"))
-    buckets = stored(buckets.where("n > 1"), "buckets")
+    buckets, size = counted(
+        tasks_for(buckets.where("n > 1"), BANDS * size["n"]),
+        "buckets",
+        pairs=F.count_if(F.col("n") == 2),
+        rows=F.coalesce(F.sum(F.when(F.col("n") > 2, F.col("n") * _block_rows(F.col("n")))), F.lit(0)),
+    )
     pairs = buckets.where("n = 2").select("a", "b").distinct()
     members = banded.join(buckets.where("n > 2").select("bucket", "n"), "bucket").join(
         alone.select("row", "signature"), "row"
     )
-    similar = _by_block(_blocks(members, "bucket", "n"), "bucket").mapInPandas(_similar_blocks, "a long, b long")
-    clusters = components(pairs.union(similar)).withColumnRenamed("component", "cluster").withColumnRenamed("node", "row")
+    similar = _by_block(_blocks(members, "bucket", "n"), "bucket", size["rows"], SIGNATURES_A_TASK)
+    similar = similar.mapInPandas(_similar_blocks, "a long, b long")
+    about = 2 * size["pairs"] + size["rows"]
+    clusters = components(pairs.union(similar), about).withColumnRenamed("component", "cluster").withColumnRenamed("node", "row")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    clustered = stored(
-        clusters.join(sizes, "cluster").join(sketched.select("row", "text_a", "text_b"), "row"), "clustered"
+    clustered, size = counted(
+        tasks_for(clusters.join(sizes, "cluster").join(sketched.select("row", "text_a", "text_b"), "row"), about),
+        "clustered",
+        rows=F.coalesce(F.sum(_block_rows(F.col("n"))), F.lit(0)),
     )
 
     # Equal texts meet before they are shuffled; the join needs no further shuffle of texts.
     texts = source.where("text is not null").select(*text_key(F.col("text")), "text")
     texts = texts.groupBy("text_a", "text_b").agg(F.max("text").alias("text"))
     exact = texts.join(clustered, ["text_a", "text_b"]).drop("text_a", "text_b")
-    links = _by_block(_blocks(exact, "cluster", "n"), "cluster").mapInPandas(_exact_blocks, "a long, b long")
-    groups = components(links).withColumnRenamed("node", "row")
+    links = _by_block(_blocks(exact, "cluster", "n"), "cluster", size["rows"], TEXTS_A_TASK)
+    links = links.mapInPandas(_exact_blocks, "a long, b long")
+    groups = components(links, size["rows"]).withColumnRenamed("node", "row")
 
     labelled = classes.join(groups, "row", "left").withColumn("component", F.coalesce("component", "row"))
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -44,6 +44,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/seqloom/{name}-{uuid.uuid4().hex}"
 
 
+#: Small rows that are worth a task and a file of their own, and how many tasks are never too many.
+TASK_ROWS, LEAST_TASKS = 50_000, 16
+
+
+def tasks_for(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``df`` of at most ``rows`` rows in tasks of about ``each``: a shuffle's partitions join up, whole and without a further shuffle."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // each)))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a table in the shared folder.
 
@@ -53,3 +62,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str, **totals: Column) -> tuple[DataFrame, dict]:
+    """The same rows stored, and totals over them that are observed while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, *(total.alias(k) for k, total in totals.items())), name)
+    return out, seen.get

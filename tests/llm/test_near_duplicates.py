@@ -1,3 +1,5 @@
+import glob
+import os
 import random
 
 import numpy as np
@@ -5,6 +7,7 @@ import pytest
 
 from seqloom.llm import near_duplicates as nd
 from seqloom.llm.components import components
+from seqloom.session import LEAST_TASKS, scratch_path
 
 
 def shingle_set(text):
@@ -105,3 +108,23 @@ def test_components_of_chains_and_stars(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_small_tables_are_few_files_however_many_partitions_a_shuffle_has(spark, corpus):
+    folder = os.path.dirname(scratch_path(spark, "any")).removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    there = set(os.listdir(folder))
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = nd.near_duplicates(df, "doc_id", "text").select("doc_id", "n_shingles", "component_id", "kept").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(corpus)))
+    made = [d for d in set(os.listdir(folder)) - there if not d.startswith("sketches-")]
+    assert {d.split("-")[0] for d in made} == {"classes", "buckets", "links", "clustered"}
+    assert max(len(glob.glob(f"{folder}/{d}/part-*")) for d in made) <= LEAST_TASKS
