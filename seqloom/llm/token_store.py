@@ -25,14 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from seqloom.llm.rolling import pieces
 from seqloom.session import scratch_path, stored
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 64
-CACHED_PIECES = 250_000
+CACHED_PIECES = 800_000
+#: Texts encoded together: their repeated pieces are looked up once.
+BATCH_CHARACTERS = 1 << 22
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST_SCHEMA = "part int, folder string, name string, n_docs long, n_tokens long"
 
@@ -43,8 +47,9 @@ class Encoder:
     A byte-level pre-tokenizer starts a new token at a space unless white space stands on both sides of
     it; texts with such a space, or with the text of an added token, are encoded whole, and so is
     every text if the tokenizer is of another kind. All other pieces recur, so each worker process keeps
-    the ids of those it has met; new ones are encoded as one string
-    and told apart by their bytes.
+    the ids of those it has met, in two generations: of ``CACHED_PIECES`` the older is forgotten when the younger is
+    full, except for pieces met again meanwhile. New ones are encoded as one string and told apart by their bytes.
+    Of texts only the distinct pieces become Python objects.
     """
 
     JOINED = re.compile(r"\s (?:\s|\Z)")
@@ -66,6 +71,7 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of_process(cls, path: str) -> Encoder:
@@ -81,13 +87,15 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Add the ids of pieces, each with the space before it."""
-        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        odd = [p for p in new if not p or p.strip() != p]
         self.pieces.update(zip(odd, self._whole([" " + p for p in odd]), strict=True))
         plain = [p for p in new if p not in self.pieces] if odd else new
         if plain:
-            (found,) = self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)
+            joined = " " + " ".join(plain)
+            (found,) = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
             ids = np.array(found.ids, self.dtype)
-            ends = np.cumsum([len(p.encode("utf-8")) + 1 for p in plain])
+            sizes = map(len, plain if joined.isascii() else (p.encode("utf-8") for p in plain))
+            ends = np.cumsum(np.fromiter(sizes, np.int64, len(plain)) + 1)
             cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends, side="right").tolist()
             data, size, at = ids.tobytes(), self.dtype.itemsize, 0
             for p, cut in zip(plain, cuts, strict=True):
@@ -98,13 +106,41 @@ class Encoder:
         if not self.in_pieces:
             return self._whole(texts)
         whole = [self.JOINED.search(t) is not None or (self.added and self.added.search(t) is not None) for t in texts]
-        cut = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        first = self._whole([t if w else c.pop(0) for t, w, c in zip(texts, whole, cut, strict=True)])
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
-        self._learn([p for p in set().union(*cut) if p not in self.pieces])
-        ids = self.pieces.__getitem__
-        return [f + b"".join(map(ids, c)) for f, c in zip(first, cut, strict=True)]
+        lists = pc.split_pattern(pa.array(["" if w else t for w, t in zip(whole, texts, strict=True)], pa.large_string()), " ")
+        starts = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        # The piece at a text's start has no space before it.
+        heads = coded.dictionary.take(pa.array(codes[starts[:-1]])).to_pylist()
+        first = self._whole([t if w else h for t, w, h in zip(texts, whole, heads, strict=True)])
+        codes = np.delete(codes, starts[:-1])
+        starts = starts - np.arange(len(starts))
+        seen = np.bincount(codes, minlength=len(coded.dictionary)) > 0
+        codes = (np.cumsum(seen) - 1)[codes]
+        found = self._ids(coded.dictionary.filter(pa.array(seen)).to_pylist())
+
+        # The ids of every place, gathered from those of the distinct pieces.
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        at = np.cumsum(lengths) - lengths
+        n = lengths[codes]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        places = np.repeat(at[codes] - ends[:-1], n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(found), self.dtype)[places]
+        bounds = ends[starts].tolist()
+        return [f + ids[low:high].tobytes() for f, low, high in zip(first, bounds[:-1], bounds[1:], strict=True)]
+
+    def _ids(self, distinct: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, each with the space before it."""
+        if len(self.pieces) > CACHED_PIECES // 2:
+            self.older, self.pieces = self.pieces, {}
+        found = list(map(self.pieces.get, distinct))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        absent = [distinct[i] for i in missing]
+        self.pieces.update((p, self.older[p]) for p in absent if p in self.older)
+        self._learn([p for p in absent if p not in self.older])
+        for i, p in zip(missing, absent, strict=True):
+            found[i] = self.pieces[p]
+        return found
 
 
 class _Part:
@@ -190,8 +226,8 @@ def write_tokens(
                 part = _Part(folder, seq_len, encoder.dtype, end_id)
             texts = batch["text"].tolist()
             keys = [None if pd.isna(k) else int(k) for k in batch["doc_id"]]
-            for low in range(0, len(texts), 250):
-                part.add(keys[low : low + 250], encoder.encode(texts[low : low + 250]))
+            for low, high in pieces(texts, BATCH_CHARACTERS):
+                part.add(keys[low:high], encoder.encode(texts[low:high]))
         if part is not None:
             row = (TaskContext.get().partitionId(), *part.close())
             yield pd.DataFrame([row], columns=["part", "folder", "name", "n_docs", "n_tokens"])

@@ -63,3 +63,19 @@ def test_other_tokenizers_are_encoded_whole(spark):
     texts = ["Some  Words\n here", "", "and   more"]
     plain = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == plain
+
+
+def test_pieces_met_again_are_never_encoded_twice(monkeypatch, prose):
+    monkeypatch.setattr(ts, "CACHED_PIECES", 60)
+    encoder, learned = ts.Encoder(PATH), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: learned.extend(new) or learn(new))
+    for i in range(30):
+        texts = [f"the first of them {i}x{j} naïve  {prose(1)} 漢字{i % 3} ends {j}y" for j in range(6)] + ["", " ", None or "no"]
+        plain = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == plain
+        texts = [t.replace("  ", " ") for t in texts]
+        plain = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == plain
+    assert learned.count("first") == learned.count("naïve") == learned.count("ends") == 1
+    assert len(encoder.pieces) + len(encoder.older) < 150
