@@ -18,7 +18,7 @@ exactly the repeated strings. Two things keep it near the size of the input inst
 
 Digits travel as 64-bit hashes. Which strings still have several members is told to the next reading of
 the texts by a bitmap of fixed size (``BITS``): bits set by chance cost rows, never results. Texts are named by a
-128-bit hash, so copies are one text, and are read five times and shuffled once.
+128-bit hash, so copies are one text. Texts are read six times, and only those that may have repeats are shuffled.
 """
 
 from __future__ import annotations
@@ -244,11 +244,7 @@ def repeated_spans(docs: DataFrame, text: str) -> DataFrame:
         F.when(F.col("n") > 1, F.col("low")).otherwise(F.col("anchor") - F.col("first")).alias("start"),
         (F.when(F.col("n") > 1, F.col("high")).otherwise(F.col("anchor") - F.col("final")) + LENGTH).alias("end"),
     )
-    return (
-        spans.distinct()
-        .groupBy("text_a", "text_b")
-        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
-    )
+    return spans.groupBy("text_a", "text_b").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # of one text
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -287,6 +283,11 @@ def remove_repeats(docs: DataFrame, text: str, keep_text: bool = False) -> DataF
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     named = docs.select(F.struct(*rest).alias("doc") if rest else F.lit(None).alias("doc"), F.col(text).alias("text"), *text_key(F.col(text)))
-    joined = named.join(repeated_spans(docs, text), ["text_a", "text_b"], "left")
-    df = joined.select("doc", F.pandas_udf(cut, CUT_SCHEMA)("text", "spans").alias("cut"))
+    spans = stored(repeated_spans(docs, text), "spans")
+    found = docs.sparkSession.sparkContext.broadcast(_bitmap(spans.select(F.col("text_a").alias("gram"))))
+    # Only texts that may have spans are moved to them; bits set by chance move a few more.
+    named = named.withColumn("moved", F.pandas_udf(lambda a: pd.Series(_in(found.value, a.to_numpy())), "boolean")("text_a"))
+    joined = named.where("moved").join(spans, ["text_a", "text_b"], "left").select("doc", "text", "spans")
+    left = named.where("NOT moved").select("doc", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    df = joined.union(left).select("doc", F.pandas_udf(cut, CUT_SCHEMA)("text", "spans").alias("cut"))
     return df.select(*(["doc.*"] if rest else []), *(F.col(f"cut.{c}").alias(c) for c in added))

@@ -61,3 +61,20 @@ def test_repeated_rows_and_empty_table(spark, prose):
     got = {(r["doc_id"], r["n_removed"]) for r in repeats.remove_repeats(df, "text").collect()}
     assert got == {(1, len(text)), (2, 0)}
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), "text").count() == 0
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 15])
+def test_only_texts_with_repeats_are_moved(spark, prose, monkeypatch, bits):
+    monkeypatch.setattr(repeats, "BITS", bits)
+    told, bitmap = [], repeats._bitmap
+    monkeypatch.setattr(repeats, "_bitmap", lambda values: told.append(values) or bitmap(values))
+    passage = prose(60)
+    rows = [(i, prose(80)) for i in range(30)] + [(90, prose(9) + passage), (91, passage + prose(9)), (92, passage + "!"), (93, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = repeats.remove_repeats(df, "text")
+    assert told[-1].count() == 3
+    # The texts named last meet the spans of theirs; the others go past the join.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and "Union" in plan
+    got = out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
