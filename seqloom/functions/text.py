@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 # The control tokens of rendered conversations.
@@ -26,6 +29,33 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
 
 
+def split_words(texts: pa.Array, max_len: int | None = None) -> pa.ListArray:
+    """``words`` of a column of strings, all at once and at most ``max_len`` per row; a null text has none."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
+    ends = ends - ends[0]
+    # In UTF-8 these four bytes are never part of another character.
+    inside = (data != 0x20) & (data != 0x0A) & (data != 0x09) & (data != 0x0D)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    rows = ends[(ends > 0) & (ends < len(data))]  # a word does not go on in the next row
+    first[rows], last[rows - 1] = inside[rows], inside[rows - 1]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    offsets = np.searchsorted(starts, ends)
+    if max_len is not None and len(starts):
+        counts = np.diff(offsets)
+        taken = np.arange(len(starts)) - np.repeat(offsets[:-1], counts) < max_len
+        steps = np.zeros(len(data) + 1, np.int8)
+        steps[starts[taken]], offsets = 1, np.concatenate([[0], np.cumsum(np.minimum(counts, max_len))])
+        steps[stops[taken]] -= 1
+        inside, starts, stops = np.cumsum(steps[:-1], dtype=np.int8).astype(bool), starts[taken], stops[taken]
+    places = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[inside]))
+    return pa.ListArray.from_arrays(offsets.astype(np.int32), found)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_PATTERN))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from seqloom.functions.seeded import digest, prefix_bucket
-from seqloom.functions.text import codepoints, words
+from seqloom.functions.text import codepoints, split_words
 from seqloom.operators.numbering import running_in_buckets
 from seqloom.session import stored
 
@@ -21,19 +21,21 @@ SMALL_VOCAB, SMALL_BYTES = 262_144, 16 << 20
 # Words (or ids) whose rows are translated together, through one dictionary.
 CHUNK_ELEMENTS = 1 << 20
 CHUNK = "_chunk"
-ELEMENTS = "_elements"
+# Texts that are cut into words together, in bytes.
+PIECE_BYTES = 4 << 20
+ELEMENTS, ELEMENT, CODE, CODES = "_elements", "_element", "_code", "_codes"
 
 
 def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
     """Every distinct word with a dense id: ``(token, id, is_special)``.
 
     Ids follow the md5 of the word. That spreads the words evenly over 4096 buckets whatever
-    their spelling or frequency, so the numbering never passes through one task. Both uses of
-    the distinct words below are the same exchange, which Spark runs once.
+    their spelling or frequency, so the numbering never passes through one task. Only words that are distinct within
+    some megabytes of text are rows; the distinct words of all are stored, as the numbering reads them twice.
     """
-    distinct = df.select(F.explode(words(F.col(text))).alias("token")).distinct()
+    distinct = df.select(_text(text).alias(ELEMENTS)).mapInArrow(_distinct_words, "token string").distinct()
     hashed = distinct.withColumn("_md5", digest(F.col("token")))
-    bucketed = hashed.withColumn("_slice", prefix_bucket(F.col("_md5")))
+    bucketed = stored(hashed.withColumn("_slice", prefix_bucket(F.col("_md5"))), "words")
     numbered = running_in_buckets(bucketed, "_slice", ["_md5", "token"], {"id": F.lit(1)})
     return numbered.select(
         "token", (F.col("id") - 1).cast("long").alias("id"), F.lit(False).alias("is_special")
@@ -84,11 +86,13 @@ def encode_rows(
     A vocabulary of at most ``small_vocab`` entries and ``SMALL_BYTES`` goes to every task. A larger one is met in
     the cluster (``_through_dictionaries``), with the same result; a word is never a row of its own.
     """
-    return _translated(df, _words(text, max_len), vocab.select("token", "id"), "token", "id", name, unknown, small_vocab)
+    rows = df.withColumn(ELEMENTS, _text(text))
+    return _translated(rows, vocab.select("token", "id"), "token", "id", name, unknown, small_vocab, max_len)
 
 
-def _words(text: str, max_len: int | None) -> Column:
-    return words(F.col(text)) if max_len is None else F.slice(words(F.col(text)), 1, max_len)
+def _text(text: str) -> Column:
+    """The text as Java's patterns would read it: bytes that are no UTF-8 are replaced."""
+    return F.make_valid_utf8(F.col(text).cast("string"))
 
 
 def encode(
@@ -101,11 +105,8 @@ def encode(
     max_len: int | None = None,
 ) -> DataFrame:
     """``(key, input_ids)`` of every row; see ``encode_rows``. The texts themselves are not carried along."""
-    rows = df.select(key, _words(text, max_len).alias("_words"))
-    entries = vocab.select("token", "id")
-    return _translated(rows, F.col("_words"), entries, "token", "id", "input_ids", unknown, small_vocab, ["_words"]).select(
-        key, "input_ids"
-    )
+    rows = df.select(key, _text(text).alias(ELEMENTS))
+    return _translated(rows, vocab.select("token", "id"), "token", "id", "input_ids", unknown, small_vocab, max_len)
 
 
 def decode(
@@ -121,78 +122,153 @@ def decode(
     Ids outside the vocabulary have no text. The two ways are those of ``encode``, with the same result.
     """
     entries = vocab.where(~F.col("is_special")) if skip_special else vocab
-    rows = df.select(key, F.col(ids).cast("array<bigint>").alias("_ids"))
-    out = _translated(rows, F.col("_ids"), entries.select("id", "token"), "id", "token", "_tokens", None, small_vocab, ["_ids"])
-    return out.select(key, F.array_join(F.array_compact("_tokens"), " ").alias("text"))
+    rows = df.select(key, F.col(ids).cast("array<bigint>").alias(ELEMENTS))
+    return _translated(rows, entries.select("id", "token"), "id", "token", "text", None, small_vocab, finish=_spaced)
+
+
+def _spaced(tokens: pa.ListArray) -> pa.Array:
+    """The tokens of each list that are not null, joined by spaces."""
+    flat = tokens.values
+    ends = np.concatenate([[0], np.cumsum(flat.is_valid().to_numpy(zero_copy_only=False))])[tokens.offsets.to_numpy()]
+    return pc.binary_join(pa.ListArray.from_arrays(ends.astype(np.int32), flat.drop_null()), " ")
 
 
 def _translated(
-    df: DataFrame, elements: Column, entries: DataFrame, source: str, target: str, name: str, missing, small_vocab: int, spent: Sequence[str] = ()
+    df: DataFrame,
+    entries: DataFrame,
+    source: str,
+    target: str,
+    name: str,
+    missing,
+    small_vocab: int,
+    max_len: int | None = None,
+    finish: Callable[[pa.ListArray], pa.Array] | None = None,
 ) -> DataFrame:
-    """``df`` with ``name``; the columns ``spent`` are needed no longer once the elements are taken."""
+    """``df`` with ``name``, the values of its ``ELEMENTS``: an array column, or texts whose (first ``max_len``) words are meant.
+
+    ``finish`` turns the lists of values into one string per row where they are made.
+    """
+    kind = T.ArrayType(entries.schema[target].dataType) if finish is None else T.StringType()
     size = entries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token")).alias("bytes")).first()
     if size["n"] <= small_vocab and (size["bytes"] or 0) <= SMALL_BYTES:
         pair = entries.toArrow()  # within both bounds
         shared = df.sparkSession.sparkContext.broadcast(tuple(pair.column(c).combine_chunks() for c in (source, target)))
-        to = T.ArrayType(entries.schema[target].dataType)
-        ids = F.arrow_udf(lambda rows: translate(rows, *shared.value, missing), to)
-        return df.select("*", ids(elements).alias(name))
-    carried = df.withColumn(ELEMENTS, elements).drop(*spent)
-    return _through_dictionaries(carried, entries, source, target, name, missing)
+
+        def of_batch(column: pa.Array) -> pa.Array:
+            found = [translate(lists, *shared.value, missing) for lists in _lists(column, max_len)]
+            return pa.concat_arrays(found if finish is None else [finish(lists) for lists in found])
+
+        return df.select("*", F.arrow_udf(of_batch, kind)(ELEMENTS).alias(name)).drop(ELEMENTS)
+    return _through_dictionaries(df, entries, source, target, T.StructField(name, kind), missing, max_len, finish)
+
+
+def _lists(column: pa.Array, max_len: int | None = None) -> Iterator[pa.ListArray]:
+    """The elements of all rows in order, a piece at a time: the lists themselves, or the words of some megabytes of text."""
+    if pa.types.is_list(column.type):
+        yield column
+        return
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))])
+    low = 0
+    while not low or low < len(column):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + PIECE_BYTES, "right")) - 1)
+        yield split_words(column.slice(low, high - low), max_len)
+        low = high
 
 
 def translate(rows: pa.Array, keys: pa.Array, values: pa.Array, missing=None) -> pa.Array:
     """Every element of an array column replaced by its value, or ``missing``: one hash lookup of all of them."""
-    found = values.take(pc.index_in(rows.flatten().cast(keys.type), value_set=keys))
+    return _relisted(rows, values.take(pc.index_in(rows.flatten().cast(keys.type), value_set=keys)), missing)
+
+
+def _relisted(rows: pa.Array, found: pa.Array, missing) -> pa.ListArray:
     if missing is not None:
         found = pc.fill_null(found, missing)
+    return pa.ListArray.from_arrays(_offsets(rows), found)
+
+
+def _offsets(rows: pa.Array) -> np.ndarray:
+    """Where each list begins in ``rows.flatten()``."""
     lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, found)
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
 
 
 def _through_dictionaries(
-    df: DataFrame, entries: DataFrame, source: str, target: str, name: str, missing
+    df: DataFrame, entries: DataFrame, source: str, target: str, value: T.StructField, missing, max_len, finish
 ) -> DataFrame:
     """Translate ``ELEMENTS`` by dictionaries that hold what a chunk of rows needs, joined once per chunk.
 
-    Tasks number chunks of rows of at most ``CHUNK_ELEMENTS`` elements (or one row), and write them: a task that runs
-    again later must not cut them differently. The distinct elements of each chunk meet the entries in a join, and
-    each chunk is translated in place by its own part of that. A frequent word is one row per chunk, which AQE
+    Tasks cut chunks of rows of at most ``CHUNK_ELEMENTS`` elements (or one row), and write them: a task that runs
+    again later must not cut them differently. A row is written as the numbers of its elements, as one value, and each
+    distinct element of a chunk as one more row, with its number. These meet the entries in a join, and
+    each chunk is translated in place by its own part of that, by number. A frequent word is one row per chunk, which AQE
     may split further; the rows themselves are moved once, to their dictionary.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(CHUNK, T.LongType())])
-    chunked = stored(df.mapInArrow(_cut_chunks, schema), "chunks")
     kind = entries.schema[source].dataType
-    needed = chunked.select(CHUNK, F.col(ELEMENTS).cast(T.ArrayType(kind)).alias(ELEMENTS)).mapInArrow(
-        _distinct_elements, T.StructType([T.StructField(CHUNK, T.LongType()), T.StructField(source, kind)])
-    )
-    dictionaries = needed.join(entries, source).select(F.col(CHUNK).alias("_of"), source, target)
-    value = T.StructField(name, T.ArrayType(entries.schema[target].dataType))
     kept = [f for f in df.schema.fields if f.name != ELEMENTS]
+    if isinstance(df.schema[ELEMENTS].dataType, T.ArrayType):
+        df = df.withColumn(ELEMENTS, F.col(ELEMENTS).cast(T.ArrayType(kind)))
+    added = {CHUNK: T.LongType(), CODES: T.BinaryType(), CODE: T.IntegerType(), ELEMENT: kind}
+    schema = T.StructType([T.StructField(c, t) for c, t in ({f.name: f.dataType for f in kept} | added).items()])
+    chunked = stored(df.mapInArrow(lambda batches: _cut_chunks(batches, max_len), schema), "chunks")
+    rows = chunked.where(F.col(CODES).isNotNull()).drop(CODE, ELEMENT)
+    needed = chunked.where(F.col(ELEMENT).isNotNull()).select(F.col(CHUNK).alias("_of"), CODE, F.col(ELEMENT).alias(source))
+    dictionaries = needed.join(entries, source).select("_of", CODE, target)
 
     def apply(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
-        keys, values = (dictionary.column(c).combine_chunks() for c in (source, target))
-        translated = translate(rows.column(ELEMENTS).combine_chunks(), keys, values, missing)
-        return rows.select([f.name for f in kept]).append_column(name, translated)
-
-    pairs = chunked.groupBy(CHUNK).cogroup(dictionaries.groupBy("_of"))
+        lists = _decoded(rows.column(CODES).combine_chunks().cast(pa.binary()))
+        codes, known = lists.flatten().to_numpy(), dictionary.column(CODE).to_numpy()
+        places = np.full(max(codes.max(initial=-1), known.max(initial=-1)) + 2, -1, np.int32)  # the last is that of null, -1
+        places[known[::-1]] = np.arange(len(known), dtype=np.int32)[::-1]
+        found = places[codes]
+        found = dictionary.column(target).combine_chunks().take(pa.array(found, mask=found < 0))
+        lists = _relisted(lists, found, missing)
+        return rows.select([f.name for f in kept]).append_column(value.name, lists if finish is None else finish(lists))
+
+    pairs = rows.groupBy(CHUNK).cogroup(dictionaries.groupBy("_of"))
     return pairs.applyInArrow(apply, T.StructType([*kept, value]))
 
 
-def _cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the chunks of a task. Chunks may cross batches; a batch is cut where the next chunk begins."""
-    first, held = TaskContext.get().partitionId() << 33, 0
-    chunk = first
+def _cut_chunks(batches: Iterator[pa.RecordBatch], max_len: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of a task as numbered chunks (``_coded``). Chunks may cross batches; the elements are the last column."""
+    chunk, held, rows, lists = TaskContext.get().partitionId() << 33, 0, [], []
     for batch in batches:
-        lengths = pc.fill_null(pc.list_value_length(batch.column(ELEMENTS)), 0).to_numpy(zero_copy_only=False)
-        numbers = np.empty(batch.num_rows, np.int64)
-        for i, n in enumerate(lengths.tolist()):
-            if held and held + n > CHUNK_ELEMENTS:
-                chunk, held = chunk + 1, 0
-            held += n + 1  # rows without elements count too, so that a chunk has a bounded number of rows
-            numbers[i] = chunk
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], names=[*batch.schema.names, CHUNK])
+        others, start = batch.select(batch.schema.names[:-1]), 0
+        for piece in _lists(batch.column(batch.num_columns - 1), max_len):
+            low = 0
+            for i, n in enumerate(np.diff(_offsets(piece)).tolist()):
+                if held and held + n > CHUNK_ELEMENTS:
+                    rows.append(others.slice(start + low, i - low))
+                    lists.append(piece.slice(low, i - low))
+                    yield from _coded(rows, lists, chunk)
+                    chunk, held, rows, lists, low = chunk + 1, 0, [], [], i
+                held += n + 1  # rows without elements count too, so that a chunk has a bounded number of rows
+            rows.append(others.slice(start + low, len(piece) - low))
+            lists.append(piece.slice(low, len(piece) - low))
+            start += len(piece)
+    if held:
+        yield from _coded(rows, lists, chunk)
+
+
+def _coded(rows: list[pa.RecordBatch], lists: list[pa.ListArray], chunk: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's rows with the numbers of their elements as bytes, -1 for null; then its distinct elements with their numbers."""
+    distinct = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    codes = pc.fill_null(distinct.indices, -1).to_numpy().astype("<i4", copy=False)
+    ends = 4 * np.concatenate([[0], np.cumsum(np.concatenate([np.diff(_offsets(x)) for x in lists]))])
+    n, m, elements = len(ends) - 1, len(distinct.dictionary), distinct.dictionary
+    own = [pa.concat_arrays([r.column(i) for r in rows]) for i in range(rows[0].num_columns)]
+    binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(codes)])
+    number = lambda size: pa.array(np.full(size, chunk, np.int64))
+    names = [*rows[0].schema.names, CHUNK, CODES, CODE, ELEMENT]
+    yield pa.RecordBatch.from_arrays([*own, number(n), binary, pa.nulls(n, pa.int32()), pa.nulls(n, elements.type)], names=names)
+    own = [pa.nulls(m, c.type) for c in own]
+    yield pa.RecordBatch.from_arrays([*own, number(m), pa.nulls(m, pa.binary()), pa.array(np.arange(m, dtype=np.int32)), elements], names=names)
+
+
+def _decoded(binary: pa.BinaryArray) -> pa.ListArray:
+    """The numbers that ``_coded`` wrote."""
+    ends = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1]
+    codes = np.frombuffer(binary.buffers()[2] or b"", "<i4", (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] > ends[0] else np.empty(0, "<i4")
+    return pa.ListArray.from_arrays((ends - ends[0]) // 4, codes)
 
 
 def _distinct_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +282,21 @@ def _distinct_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([chunk, found], names=batch.schema.names)
 
 
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of texts: distinct within a piece of text, and within several pieces that have ``CHUNK_ELEMENTS`` together."""
+    lists = (piece for batch in batches for piece in _lists(batch.column(0)))
+    pieces = (pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int64)), x], names=[CHUNK, ELEMENTS]) for x in lists)
+    held, n = [], 0
+    for found in _distinct_elements(pieces):
+        held.append(found.column(1))
+        n += len(held[-1])
+        if n > CHUNK_ELEMENTS:
+            yield pa.RecordBatch.from_arrays([pc.unique(pa.concat_arrays(held))], names=["token"])
+            held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pc.unique(pa.concat_arrays(held))], names=["token"])
+
+
 def tokenizer(name: str, vocab: DataFrame | None = None, unknown: int | None = None):
     """A function ``(df, text, max_len, name)`` that adds token ids to a table, by the tokenizer's name.
 

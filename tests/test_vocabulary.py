@@ -1,11 +1,15 @@
 """Words to ids through dictionaries of chunks, and tokenizers by name."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.functions.text import WORD_PATTERN, split_words
 from seqloom.operators import vocabulary as vb
+from seqloom.session import stored
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +42,36 @@ def test_words_are_no_rows_of_the_plan(docs, vocab):
     assert "Generate" not in plan and "CoGroup" in plan
 
 
+def test_words_reach_the_plan_once_per_chunk(spark, docs, vocab, monkeypatch):
+    written = []
+    monkeypatch.setattr(vb, "stored", lambda df, name: written.append(store := stored(df, name)) or store)
+    vb.encode(docs, vocab, "d", small_vocab=0).collect()
+    chunks = written[0].select(vb.CHUNK, vb.CODES, vb.CODE, vb.ELEMENT).collect()
+    words = [(r[vb.CHUNK], r[vb.ELEMENT]) for r in chunks if r[vb.CODES] is None]
+    rows = [r for r in chunks if r[vb.CODES] is not None]
+    assert len(rows) == docs.count() and len(words) == len(set(words)) and all(w for _, w in words)
+    assert not any("array" in kind for _, kind in written[0].dtypes)
+    assert "regexp" not in vb.build_vocab(docs)._jdf.queryExecution().toString()
+
+
+def test_words_are_split_as_by_the_pattern():
+    rng = random.Random(1)
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice("ab \u00e9\U0001f600 \t\n\r\v\x00") for _ in range(rng.randrange(9))) for _ in range(rng.randrange(6))]
+        column = pa.array(["zz q", *texts, "x"], pa.string()).slice(1, len(texts))
+        for n in (None, 0, 1, 2):
+            assert split_words(column, n).to_pylist() == [re.findall(WORD_PATTERN, x or "")[:n] for x in texts]
+
+
+@pytest.mark.parametrize("small_vocab", [10**6, 0])
+def test_bytes_that_are_no_text_are_read_as_before(spark, small_vocab):
+    df = spark.range(1).select(F.lit(7).alias("d"), F.expr("cast(x'61ff6220c3' as string)").alias("text"))
+    vocab = vb.build_vocab(df)
+    assert sorted(r["token"] for r in vocab.collect()) == ["a\ufffdb", "\ufffd"]
+    back = vb.decode(vb.encode(df, vocab, "d", small_vocab=small_vocab), vocab, "d", small_vocab=small_vocab)
+    assert back.first()["text"] == "a\ufffdb \ufffd"
+
+
 def test_bytes_bound_what_is_sent(docs, vocab, monkeypatch):
     monkeypatch.setattr(vb, "SMALL_BYTES", 10)
     assert "CoGroup" in vb.encode_rows(docs, vocab)._jdf.queryExecution().toString()
